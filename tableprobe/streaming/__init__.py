@@ -1,0 +1 @@
+"""Empty on purpose: every operator works on batch tables, there is no streaming source or sink to cover."""

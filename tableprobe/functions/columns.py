@@ -42,12 +42,6 @@ def present(field: T.StructField, column: Column | None = None) -> Column:
     return column.isNotNull()
 
 
-def nan_to_null(field: T.StructField) -> Column:
-    """The field with NaN turned into null."""
-    column = quoted(field.name)
-    return F.nanvl(column, F.lit(None)) if is_floating(field.dataType) else column
-
-
 def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop rows that hold a null or NaN in any of ``columns``.
 

@@ -23,6 +23,8 @@ def parse_timestamp(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, T.DateType):
         return column.cast("timestamp")
     if isinstance(data_type, T.StringType):
-        attempts = [F.try_to_timestamp(column, F.lit(fmt)) for fmt in FALLBACK_FORMATS]
+        # a failed parse is dear, so a format is only tried on text that has its separator
+        attempts = [F.when(column.contains("/" if "/" in fmt else "-"), F.try_to_timestamp(column, F.lit(fmt)))
+                    for fmt in FALLBACK_FORMATS]
         return F.coalesce(F.try_to_timestamp(column), *attempts)
     raise TypeError(f"column {name!r} of type {data_type.simpleString()} holds no dates")

@@ -20,11 +20,12 @@ TIMINGS_SCHEMA = T.StructType([
 def scaling_report(timings: DataFrame) -> DataFrame:
     """Add speedup over the run with the fewest workers of the same job, and efficiency in percent.
 
-    The baseline of a job is one small aggregate joined back, not a window over the job's runs, so a job with
-    very many runs is never gathered in one task. Of several runs with the fewest workers the fastest counts.
+    The baseline of a job is an aggregate joined back, not a window over the job's runs, so a job with very many
+    runs is never gathered in one task. Of several runs with the fewest workers the fastest counts.
     """
-    baselines = timings.groupBy(F.col("job").alias("base_job")).agg(
-        F.min(F.struct("workers", "elapsed"))["elapsed"].alias("baseline"))
+    fastest = timings.groupBy("job", "workers").agg(F.min("elapsed").alias("elapsed"))
+    baselines = fastest.groupBy(F.col("job").alias("base_job")).agg(
+        F.min_by("elapsed", "workers").alias("baseline"))
     joined = timings.join(baselines, F.col("job").eqNullSafe(F.col("base_job")))
     speedup = ratio(F.col("baseline"), F.col("elapsed"))
     efficiency = ratio(speedup * 100.0, F.col("workers"))

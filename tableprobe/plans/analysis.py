@@ -13,11 +13,19 @@ from tableprobe.sources.reports import make_run_id, read_report, write_report
 
 
 def analyze(spark: SparkSession, path: str, file_type: str, report_base: str, run_id: str | None = None,
-            hold: bool = False, **options) -> tuple[str, DataFrame, DataFrame]:
-    """Read, profile and model a dataset; write both reports and return the run id and the written reports."""
+            hold: bool = False, staging: str | None = None, **options) -> tuple[str, DataFrame, DataFrame]:
+    """Read, profile and model a dataset; write both reports and return the run id and the written reports.
+
+    The profile and the jobs scan the dataset a dozen times. ``staging``, a path on shared storage, has it parsed
+    once into Parquet there, from which every scan takes only its columns; the copy is the caller's to remove.
+    ``hold`` keeps it in the executors' memory and disks instead while the jobs run.
+    """
     name = os.path.basename(path.rstrip("/"))
     df = read_dataset(spark, path, file_type, **options)
     check_dataset(df, name, file_type)
+    if staging is not None:
+        df.write.mode("errorifexists").parquet(staging)
+        df = spark.read.parquet(staging)
     run_id = run_id or make_run_id(name)
     write_report(describe(df, file_type), report_base, run_id, "descriptive")
     write_report(run_jobs(df, file_type, hold), report_base, run_id, "ml")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.operators import features as fx
 from tableprobe.operators import models, roles
-from tableprobe.operators.jobs import run_jobs
+from tableprobe.operators.jobs import run_jobs, time_jobs
 from tableprobe.plans.tables import EXACT, LINEITEM_TYPES, ORDERS_TYPES, PART_TYPES, table
 from tableprobe.functions.columns import mean
 
@@ -96,8 +96,9 @@ QUERIES = {
     "classification_report": lambda spark, d: models.classification_report(table(spark, d, "orders")),
     "kmeans_report": lambda spark, d: models.kmeans_report(table(spark, d, "events"), ["value"]),
     "kmeans_assign": _kmeans_step,
-    "job_report": lambda spark, d: run_jobs(table(spark, d, "orders"), hold=True),
+    "job_report": lambda spark, d: run_jobs(table(spark, d, "orders")),
     "job_status": _job_status,
+    "job_timings": lambda spark, d: time_jobs(table(spark, d, "orders")).select("job", "skipped", "reason"),
 }
 
 
@@ -190,6 +191,9 @@ ORACLES = {
                    WHERE o_orderdate::DATE = (SELECT min(o_orderdate)::DATE FROM orders)) END AS first_day_count
         FROM (VALUES {_STATUS_ROWS}) AS status(
             table_name, job_order, job, reason_code, label, features, date_column, value_column)""",
+    "job_timings": """
+        SELECT job, false AS skipped, '' AS reason
+        FROM (VALUES ('regression'), ('classification'), ('clustering'), ('timeSeries')) AS jobs(job)""",
     "kmeans_assign": """
         WITH assigned AS (
             SELECT value, CASE WHEN abs(value - 10) <= abs(value - 60) AND abs(value - 10) <= abs(value - 200) THEN 0

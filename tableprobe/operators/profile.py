@@ -1,11 +1,13 @@
 """Dataset profile: size, types, null counts, distinct counts and numeric ranges.
 
-Nulls and ranges of all columns come from one global aggregate over one scan. Distinct counts come from one
-further scan, in long form; see `value_groups`.
+Nulls and ranges of all columns come from one global aggregate over one scan. Distinct counts come from a
+scan per column type, in long form; see `value_sets`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,64 +99,49 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None,
     return _stats(df, fields, nulls=False, numbers=True, exact_scale=exact_scale).select("column", "min", "max", "mean")
 
 
-def value_groups(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """Every distinct value of every field: one row per (pos, value), and whether it is a real value.
+def _family(data_type: T.DataType) -> T.DataType:
+    """The type under which values of ``data_type`` are compared: integers of all widths go together."""
+    if isinstance(data_type, T.IntegralType):
+        return T.LongType()
+    return T.StringType() if isinstance(data_type, T.NullType) else data_type
+
+
+def _key(field: T.StructField, family: T.DataType) -> Column:
+    """The value as it travels: of a long string or binary the digest of the whole, longer than any short one."""
+    column = quoted(field.name).cast(family)
+    if family not in (T.StringType(), T.BinaryType()):  # collated strings equal in other ways: they go as they are
+        return column
+    digest = F.concat(F.sha2(column.cast("binary"), 256), F.lit("#")).cast(family)
+    return F.when(F.octet_length(column) > LONG_VALUE_BYTES, digest).otherwise(column)
+
 
-    The table is stacked into (pos, key columns) with one key column per type in use, so that values keep their
-    type and Spark's own notion of equality, and the row stays narrow however many columns the table has. The
-    group-by combines on the map side: a value that fills a third of the table leaves each task as one row. Long
-    strings and binaries are hashed whole before they travel.
+def value_sets(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType, DataFrame]]:
+    """Every distinct value of every field, as (pos, value) with pos counting through ``fields``: a frame per type.
+
+    Columns of one type are stacked and made distinct together, so rows are two cells wide however many columns
+    the table has, values keep their type and Spark's own notion of equality, and each frame scans only its
+    columns. Duplicates go on the map side: a value that fills a third of the table leaves a task as one row.
     """
-    keys: dict[str, T.DataType] = {}
-    cells: list[dict[str, Column]] = []
-    for field in fields:
-        column, data_type = quoted(field.name), field.dataType
-        if isinstance(data_type, T.IntegralType):
-            data_type = T.LongType()
-        elif isinstance(data_type, T.NullType):
-            data_type = T.StringType()
-        name = data_type.simpleString()
-        if data_type in (T.StringType(), T.BinaryType()):  # not collated strings: they equal in other ways
-            short = F.octet_length(column) <= LONG_VALUE_BYTES
-            digest = F.unhex(F.sha2(column.cast("binary"), 256))
-            keys[name], keys["digest"] = data_type, T.BinaryType()
-            cells.append({name: F.when(short, column), "digest": F.when(~short, digest)})
-        else:
-            keys[name] = data_type
-            cells.append({name: column})
-    flat = []
-    for pos, (field, cell) in enumerate(zip(fields, cells)):
-        flat.append(F.lit(pos))
-        flat += [cell.get(key, F.lit(None)).cast(data_type) for key, data_type in keys.items()]
-    names = [f"k{i}" for i in range(len(keys))]
-    groups = df.select(F.stack(F.lit(len(fields)), *flat).alias("pos", *names)).groupBy("pos", *names)
-    real = F.lit(False)
-    for name, data_type in zip(names, keys.values()):
-        real = real | present(T.StructField(name, data_type))
-    return groups.agg(F.count(F.lit(1)).alias("rows")).select("pos", real.alias("is_value"), "rows")
-
-
-def _distinct_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool,
-                     rsd: float | None = None) -> DataFrame:
-    """(pos, distinct_count) with pos counting through ``fields``; null where the type cannot be compared."""
-    comparable = [(pos, f) for pos, f in enumerate(fields) if is_groupable(f.dataType)]
-    spark = df.sparkSession
-    positions = spark.range(0, len(fields), 1, 1).select(F.col("id").cast("int").alias("pos"))
-    if not comparable:
-        return positions.withColumn("distinct_count", F.lit(None).cast("bigint"))
-    places = F.array(*[F.lit(pos) for pos, _ in comparable])
-    if rsd is None:
-        groups = value_groups(df, [f for _, f in comparable])
+    families: dict[str, list[tuple[int, T.StructField]]] = {}
+    for pos, field in enumerate(fields):
+        families.setdefault(_family(field.dataType).simpleString(), []).append((pos, field))
+    sets = []
+    for members in families.values():
+        family = _family(members[0][1].dataType)
+        flat = [cell for pos, field in members for cell in (F.lit(pos), _key(field, family))]
+        values = df.select(F.stack(F.lit(len(members)), *flat).alias("pos", "value"))
+        sets.append((family, values.distinct()))
+    return sets
+
+
+def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool) -> DataFrame:
+    """(pos, distinct_count) of the fields that have a value; null and NaN count as values, or not at all."""
+    counts = []
+    for family, values in value_sets(df, fields):
         if not count_missing:
-            groups = groups.where("is_value")
-        counts = groups.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count"))
-    else:
-        counts = _sketched_counts(df, [f for _, f in comparable], rsd)
-    # at most one row per column of the table on either side, so the broadcast is bounded by the schema
-    counts = counts.select(F.element_at(places, F.col("pos") + 1).alias("pos"), "distinct_count")
-    known = F.col("pos").isin([pos for pos, _ in comparable])
-    return positions.join(F.broadcast(counts), "pos", "left").select(
-        "pos", F.when(known, F.coalesce("distinct_count", F.lit(0))).alias("distinct_count"))
+            values = values.where(present(T.StructField("value", family)))
+        counts.append(values.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _sketched_counts(df: DataFrame, fields: list[T.StructField], rsd: float) -> DataFrame:
@@ -168,8 +155,20 @@ def _sketched_counts(df: DataFrame, fields: list[T.StructField], rsd: float) ->
     return df.agg(*measures).select(F.stack(F.lit(len(fields)), *flat).alias("pos", "distinct_count"))
 
 
-def _names(fields: list[T.StructField]) -> Column:
-    return F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("pos") + 1)
+def _distinct_counts(df: DataFrame, rsd: float | None) -> DataFrame:
+    """(pos, distinct_count) of every column of the table; null where the type cannot be compared."""
+    comparable = [(pos, f) for pos, f in enumerate(df.schema.fields) if is_groupable(f.dataType)]
+    positions = df.sparkSession.range(0, len(df.columns), 1, 1).select(F.col("id").cast("int").alias("pos"))
+    if not comparable:
+        return positions.withColumn("distinct_count", F.lit(None).cast("bigint"))
+    fields = [f for _, f in comparable]
+    counts = exact_counts(df, fields, count_missing=True) if rsd is None else _sketched_counts(df, fields, rsd)
+    places = F.array(*[F.lit(pos) for pos, _ in comparable])
+    counts = counts.select(F.element_at(places, F.col("pos") + 1).alias("pos"), "distinct_count")
+    known = F.col("pos").isin([pos for pos, _ in comparable])
+    # at most one row per column of the table on either side, so the broadcast is bounded by the schema
+    return positions.join(F.broadcast(counts), "pos", "left").select(
+        "pos", F.when(known, F.coalesce("distinct_count", F.lit(0))).alias("distinct_count"))
 
 
 def distinct_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
@@ -177,15 +176,11 @@ def distinct_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
 
     Exact by default. ``rsd`` asks for a sketch of that relative error instead, which shuffles no values.
     """
-    fields = df.schema.fields
-    if not fields:
+    if not df.columns:
         return df.sparkSession.createDataFrame([], "column string, distinct_count bigint")
-    return _distinct_counts(df, fields, True, rsd).select(_names(fields).alias("column"), "distinct_count")
-
-
-def present_distinct(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """(pos, distinct_count) of ``fields``, null and NaN left out."""
-    return _distinct_counts(df, fields, False)
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return _distinct_counts(df, rsd).select(
+        F.element_at(names, F.col("pos") + 1).alias("column"), "distinct_count")
 
 
 def describe(df: DataFrame, file_type: str = "csv", exact_scale: int | None = None,
@@ -195,7 +190,7 @@ def describe(df: DataFrame, file_type: str = "csv", exact_scale: int | None = No
     if not fields:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     stats = _stats(df, fields, nulls=True, numbers=True, exact_scale=exact_scale)
-    distinct = _distinct_counts(df, fields, True, rsd)
+    distinct = _distinct_counts(df, rsd)
     # both sides hold one row per column of the table
     joined = stats.join(F.broadcast(distinct), "pos", "left")
     return joined.select(

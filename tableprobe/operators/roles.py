@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tableprobe.functions.columns import is_groupable, is_numeric, present, quoted
 from tableprobe.functions.timestamps import DATE_LIKE
-from tableprobe.operators.profile import present_distinct
+from tableprobe.operators.profile import exact_counts
 
 # A label has this many distinct values, and a date column is called something like this.
 MIN_LABEL_VALUES = 2
@@ -81,7 +81,7 @@ def label_candidates(df: DataFrame, low: int = MIN_LABEL_VALUES, high: int = MAX
     names = F.array(*[F.lit(f.name) for _, f in possible])
     places = F.array(*[F.lit(pos) for pos, _ in possible])
     here = F.col("pos") + 1
-    counts = present_distinct(df, [f for _, f in possible]).where(F.col("distinct_count").between(low, high))
+    counts = exact_counts(df, [f for _, f in possible], count_missing=False).where(F.col("distinct_count").between(low, high))
     return counts.select(
         F.element_at(names, here).alias("column"), "distinct_count", F.element_at(places, here).alias("pos"),
     ).orderBy("distinct_count", "pos")

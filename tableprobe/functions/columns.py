@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_PRECISION = 18
-
 
 def quoted(name: str) -> Column:
     """The column called ``name``, dots and backticks in the name included."""
@@ -59,22 +57,29 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
-def total(column: Column, exact_scale: int | None = None) -> Column:
-    """Sum as double.
+def total(column: Column, data_type: T.DataType, exact_scale: int | None = None) -> Column:
+    """Sum of a numeric column as double.
 
-    With ``exact_scale`` the values are summed as decimals of that scale, so that the result does not depend on
-    the order of the rows; a value that does not fit raises instead of being rounded away silently.
+    With ``exact_scale``, the number of decimals the data has, the sum does not depend on the order of the rows:
+    floats are rounded to that many decimals and summed as whole units. Going through bigint keeps the
+    conversion to decimal cheap; the sum itself is a decimal and has room for far more rows than a bigint.
     """
     if exact_scale is None:
         return F.sum(column.cast("double"))
-    return F.sum(column.cast(T.DecimalType(EXACT_PRECISION, exact_scale))).cast("double")
+    if isinstance(data_type, T.DecimalType):
+        return F.sum(column).cast("double")
+    if not is_floating(data_type):
+        return F.sum(column.cast("bigint").cast("decimal(19,0)")).cast("double")
+    factor = 10 ** exact_scale
+    units = F.rint(column.cast("double") * factor).cast("bigint").cast("decimal(19,0)")
+    return (F.sum(units) / F.lit(factor).cast(T.DecimalType(exact_scale + 1, 0))).cast("double")
 
 
-def mean(column: Column, exact_scale: int | None = None) -> Column:
+def mean(column: Column, data_type: T.DataType, exact_scale: int | None = None) -> Column:
     """Mean as double, null when there are no values; see `total` for ``exact_scale``."""
     if exact_scale is None:
         return F.avg(column.cast("double"))
-    return F.when(F.count(column) > 0, total(column, exact_scale) / F.count(column))
+    return F.when(F.count(column) > 0, total(column, data_type, exact_scale) / F.count(column))
 
 
 def finite_or_none(value: float | None) -> float | None:

@@ -58,7 +58,7 @@ def _stats(df: DataFrame, fields: list[T.StructField], nulls: bool, numbers: boo
             line.append(F.col(f"n{pos}"))
         if numbers:
             if is_numeric(field.dataType):
-                average = mean(column, exact_scale)
+                average = mean(column, field.dataType, exact_scale)
                 measures += [
                     F.min(column).cast("double").alias(f"lo{pos}"),
                     F.max(column).cast("double").alias(f"hi{pos}"),

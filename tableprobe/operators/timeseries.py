@@ -30,13 +30,13 @@ def daily_stats(df: DataFrame, date_col: str | None = None, value_col: str | Non
     value_col = value_col or value_column(df)
     if date_col is None or value_col is None:
         raise ValueError("the table has no date column or no numeric column")
-    value = F.col("value")
+    value, value_type = F.col("value"), df.schema[value_col].dataType
     days = dated_values(df, date_col, value_col).groupBy("day").agg(
         F.count("day").alias("count"),
-        mean(value, exact_scale).alias("mean_value"),
+        mean(value, value_type, exact_scale).alias("mean_value"),
         F.min(value).cast(T.DoubleType()).alias("min_value"),
         F.max(value).cast(T.DoubleType()).alias("max_value"),
-        total(value, exact_scale).alias("sum_value"),
+        total(value, value_type, exact_scale).alias("sum_value"),
     )
     # Unreadable dates go by their count, after the group-by: a test of the day itself would be pushed below it
     # and parse every date twice.

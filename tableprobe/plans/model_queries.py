@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tableprobe.functions.columns import mean
 from tableprobe.operators import features as fx
 from tableprobe.operators import models, roles
 from tableprobe.operators.jobs import run_jobs, time_jobs
 from tableprobe.plans.tables import EXACT, LINEITEM_TYPES, ORDERS_TYPES, PART_TYPES, table
-from tableprobe.functions.columns import mean
 
 CENTERS = [[10.0], [60.0], [200.0]]  # fixed starting centers for events.value
 
@@ -69,7 +70,7 @@ def _kmeans_step(spark, sf_dir):
     """Nearest fixed center of every event, and where each center moves to."""
     assigned = models.assign_clusters(table(spark, sf_dir, "events"), ["value"], CENTERS)
     return assigned.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), mean(F.col("value"), EXACT).alias("center"))
+        F.count(F.lit(1)).alias("size"), mean(F.col("value"), T.DoubleType(), EXACT).alias("center"))
 
 
 def _job_status(spark, sf_dir):

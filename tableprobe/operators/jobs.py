@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -112,17 +113,24 @@ def run_job(job: str, df: DataFrame, file_type: str = "csv", **arguments) -> Dat
     return _report(df, file_type, {job: _outcome(job, df, file_type, capture=False, **arguments)})
 
 
-def run_jobs(df: DataFrame, file_type: str = "csv", hold: bool = False,
+def run_jobs(df: DataFrame, file_type: str = "csv", hold: bool = False, concurrent: bool = True,
              arguments: dict[str, dict] | None = None) -> DataFrame:
     """The report of all four jobs, in order; a job that fails becomes a skip with its message.
 
-    ``arguments`` overrides the guessed roles per job. ``hold`` keeps the table for the length of the run, which
-    pays where reading it is dear, as with CSV; Parquet is better read again, column by column.
+    The jobs do not depend on each other and are submitted together, so that one's short stages fill the gaps of
+    another's; ``concurrent=False`` runs them in turn. ``arguments`` overrides the guessed roles per job. ``hold``
+    keeps the table for the length of the run, which pays where reading it is dear, as with CSV; Parquet is
+    better read again, column by column.
     """
     arguments = arguments or {}
 
     def outcomes(table: DataFrame) -> dict[str, dict]:
-        return {job: _outcome(job, table, file_type, True, **arguments.get(job, {})) for job in JOBS}
+        @inheritable_thread_target(df.sparkSession)
+        def outcome(job: str) -> dict:
+            return _outcome(job, table, file_type, True, **arguments.get(job, {}))
+
+        with ThreadPoolExecutor(len(JOBS) if concurrent else 1) as pool:
+            return dict(zip(JOBS, pool.map(outcome, JOBS)))
 
     if hold and not _is_text(file_type):
         with held(df) as table:

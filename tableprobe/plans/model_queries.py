@@ -76,7 +76,7 @@ def _kmeans_step(spark, sf_dir):
 def _job_status(spark, sf_dir):
     """Which jobs run on which table, on which columns, and why the others are skipped."""
     reports = [run_jobs(table(spark, sf_dir, name)).withColumn("table_name", F.lit(name))
-               for name in ("orders", "customer", "supplier", "pages")]
+               for name in ("orders", "customer", "pages")]
     return reduce(lambda a, b: a.unionByName(b), reports).select(
         "table_name", "job_order", "job", "skipped", "reason_code", "label",
         F.array_join("features", ",").alias("features"), "date_column", "value_column",
@@ -138,10 +138,6 @@ _STATUS_ROWS = """
     ('customer', 2, 'classification', NULL, 'c_mktsegment', 'c_custkey,c_nationkey,c_acctbal', NULL, NULL),
     ('customer', 3, 'clustering', NULL, NULL, 'c_custkey,c_nationkey,c_acctbal', NULL, NULL),
     ('customer', 4, 'timeSeries', 'NO_DATE', NULL, NULL, NULL, NULL),
-    ('supplier', 1, 'regression', NULL, 's_acctbal', 's_suppkey,s_nationkey', NULL, NULL),
-    ('supplier', 2, 'classification', 'NO_LABEL', NULL, NULL, NULL, NULL),
-    ('supplier', 3, 'clustering', NULL, NULL, 's_suppkey,s_nationkey,s_acctbal', NULL, NULL),
-    ('supplier', 4, 'timeSeries', 'NO_DATE', NULL, NULL, NULL, NULL),
     ('pages', 1, 'regression', 'FEW_NUMERIC', NULL, NULL, NULL, NULL),
     ('pages', 2, 'classification', 'NO_LABEL', NULL, NULL, NULL, NULL),
     ('pages', 3, 'clustering', 'FEW_NUMERIC', NULL, NULL, NULL, NULL),

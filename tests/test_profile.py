@@ -1,0 +1,144 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tableprobe.functions.columns import drop_missing
+from tableprobe.operators import profile
+
+NAN = float("nan")
+
+
+def distinct(df, **kwargs):
+    return {r["column"]: r["distinct_count"] for r in profile.distinct_profile(df, **kwargs).collect()}
+
+
+def brute_distinct(df, column):
+    return df.select("`" + column + "`").distinct().count()
+
+
+def test_null_and_nan_are_told_apart(spark):
+    df = spark.createDataFrame([(NAN,), (1.0,), (None,), (NAN,)], "v double")
+    nulls = profile.null_profile(df).first()
+    assert (nulls["rows"], nulls["null_count"], nulls["missing_percent"]) == (4, 1, 25.0)
+    assert distinct(df) == {"v": 3}
+    counted = profile.exact_counts(df, df.schema.fields, count_missing=False).first()
+    assert counted["distinct_count"] == 1
+    assert drop_missing(df, ["v"]).count() == df.dropna(subset=["v"]).count() == 1
+    numbers = profile.numeric_profile(df).first()
+    assert numbers["min"] == 1.0 and math.isnan(numbers["max"]) and math.isnan(numbers["mean"])
+
+
+def test_zero_signs_are_one_value(spark):
+    df = spark.createDataFrame([(0.0, [0.0]), (-0.0, [-0.0])], "v double, a array<double>")
+    assert distinct(df) == {"v": 1, "a": 1}
+
+
+def test_string_nan_is_a_value(spark):
+    df = spark.createDataFrame([("NaN",), (None,)], "s string")
+    assert profile.exact_counts(df, df.schema.fields, count_missing=False).first()["distinct_count"] == 1
+
+
+def test_every_type(spark):
+    df = spark.sql("""
+        SELECT cast(id AS tinyint) AS t, cast(id % 3 AS int) AS i, id AS l, cast(id % 2 AS decimal(20, 0)) AS big,
+               cast(id % 4 / 4 AS decimal(6, 2)) AS dec, id % 2 = 0 AS b, date_add(date'2024-01-01', cast(id % 5 AS int)) AS dt,
+               timestamp_micros(id) AS ts, cast(timestamp_micros(id % 6) AS timestamp_ntz) AS ntz,
+               cast(id % 3 AS float) AS f, cast(cast(id % 7 AS string) AS binary) AS bin,
+               array(id % 2, id % 3) AS arr, named_struct('x', id % 2, 'y', cast(null AS string)) AS st,
+               map(id, 1) AS m, array(map(id, 1)) AS am, null AS nothing, cast(id AS string) AS `b.c`,
+               make_dt_interval(cast(id % 2 AS int)) AS iv
+        FROM range(30)""")
+    found = distinct(df)
+    for column in df.columns:
+        if column in ("m", "am"):
+            assert found[column] is None
+        else:
+            assert found[column] == brute_distinct(df, column), column
+    described = {r["column"]: r for r in profile.describe(df).collect()}
+    assert [r["pos"] for r in described.values()] == list(range(len(df.columns)))
+    assert described["big"]["mean"] == 0.5 and described["dec"]["max"] == 0.75
+    assert described["nothing"]["null_count"] == 30 and described["nothing"]["missing_percent"] == 100.0
+    assert described["ts"]["min"] is None
+
+
+def test_long_values_are_compared_whole(spark):
+    stem = "x" * 20000
+    digest_like = spark.createDataFrame([(stem,)], "s string").select(F.sha2("s", 256)).first()[0]
+    rows = [(stem + "a",), (stem + "b",), (stem + "a",), ("x" * 64,), ("x" * 65,), (digest_like,), (None,)]
+    df = spark.createDataFrame(rows, "s string").withColumn("bin", F.col("s").cast("binary"))
+    assert distinct(df) == {"s": 6, "bin": 6}
+
+
+def test_empty_tables(spark):
+    no_rows = spark.createDataFrame([], "a string, v double")
+    assert distinct(no_rows) == {"a": 0, "v": 0}
+    nulls = profile.null_profile(no_rows).collect()
+    assert [(r["rows"], r["null_count"], r["missing_percent"]) for r in nulls] == [(0, 0, 0.0)] * 2
+    assert profile.numeric_profile(no_rows, exact_scale=2).first()["mean"] is None
+    assert profile.describe(no_rows).count() == 2
+
+    no_columns = spark.createDataFrame([], T.StructType([]))
+    assert profile.describe(no_columns).schema == profile.PROFILE_SCHEMA
+    assert profile.distinct_profile(no_columns).count() == 0
+    assert profile.null_profile(no_columns).count() == 0
+    assert profile.overview(no_columns).first() == (0, 0)
+
+
+def test_text_only_table_has_no_numeric_rows(spark):
+    assert profile.numeric_profile(spark.createDataFrame([("a",)], "s string")).count() == 0
+
+
+def test_mean_is_rounded_to_six_decimals(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "v double")
+    assert profile.numeric_profile(df).first()["mean"] == 1.333333
+    assert profile.numeric_profile(df, exact_scale=0).first()["mean"] == 4 / 3
+
+
+def test_missing_percent_has_four_decimals(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "v int")
+    assert profile.null_profile(df).first()["missing_percent"] == 33.3333
+
+
+def test_describe_matches_its_schema(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    described = profile.describe(df, " CSV ")
+    assert [(f.name, f.dataType) for f in described.schema] == [(f.name, f.dataType) for f in profile.PROFILE_SCHEMA]
+    assert described.first()["file_type"] == "csv"
+
+
+def test_column_types(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    assert [tuple(r) for r in profile.column_types(df).collect()] == [(0, "i", "int"), (1, "s", "string")]
+
+
+def test_sketch_is_close(spark):
+    df = spark.range(20000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 50).alias("few"))
+    found = distinct(df, rsd=0.02)
+    assert abs(found["id"] - 20000) < 2000
+    assert abs(found["few"] - 26) <= 2
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_partitioning_does_not_matter(spark, partitions):
+    df = spark.range(5000).select(
+        (F.col("id") % 97).alias("k"), (F.col("id") * 7 % 1000 / 100).alias("v"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("s"))
+    one = sorted(profile.describe(df.coalesce(1), exact_scale=2).collect())
+    assert sorted(profile.describe(df.repartition(partitions), exact_scale=2).collect()) == one
+
+
+def test_hot_value_is_combined_before_the_shuffle(spark):
+    df = spark.range(100).select(F.lit("hot").alias("s"))
+    plan = profile.distinct_profile(df)._jdf.queryExecution().executedPlan().toString()
+    inner = plan[plan.rindex("Exchange hashpartitioning(pos"):]
+    assert "HashAggregate" in inner and "Cartesian" not in plan
+
+
+def test_scans_read_only_the_columns_of_their_type(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).select("id", F.lit("a").alias("s"), F.lit(1.0).alias("v")).write.parquet(path)
+    plan = profile.distinct_profile(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    for schema in ("struct<id:bigint>", "struct<s:string>", "struct<v:double>"):
+        assert f"ReadSchema: {schema}" in plan

@@ -1,7 +1,7 @@
 """Dataset profile: size, types, null counts, distinct counts and numeric ranges.
 
 Nulls and ranges of all columns come from one global aggregate over one scan. Distinct counts come from a
-scan per column type, in long form; see `value_sets`.
+scan per column type, in long form; see `stacked`.
 """
 
 from __future__ import annotations
@@ -115,44 +115,43 @@ def _key(field: T.StructField, family: T.DataType) -> Column:
     return F.when(F.octet_length(column) > LONG_VALUE_BYTES, digest).otherwise(column)
 
 
-def value_sets(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType, DataFrame]]:
-    """Every distinct value of every field, as (pos, value) with pos counting through ``fields``: a frame per type.
+def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType, DataFrame]]:
+    """All values of all fields as (pos, value), pos counting through ``fields``: one frame per type.
 
-    Columns of one type are stacked and made distinct together, so rows are two cells wide however many columns
-    the table has, values keep their type and Spark's own notion of equality, and each frame scans only its
-    columns. Duplicates go on the map side: a value that fills a third of the table leaves a task as one row.
+    Rows are two cells wide however many columns the table has, values keep their type and Spark's own notion of
+    equality, and each frame scans only its columns.
     """
     families: dict[str, list[tuple[int, T.StructField]]] = {}
     for pos, field in enumerate(fields):
         families.setdefault(_family(field.dataType).simpleString(), []).append((pos, field))
-    sets = []
+    frames = []
     for members in families.values():
         family = _family(members[0][1].dataType)
         flat = [cell for pos, field in members for cell in (F.lit(pos), _key(field, family))]
-        values = df.select(F.stack(F.lit(len(members)), *flat).alias("pos", "value"))
-        sets.append((family, values.distinct()))
-    return sets
+        frames.append((family, df.select(F.stack(F.lit(len(members)), *flat).alias("pos", "value"))))
+    return frames
 
 
 def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool) -> DataFrame:
-    """(pos, distinct_count) of the fields that have a value; null and NaN count as values, or not at all."""
+    """(pos, distinct_count) of the fields that have a value; null and NaN count as values, or not at all.
+
+    Duplicates go on the map side, so a value that fills a third of the table leaves a task as one row, and the
+    remaining values are spread by position and value.
+    """
     counts = []
-    for family, values in value_sets(df, fields):
+    for family, values in stacked(df, fields):
         if not count_missing:
             values = values.where(present(T.StructField("value", family)))
-        counts.append(values.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
+        counts.append(values.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
     return reduce(DataFrame.unionByName, counts)
 
 
-def _sketched_counts(df: DataFrame, fields: list[T.StructField], rsd: float) -> DataFrame:
-    """(pos, distinct_count) from one sketch per field, null counting as a value: no value leaves its task."""
-    measures = []
-    for pos, field in enumerate(fields):
-        column = quoted(field.name)
-        has_null = F.coalesce(F.max(column.isNull().cast("bigint")), F.lit(0))
-        measures.append((F.approx_count_distinct(column, rsd) + has_null).alias(f"d{pos}"))
-    flat = [cell for pos in range(len(fields)) for cell in (F.lit(pos), F.col(f"d{pos}"))]
-    return df.agg(*measures).select(F.stack(F.lit(len(fields)), *flat).alias("pos", "distinct_count"))
+def sketched_counts(df: DataFrame, fields: list[T.StructField], rsd: float) -> DataFrame:
+    """(pos, distinct_count) estimated, null counting as a value: a task ships one sketch per field, no values."""
+    has_null = F.max(F.col("value").isNull().cast("bigint"))
+    estimate = F.approx_count_distinct("value", rsd) + has_null
+    counts = [values.groupBy("pos").agg(estimate.alias("distinct_count")) for _, values in stacked(df, fields)]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _distinct_counts(df: DataFrame, rsd: float | None) -> DataFrame:
@@ -162,7 +161,7 @@ def _distinct_counts(df: DataFrame, rsd: float | None) -> DataFrame:
     if not comparable:
         return positions.withColumn("distinct_count", F.lit(None).cast("bigint"))
     fields = [f for _, f in comparable]
-    counts = exact_counts(df, fields, count_missing=True) if rsd is None else _sketched_counts(df, fields, rsd)
+    counts = exact_counts(df, fields, count_missing=True) if rsd is None else sketched_counts(df, fields, rsd)
     places = F.array(*[F.lit(pos) for pos, _ in comparable])
     counts = counts.select(F.element_at(places, F.col("pos") + 1).alias("pos"), "distinct_count")
     known = F.col("pos").isin([pos for pos, _ in comparable])

@@ -6,7 +6,7 @@ from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import drop_missing, quoted
+from tableprobe.functions.columns import drop_missing, identifier, quoted
 from tableprobe.operators.roles import MAX_LABEL_VALUES
 
 TRAIN_PERCENT = 80
@@ -21,11 +21,11 @@ def clean_columns(df: DataFrame, features: list[str], label: str | None = None,
     ``extra`` columns come along unchanged as ``x0, x1, ...``; they may be null.
     """
     wanted = features + ([label] if label else [])
-    columns = [quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    columns = [f"double({identifier(c)}) AS f{i}" for i, c in enumerate(features)]
     if label:
-        columns.append(quoted(label).cast(label_type).alias("label"))
-    columns += [quoted(c).alias(f"x{i}") for i, c in enumerate(extra or [])]
-    return drop_missing(df, list(dict.fromkeys(wanted))).select(*columns)
+        columns.append(f"cast({identifier(label)} AS {label_type}) AS label")
+    columns += [f"{identifier(c)} AS x{i}" for i, c in enumerate(extra or [])]
+    return drop_missing(df, list(dict.fromkeys(wanted))).selectExpr(*columns)
 
 
 def assemble(clean: DataFrame, n_features: int) -> DataFrame:

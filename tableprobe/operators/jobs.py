@@ -32,6 +32,8 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("skipped", T.BooleanType()),
     T.StructField("reason_code", T.StringType()),
     T.StructField("reason", T.StringType()),
+    T.StructField("numeric_columns", T.ArrayType(T.StringType())),
+    T.StructField("method", T.StringType()),
     T.StructField("label", T.StringType()),
     T.StructField("features", T.ArrayType(T.StringType())),
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
@@ -64,7 +66,7 @@ def _daily_sample(df: DataFrame, date_col: str | None = None, value_col: str | N
     days = first_days(daily_stats(df, date_col, value_col), FIRST_DAYS).collect()
     if not days:
         raise SkipJob("EMPTY_AFTER_PARSE")
-    return {"date_column": date_col, "value_column": value_col, "sample": [tuple(day) for day in days]}
+    return {"method": "daily", "date_column": date_col, "value_column": value_col, "sample": [tuple(day) for day in days]}
 
 
 # In the order of the report.
@@ -100,9 +102,10 @@ def _outcome(job: str, df: DataFrame, file_type: str, capture: bool, **arguments
 
 def _report(df: DataFrame, file_type: str, outcomes: dict[str, dict]) -> DataFrame:
     order = list(JOBS)
+    numeric = [] if _is_text(file_type) else roles.numeric_columns(df)
     rows = []
     for job, outcome in outcomes.items():
-        known = {"job_order": order.index(job) + 1, "job": job,
+        known = {"job_order": order.index(job) + 1, "job": job, "numeric_columns": numeric,
                  "file_type": (file_type or "").strip().lower(), **outcome}
         rows.append(tuple(known.get(f.name) for f in REPORT_SCHEMA.fields))
     return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)

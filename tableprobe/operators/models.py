@@ -132,6 +132,7 @@ def fit_kmeans(df: DataFrame, features: list[str] | None = None, k: int = CLUSTE
     vectors = fx.assemble(clean, len(features)).select("features")
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(vectors)
     return {
+        "method": "kmeans",
         "features": features,
         "centers": [[float(v) for v in center] for center in model.clusterCenters()],
         "sizes": [int(n) for n in model.summary.clusterSizes],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import is_groupable, is_numeric, mean, present, quoted, ratio
+from tableprobe.functions.columns import identifier, is_groupable, is_numeric, mean, present, quoted, ratio
 
 # Values longer than this travel through the shuffle as a SHA-256 digest.
 LONG_VALUE_BYTES = 64
@@ -47,33 +47,34 @@ def column_types(df: DataFrame) -> DataFrame:
 def _stats(df: DataFrame, fields: list[T.StructField], nulls: bool, numbers: bool,
            exact_scale: int | None) -> DataFrame:
     """One row per field, from a single one-row aggregate over one scan that is then turned on its side."""
-    measures = [F.count(F.lit(1)).alias("rows")]
-    lines = []
+    names = ["present"] * nulls + ["min", "max", "mean"] * numbers
+    if not fields:
+        empty = T.StructType([T.StructField("rows", T.LongType()), T.StructField("column", T.StringType())])
+        return df.sparkSession.createDataFrame([], empty).selectExpr("*", *[f"double(null) AS {n}" for n in names])
+    measures, cells = ["count(1) AS rows"], []
     for pos, field in enumerate(fields):
-        column = quoted(field.name)
-        line: list[Column] = [F.lit(pos), F.lit(field.name), F.lit(field.dataType.simpleString())]
+        column = identifier(field.name)
+        cells.append(f"{pos}")
         if nulls:
             # count(c) rather than a test for null: it is what file formats can answer from their footers
-            measures.append(F.count(column).alias(f"n{pos}"))
-            line.append(F.col(f"n{pos}"))
-        if numbers:
-            if is_numeric(field.dataType):
-                average = mean(column, field.dataType, exact_scale)
-                measures += [
-                    F.min(column).cast("double").alias(f"lo{pos}"),
-                    F.max(column).cast("double").alias(f"hi{pos}"),
-                    (F.round(average, 6) if exact_scale is None else average).alias(f"avg{pos}"),
-                ]
-                line += [F.col(f"lo{pos}"), F.col(f"hi{pos}"), F.col(f"avg{pos}")]
-            else:
-                line += [F.lit(None).cast("double")] * 3
-        lines.append(line)
-    names = ["pos", "column", "type"] + ["present"] * nulls + ["min", "max", "mean"] * numbers
-    if not lines:
-        return df.limit(0).select(F.lit(0).cast("bigint").alias("rows"),
-                                  *[F.lit(None).alias(n) for n in names])
-    flat = [cell for line in lines for cell in line]
-    return df.agg(*measures).select("rows", F.stack(F.lit(len(lines)), *flat).alias(*names))
+            measures.append(f"count({column}) AS n{pos}")
+            cells.append(f"n{pos}")
+        if numbers and is_numeric(field.dataType):
+            average = mean(field.name, field.dataType, exact_scale)
+            measures += [f"double(min({column})) AS lo{pos}", f"double(max({column})) AS hi{pos}",
+                         f"{average if exact_scale is not None else f'round({average}, 6)'} AS avg{pos}"]
+            cells += [f"lo{pos}", f"hi{pos}", f"avg{pos}"]
+        elif numbers:
+            cells += ["double(null)"] * 3
+    wide = df.selectExpr(*measures)
+    stats = wide.selectExpr("rows", f"stack({len(fields)}, {', '.join(cells)}) AS ({', '.join(['pos'] + names)})")
+    return stats.select("rows", "pos", _at([f.name for f in fields]).alias("column"),
+                        _at([f.dataType.simpleString() for f in fields]).alias("type"), *names)
+
+
+def _at(values: list) -> Column:
+    """The element of ``values`` that ``pos`` points to."""
+    return F.element_at(F.lit(values), F.col("pos") + 1)
 
 
 def _null_columns() -> list[Column]:
@@ -106,13 +107,15 @@ def _family(data_type: T.DataType) -> T.DataType:
     return T.StringType() if isinstance(data_type, T.NullType) else data_type
 
 
-def _key(field: T.StructField, family: T.DataType) -> Column:
+def _key(field: T.StructField, family: T.DataType) -> str:
     """The value as it travels: of a long string or binary the digest of the whole, longer than any short one."""
-    column = quoted(field.name).cast(family)
+    column = identifier(field.name)
+    if family != field.dataType:
+        return f"cast({column} AS {family.simpleString()})"
     if family not in (T.StringType(), T.BinaryType()):  # collated strings equal in other ways: they go as they are
         return column
-    digest = F.concat(F.sha2(column.cast("binary"), 256), F.lit("#")).cast(family)
-    return F.when(F.octet_length(column) > LONG_VALUE_BYTES, digest).otherwise(column)
+    digest = f"cast(concat(sha2(cast({column} AS binary), 256), '#') AS {family.simpleString()})"
+    return f"CASE WHEN octet_length({column}) > {LONG_VALUE_BYTES} THEN {digest} ELSE {column} END"
 
 
 def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType, DataFrame]]:
@@ -127,8 +130,8 @@ def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType
     frames = []
     for members in families.values():
         family = _family(members[0][1].dataType)
-        flat = [cell for pos, field in members for cell in (F.lit(pos), _key(field, family))]
-        frames.append((family, df.select(F.stack(F.lit(len(members)), *flat).alias("pos", "value"))))
+        cells = ", ".join(f"{pos}, {_key(field, family)}" for pos, field in members)
+        frames.append((family, df.selectExpr(f"stack({len(members)}, {cells}) AS (pos, value)")))
     return frames
 
 
@@ -141,7 +144,7 @@ def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool
     counts = []
     for family, values in stacked(df, fields):
         if not count_missing:
-            values = values.where(present(T.StructField("value", family)))
+            values = values.where(present("value", family))
         counts.append(values.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
     return reduce(DataFrame.unionByName, counts)
 
@@ -162,9 +165,9 @@ def _distinct_counts(df: DataFrame, rsd: float | None) -> DataFrame:
         return positions.withColumn("distinct_count", F.lit(None).cast("bigint"))
     fields = [f for _, f in comparable]
     counts = exact_counts(df, fields, count_missing=True) if rsd is None else sketched_counts(df, fields, rsd)
-    places = F.array(*[F.lit(pos) for pos, _ in comparable])
-    counts = counts.select(F.element_at(places, F.col("pos") + 1).alias("pos"), "distinct_count")
-    known = F.col("pos").isin([pos for pos, _ in comparable])
+    places = [pos for pos, _ in comparable]
+    counts = counts.select(_at(places).alias("pos"), "distinct_count")
+    known = F.array_contains(F.lit(places), F.col("pos"))
     # at most one row per column of the table on either side, so the broadcast is bounded by the schema
     return positions.join(F.broadcast(counts), "pos", "left").select(
         "pos", F.when(known, F.coalesce("distinct_count", F.lit(0))).alias("distinct_count"))
@@ -177,9 +180,7 @@ def distinct_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
     """
     if not df.columns:
         return df.sparkSession.createDataFrame([], "column string, distinct_count bigint")
-    names = F.array(*[F.lit(c) for c in df.columns])
-    return _distinct_counts(df, rsd).select(
-        F.element_at(names, F.col("pos") + 1).alias("column"), "distinct_count")
+    return _distinct_counts(df, rsd).select(_at(df.columns).alias("column"), "distinct_count")
 
 
 def describe(df: DataFrame, file_type: str = "csv", exact_scale: int | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import is_groupable, is_numeric, present, quoted
+from tableprobe.functions.columns import identifier, is_groupable, is_numeric, present
 from tableprobe.functions.timestamps import DATE_LIKE
 from tableprobe.operators.profile import exact_counts
 
@@ -61,10 +61,9 @@ def _possible_labels(df: DataFrame, high: int) -> list[tuple[int, T.StructField]
         return fields
     marks = []
     for pos, field in fields:
-        bit = F.pmod(F.xxhash64(quoted(field.name)), F.lit(SCREEN_BITS)).cast("int")
-        mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-        marks.append(F.bit_count(F.bit_or(F.when(present(field), mark))).alias(f"b{pos}"))
-    bits = df.agg(*marks).first()
+        mark = f"shiftleft(1L, int(pmod(xxhash64({identifier(field.name)}), {SCREEN_BITS})))"
+        marks.append(f"bit_count(bit_or(CASE WHEN {present(field.name, field.dataType)} THEN {mark} END)) AS b{pos}")
+    bits = df.selectExpr(*marks).first()
     return [(pos, f) for pos, f in fields if (bits[f"b{pos}"] or 0) <= high]
 
 
@@ -78,11 +77,10 @@ def label_candidates(df: DataFrame, low: int = MIN_LABEL_VALUES, high: int = MAX
     possible = _possible_labels(df, high)
     if not possible:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    names = F.array(*[F.lit(f.name) for _, f in possible])
-    places = F.array(*[F.lit(pos) for pos, _ in possible])
+    names, places = F.lit([f.name for _, f in possible]), F.lit([pos for pos, _ in possible])
     here = F.col("pos") + 1
-    counts = exact_counts(df, [f for _, f in possible], count_missing=False).where(F.col("distinct_count").between(low, high))
-    return counts.select(
+    counts = exact_counts(df, [f for _, f in possible], count_missing=False)
+    return counts.where(F.col("distinct_count").between(low, high)).select(
         F.element_at(names, here).alias("column"), "distinct_count", F.element_at(places, here).alias("pos"),
     ).orderBy("distinct_count", "pos")
 

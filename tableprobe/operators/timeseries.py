@@ -15,7 +15,7 @@ FIRST_DAYS = 10
 
 def dated_values(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """(day, value) of the rows that have a date and a value; the day is null where the date cannot be read."""
-    rows = df.where(quoted(date_col).isNotNull() & present(df.schema[value_col]))
+    rows = df.where(quoted(date_col).isNotNull()).where(present(value_col, df.schema[value_col].dataType))
     return rows.select(F.to_date(parse_timestamp(df, date_col)).alias("day"), quoted(value_col).alias("value"))
 
 
@@ -30,13 +30,13 @@ def daily_stats(df: DataFrame, date_col: str | None = None, value_col: str | Non
     value_col = value_col or value_column(df)
     if date_col is None or value_col is None:
         raise ValueError("the table has no date column or no numeric column")
-    value, value_type = F.col("value"), df.schema[value_col].dataType
+    value_type = df.schema[value_col].dataType
     days = dated_values(df, date_col, value_col).groupBy("day").agg(
         F.count("day").alias("count"),
-        mean(value, value_type, exact_scale).alias("mean_value"),
-        F.min(value).cast(T.DoubleType()).alias("min_value"),
-        F.max(value).cast(T.DoubleType()).alias("max_value"),
-        total(value, value_type, exact_scale).alias("sum_value"),
+        F.expr(mean("value", value_type, exact_scale)).alias("mean_value"),
+        F.min("value").cast(T.DoubleType()).alias("min_value"),
+        F.max("value").cast(T.DoubleType()).alias("max_value"),
+        F.expr(total("value", value_type, exact_scale)).alias("sum_value"),
     )
     # Unreadable dates go by their count, after the group-by: a test of the day itself would be pushed below it
     # and parse every date twice.

@@ -70,7 +70,7 @@ def _kmeans_step(spark, sf_dir):
     """Nearest fixed center of every event, and where each center moves to."""
     assigned = models.assign_clusters(table(spark, sf_dir, "events"), ["value"], CENTERS)
     return assigned.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), mean(F.col("value"), T.DoubleType(), EXACT).alias("center"))
+        F.count(F.lit(1)).alias("size"), F.expr(mean("value", T.DoubleType(), EXACT)).alias("center"))
 
 
 def _job_status(spark, sf_dir):

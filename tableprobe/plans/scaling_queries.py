@@ -16,7 +16,7 @@ def timings(spark, sf_dir):
     workers = F.pow(F.lit(2), F.col("user_id") % 4).cast("int")
     runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("job"), workers.alias("workers"))
     skipped = F.col("elapsed") < LONG_RUN
-    return runs.agg(total(F.col("value"), T.DoubleType(), EXACT).alias("elapsed")).select(
+    return runs.agg(F.expr(total("value", T.DoubleType(), EXACT)).alias("elapsed")).select(
         "job", "workers", "elapsed", skipped.alias("skipped"),
         F.when(skipped, "EMPTY_AFTER_CLEAN").otherwise("").alias("reason"))
 

@@ -28,6 +28,8 @@ def test_all_jobs_run(spark, hold, concurrent):
     rows = report.collect()
     assert [(r["job_order"], r["job"], r["skipped"]) for r in rows] == [
         (1, "regression", False), (2, "classification", False), (3, "clustering", False), (4, "timeSeries", False)]
+    assert {tuple(r["numeric_columns"]) for r in rows} == {("id", "v")}
+    assert [r["method"] for r in rows] == [None, None, "kmeans", "daily"]
     assert rows[0]["label"] == "v" and rows[0]["features"] == ["id"] and set(rows[0]["metrics"]) == {"intercept", "rmse", "r2"}
     assert rows[1]["label"] == "kind" and rows[1]["metrics"]["num_classes"] == 2.0
     assert len(rows[2]["centers"]) == 3 and rows[2]["metrics"]["k"] == 3.0

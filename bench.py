@@ -1,7 +1,8 @@
 """Time the headline queries: one warm-up run each, then the median of several.
 
 Reads ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one line of JSON. Query names given as arguments
-replace the headline set.
+replace the headline set. ``--compare`` times the lineitem profile and its label candidates against plans that
+take one action per column.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from tableprobe import describe, label_candidates, numeric_columns
 from tableprobe.plans.catalog import QUERIES
 
 HEADLINE = [
@@ -38,20 +41,53 @@ def session() -> SparkSession:
     return spark
 
 
-def run(spark: SparkSession, name: str, sf_dir: str) -> float:
-    start = time.perf_counter()
+def run(spark: SparkSession, name: str, sf_dir: str) -> None:
     QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+
+
+def median(action, repeats: int) -> float:
+    def timed() -> float:
+        start = time.perf_counter()
+        action()
+        return time.perf_counter() - start
+
+    timed()
+    return round(statistics.median(timed() for _ in range(repeats)), 3)
+
+
+def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[str, float]]:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    numeric = numeric_columns(df)
+
+    def distinct_by_column():
+        return [df.select(c).na.drop().distinct().count() for c in df.columns]
+
+    def profile_by_column():
+        df.count()
+        for c in df.columns:
+            df.where(F.col(c).isNull()).count()
+            df.select(c).distinct().count()
+        df.agg(*[f(c) for c in numeric for f in (F.min, F.max, F.avg)]).collect()
+
+    return {
+        "profile": {"tableprobe": median(lambda: describe(df).collect(), repeats),
+                    "by_column": median(profile_by_column, repeats)},
+        "label_candidates": {"tableprobe": median(lambda: label_candidates(df).collect(), repeats),
+                             "by_column": median(distinct_by_column, repeats)},
+    }
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = session()
+    if "--compare" in sys.argv:
+        print(json.dumps(compare(spark, sf_dir, repeats)))
+        spark.stop()
+        return
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
-        run(spark, name, sf_dir)
-        seconds[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(repeats)), 3)
+        seconds[name] = median(lambda: run(spark, name, sf_dir), repeats)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

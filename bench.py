@@ -1,8 +1,8 @@
 """Time the headline queries: one warm-up run each, then the median of several.
 
 Reads ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one line of JSON. Query names given as arguments
-replace the headline set. ``--compare`` times the lineitem profile and its label candidates against plans that
-take one action per column.
+replace the headline set. With the headline set come, for comparison, the lineitem profile and its label candidates
+next to plans that take one action per column.
 """
 
 from __future__ import annotations
@@ -81,18 +81,15 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = session()
-    if "--compare" in sys.argv:
-        print(json.dumps(compare(spark, sf_dir, repeats)))
-        spark.stop()
-        return
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         seconds[name] = median(lambda: run(spark, name, sf_dir), repeats)
+    compared = {} if sys.argv[1:] else compare(spark, sf_dir, repeats)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
-        "cpus": int(os.environ.get("BENCH_CPUS", "8")), "repeats": repeats}))
+        "cpus": int(os.environ.get("BENCH_CPUS", "8")), "repeats": repeats, "compared": compared}))
     spark.stop()
 
 

@@ -145,6 +145,21 @@ def test_analyze(spark, tmp_path, staged):
         analyze(spark, path, "json", str(tmp_path / "reports"))
 
 
+def test_bad_lines_are_a_column_once_staged(spark, tmp_path):
+    path = file(tmp_path, "mixed.json", '{"a":1}\nnot json\n{"a":2}\n')
+    profile = analyze(spark, path, "json", str(tmp_path / "r"), staging=str(tmp_path / "s"))[1]
+    assert {r["column"]: (r["null_count"], r["distinct_count"]) for r in profile.collect()} == {
+        "_corrupt_record": (2, 2), "a": (1, 3)}
+    assert read_dataset(spark, path, "json", mode="DROPMALFORMED", schema="a bigint").count() == 2
+
+
+def test_analyze_text(spark, tmp_path):
+    path = file(tmp_path, "lines.txt", "one\ntwo\none\n")
+    run_id, profile, jobs = analyze(spark, path, "text", str(tmp_path / "r"), run_id="r1")
+    assert run_id == "r1" and profile.select("file_type", "rows", "distinct_count").first() == ("text", 3, 2)
+    assert {r["reason_code"] for r in jobs.collect()} == {"TEXT_INPUT"}
+
+
 def test_scratch_follows_the_session(spark):
     assert scratch_directory(spark) != scratch_directory(spark)
 

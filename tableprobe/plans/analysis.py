@@ -22,7 +22,7 @@ def analyze(spark: SparkSession, path: str, file_type: str, report_base: str, ru
     """
     name = os.path.basename(path.rstrip("/"))
     df = read_dataset(spark, path, file_type, **options)
-    check_dataset(df, name, file_type)
+    check_dataset(df, path, file_type)
     if staging is not None:
         df.write.mode("errorifexists").parquet(staging)
         df = spark.read.parquet(staging)

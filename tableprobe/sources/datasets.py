@@ -43,8 +43,12 @@ def read_dataset(spark: SparkSession, path: str | list[str], file_type: str,
 
 
 def check_dataset(df: DataFrame, path: str, file_type: str) -> None:
-    """Refuse a file whose name contradicts the declared format, and an empty file; a lone CSV header may pass."""
-    if not is_allowed(os.path.basename(path), file_type):
+    """Refuse a file whose name contradicts the declared format, and an empty file; a lone CSV header may pass.
+
+    A name without an extension is taken for a directory of files, whose names are not checked.
+    """
+    name = os.path.basename(path.rstrip("/"))
+    if "." in name and not is_allowed(name, file_type):
         raise ValueError(f"{path!r} is not named like a {file_type} file")
     if not df.columns or (_normal(file_type) == "text" and df.isEmpty()):
         raise ValueError(f"{path!r} is empty")

@@ -153,6 +153,17 @@ def test_bad_lines_are_a_column_once_staged(spark, tmp_path):
     assert read_dataset(spark, path, "json", mode="DROPMALFORMED", schema="a bigint").count() == 2
 
 
+def test_analyze_directory(spark, tmp_path):
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for n in range(3):
+        file(parts, f"part{n}.csv", f"a,day\n{n},2024-01-0{n + 1}\n")
+    for path in (f"{parts}/", f"{parts}/part*.csv"):
+        run_id, profile, jobs = analyze(spark, path, "csv", str(tmp_path / "r"), run_id=f"r{len(path)}")
+        assert profile.first()["rows"] == 3
+        assert len(jobs.where("job = 'timeSeries'").first()["sample"]) == 3
+
+
 def test_analyze_text(spark, tmp_path):
     path = file(tmp_path, "lines.txt", "one\ntwo\none\n")
     run_id, profile, jobs = analyze(spark, path, "text", str(tmp_path / "r"), run_id="r1")

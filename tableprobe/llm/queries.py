@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.llm import bpe
 from tableprobe.llm.exact_dedup import exact_dedup
+from tableprobe.llm.simhash import simhash_groups
 from tableprobe.plans.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,9 +28,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, distance=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.llm import bpe
 from tableprobe.llm.exact_dedup import exact_dedup
+from tableprobe.llm.line_dedup import line_dedup
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.plans.tables import table
 
@@ -28,6 +29,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, distance=3).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,10 +45,34 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
 }
 
+LINE_DEDUP_SQL = """
+    all_lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM {source}),
+    line_windows AS (
+        SELECT doc_id, pos, parts[pos] || chr(10) || parts[pos + 1] || chr(10) || parts[pos + 2] AS body
+        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) - 1)) AS pos FROM all_lines)),
+    later AS (
+        SELECT doc_id, pos FROM line_windows QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1),
+    covered AS (
+        SELECT doc_id, line, line - dense_rank() OVER (PARTITION BY doc_id ORDER BY line) AS run
+        FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM later)),
+    counted AS (
+        SELECT doc_id, count(*) AS n_removed, count(DISTINCT run) AS n_spans, list(line) AS gone
+        FROM covered GROUP BY doc_id),
+    thinned AS (
+        SELECT a.doc_id, coalesce(len(parts), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans,
+               CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+                   [parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(gone, i)], chr(10)) END AS text
+        FROM all_lines a LEFT JOIN counted c ON a.doc_id = c.doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH {LINE_DEDUP_SQL.format(source="documents")}
+        SELECT doc_id, n_lines, n_removed, n_spans, sha256(coalesce(text, '')) AS kept_sha256 FROM thinned""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

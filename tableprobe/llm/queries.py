@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe
+from tableprobe.llm import bpe, quality
 from tableprobe.llm.exact_dedup import exact_dedup
 from tableprobe.llm.line_dedup import line_dedup
 from tableprobe.llm.simhash import simhash_groups
@@ -42,11 +42,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fold(column: str, folds: int) -> Column:
+    """The checksum of the key as text, modulo ``folds``; 0 for a null key."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality.score(documents, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op8_quality": op8_quality,
 }
 
 LINE_DEDUP_SQL = """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tableprobe.llm import bpe, quality
 from tableprobe.llm.exact_dedup import exact_dedup
 from tableprobe.llm.line_dedup import line_dedup
+from tableprobe.llm.secret_scan import scan_secrets, span_text
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.plans.tables import table
 
@@ -42,6 +43,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
+
+
 def fold(column: str, folds: int) -> Column:
     """The checksum of the key as text, modulo ``folds``; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
@@ -60,6 +73,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op8_quality": op8_quality,
 }
 

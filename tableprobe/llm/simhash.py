@@ -66,7 +66,7 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
     padded[:len(values)] = values
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return np.packbits(np.ascontiguousarray(bits.transpose(0, 2, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
 
 
 def close_pairs(values: np.ndarray, group_end: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

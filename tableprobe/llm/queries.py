@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tableprobe.llm import bpe, quality
 from tableprobe.llm.exact_dedup import exact_dedup
 from tableprobe.llm.line_dedup import line_dedup
+from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.secret_scan import scan_secrets, span_text
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.plans.tables import table
@@ -68,6 +69,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
 }
 
 LINE_DEDUP_SQL = """

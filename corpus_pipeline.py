@@ -1,13 +1,80 @@
-"""The corpus pipeline; its stages are added as their operators come."""
+"""The corpus pipeline: documents are filtered, thinned, deduplicated, cleaned of secrets and packed into sequences.
+
+Each stage is a function of (session, documents, directory of the tables). Its input is what the stage before it wrote;
+all but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tableprobe.llm import quality
+from tableprobe.llm.common import staged, without
+from tableprobe.llm.line_dedup import line_dedup
+from tableprobe.llm.packing import pack_documents
+from tableprobe.llm.queries import BYTE_BPE, fold
+from tableprobe.llm.secret_scan import redact_secrets
+from tableprobe.llm.simhash import simhash_groups
+from tableprobe.plans.tables import table
+
+
+def with_new_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``changed``, with the length of the text brought up to date."""
+    return changed.select(*[
+        F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score of at least a half, by a model of the labelled rows outside the held-out third."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    scored = quality.score(docs, model, output="_score")
+    return scored.where("_score >= 0.5").select(*docs.columns)
+
+
+def thin_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of passages of three lines and more; those covered whole go."""
+    thinned = line_dedup(docs)
+    whole = (F.size("spans") == 1) & (F.col("spans")[0]["end"] - F.col("spans")[0]["start"] == F.col("n_lines"))
+    return with_new_text(docs, thinned.where(~whole))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row of the smallest doc_id, or one of them if rows repeat it."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = numbered.withColumn("_id", F.struct("doc_id", "_row"))
+    groups = simhash_groups(keyed.select("_id", "text"), key="_id", words=3, distance=3)
+    dropped = staged(groups.where(F.col("_id._row") != F.col("component_id._row")).select(
+        F.col("_id._row").alias("key")))
+    return without(numbered, F.col("_row"), dropped).select(*docs.columns)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of every secret."""
+    return with_new_text(docs, redact_secrets(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, and their places in sequences of 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path(BYTE_BPE))
+
+
+STAGES = [
+    ("quality_classifier", filter_quality),
+    ("line_dedup", thin_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scans", remove_secrets),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
+# Fitted scores, bit counts of hashes and token ids are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, one after the other."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

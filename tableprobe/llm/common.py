@@ -56,3 +56,32 @@ def map_rows(df: DataFrame, function: Callable[[pa.Table], pa.Table | pa.RecordB
                     yield result
 
     return df.mapInArrow(batches, schema)
+
+
+SIEVE_BITS = 1 << 23  # 131,072 words of 64 bits are broadcast, whatever the data
+
+
+def sieved(df: DataFrame, key: Column, listed: DataFrame, listed_key: Column) -> DataFrame:
+    """Add ``_hit``: false only where the bigint ``key`` is surely not among ``listed_key`` of ``listed``.
+
+    Rows that aren't listed are told apart without a shuffle, by one bit per remainder of the key; those that are hit
+    need an exact join. The sieve has a fixed size: with very many listed keys it lets more pass, and stays right.
+    """
+    def place(c: Column) -> tuple[Column, Column]:
+        slot = c.bitwiseAND(F.lit(SIEVE_BITS - 1))
+        return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                                                      slot.bitwiseAND(F.lit(63)).cast("int"))
+
+    word, bit = place(listed_key)
+    sieve = listed.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    word, bit = place(key)
+    joined = df.withColumn("_word", word).join(F.broadcast(sieve), "_word", "left")
+    return joined.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop(
+        "_word", "_bits")
+
+
+def without(df: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose bigint ``key`` is not in the column ``key`` of ``dropped``; only hits are shuffled."""
+    marked = sieved(df.withColumn("_key", key), F.col("_key"), dropped, F.col("key"))
+    hits = marked.where("_hit").join(dropped.select(F.col("key").alias("_key")).hint("merge"), "_key", "left_anti")
+    return marked.where("NOT _hit").unionByName(hits).drop("_key", "_hit")

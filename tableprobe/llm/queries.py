@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.llm import bpe, quality
 from tableprobe.llm.exact_dedup import exact_dedup
+from tableprobe.llm.language_id import learn_profiles, predict_language
 from tableprobe.llm.line_dedup import line_dedup
 from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.secret_scan import scan_secrets, span_text
@@ -61,6 +62,14 @@ def fold(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learned = F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)
+    profiles = learn_profiles(documents, learned)
+    return predict_language(documents.select("doc_id", "text"), profiles).select(
+        "doc_id", (~learned).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
@@ -79,6 +88,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
+    "op6_language": op6_language,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }

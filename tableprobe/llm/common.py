@@ -85,3 +85,18 @@ def without(df: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     marked = sieved(df.withColumn("_key", key), F.col("_key"), dropped, F.col("key"))
     hits = marked.where("_hit").join(dropped.select(F.col("key").alias("_key")).hint("merge"), "_key", "left_anti")
     return marked.where("NOT _hit").unionByName(hits).drop("_key", "_hit")
+
+
+HOT_SHARE = 1000  # a group of over 1/1000 of the rows is hot; there are at most so many, whatever the data
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Join rows with their groups, of which ``count`` is the size and ``total`` the sum of all sizes.
+
+    Hot groups are broadcast: there are at most ``HOT_SHARE`` of them. What is dealt by key then has no key with
+    more than 1/HOT_SHARE of the rows.
+    """
+    limit = total // HOT_SHARE
+    hot, cold = groups.where(F.col(count) > limit), groups.where(F.col(count) <= limit)
+    return rows.join(F.broadcast(hot), on).unionByName(
+        rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.llm import bpe, quality
+from tableprobe.llm.embedding_dedup import embedding_groups
 from tableprobe.llm.exact_dedup import exact_dedup
 from tableprobe.llm.language_id import learn_profiles, predict_language
 from tableprobe.llm.line_dedup import line_dedup
@@ -70,6 +71,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~learned).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(documents, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
@@ -89,6 +94,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
+    "op7_embeddings": op7_embeddings,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }

@@ -157,19 +157,20 @@ def bucket_keys(distance: int) -> list:
             for number, (x, y) in enumerate(combinations(range(n), 2))]
 
 
-def split_hot(rows: DataFrame, unit: str, member: str, block: int) -> DataFrame:
-    """Add (i, j): buckets of more than ``block`` members are cut into blocks, and every two blocks meet in a unit.
+def split_hot(rows: DataFrame, unit: list[str], member: str, block: int) -> DataFrame:
+    """Add (own, i, j): buckets of more than ``block`` members are cut into blocks, and every two meet in a unit.
 
-    The sizes are counted first; buckets within the limit are one unit and their rows stay single.
+    ``own`` is the block of the row, (i, j) the blocks that meet. The sizes are counted first; buckets within the limit
+    are one unit and their rows stay single.
     """
-    large = staged(rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(
-        unit, F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    large = staged(rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") > block)
+                   .select(*unit, F.ceil(F.col("n_members") / block).cast("int").alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
     return (
         rows.join(large, unit, "left")
         .withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+        .select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
 
 
 def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3,
@@ -185,7 +186,7 @@ def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     marked = staged(fingerprints(df, text, key, words))
     distinct = staged(marked.groupBy("fp").agg(F.min("key").alias("first")))
     probes = distinct.select("fp", F.explode(F.array(*bucket_keys(distance))).alias("unit"))
-    units = split_hot(probes, "unit", "fp", BLOCK).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    units = split_hot(probes, ["unit"], "fp", BLOCK).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     links = units.select("unit", "i", "j", "fp").mapInArrow(
         lambda stream: links_within(stream, distance), "a bigint, b bigint")
     whole = components(links)

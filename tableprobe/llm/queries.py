@@ -14,6 +14,7 @@ from tableprobe.llm.line_dedup import line_dedup
 from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.secret_scan import scan_secrets, span_text
 from tableprobe.llm.simhash import simhash_groups
+from tableprobe.llm.suffix_dedup import suffix_dedup
 from tableprobe.plans.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -87,6 +88,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +105,7 @@ QUERIES = {
     "op7_embeddings": op7_embeddings,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 LINE_DEDUP_SQL = """

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tableprobe import describe, label_candidates, numeric_columns
 from tableprobe.plans.catalog import QUERIES
+from tableprobe.sources.scratch import own_folder
 
 HEADLINE = [
     "profile_lineitem", "profile_distinct", "profile_nulls", "profile_numeric", "profile_distinct_texts",
@@ -38,6 +39,7 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    own_folder(spark)
     return spark
 
 

@@ -66,6 +66,7 @@ def total(name: str, data_type: T.DataType, exact_scale: int | None = None) -> s
     With ``exact_scale``, the number of decimals the data has, the sum does not depend on the order of the rows:
     floats are rounded to that many decimals and summed as whole units. Going through bigint keeps the
     conversion to decimal cheap; the sum itself is a decimal and has room for far more rows than a bigint.
+    Floats that are no such units (NaN, infinities, values past a bigint) are summed as doubles and added.
     """
     column = identifier(name)
     if exact_scale is None:
@@ -75,8 +76,11 @@ def total(name: str, data_type: T.DataType, exact_scale: int | None = None) -> s
     if not is_floating(data_type):
         return f"double(sum(cast(bigint({column}) AS decimal(19, 0))))"
     factor = 10 ** exact_scale
-    units = f"sum(cast(bigint(rint(double({column}) * {factor})) AS decimal(19, 0)))"
-    return f"double({units} / cast({factor} AS decimal({exact_scale + 1}, 0)))"
+    fits = f"abs(double({column}) * {factor}D) < 9.2e18D"
+    units = f"sum(CASE WHEN {fits} THEN cast(bigint(rint(double({column}) * {factor}D)) AS decimal(19, 0)) END)"
+    rest = f"sum(CASE WHEN NOT {fits} THEN double({column}) END)"
+    exact = f"double({units} / cast({factor} AS decimal({exact_scale + 1}, 0)))"
+    return f"CASE WHEN count({column}) > 0 THEN coalesce({exact}, 0D) + coalesce({rest}, 0D) END"
 
 
 def mean(name: str, data_type: T.DataType, exact_scale: int | None = None) -> str:
@@ -87,6 +91,33 @@ def mean(name: str, data_type: T.DataType, exact_scale: int | None = None) -> st
     return f"CASE WHEN count({column}) > 0 THEN {total(name, data_type, exact_scale)} / count({column}) END"
 
 
+def canonical(expression: str, data_type: T.DataType, depth: int = 0) -> str:
+    """SQL that writes a value as text, so that two texts are equal exactly if Spark counts the values as one.
+
+    Every part carries its length or number of elements; null, NaN and zeros of either sign each have one form.
+    """
+    if isinstance(data_type, T.ArrayType):
+        element = f"e{depth}"
+        inner = canonical(element, data_type.elementType, depth + 1)
+        text = f"concat('[', size({expression}), ':', array_join(transform({expression}, {element} -> {inner}), ''))"
+    elif isinstance(data_type, T.StructType):
+        parts = [canonical(f"{expression}.{identifier(f.name)}", f.dataType, depth) for f in data_type.fields]
+        text = f"concat('(', {', '.join(parts)})" if parts else "'('"
+    else:
+        if is_floating(data_type):
+            leaf = f"string(double({expression}) + 0D)"
+        elif isinstance(data_type, T.BinaryType):
+            leaf = f"hex({expression})"
+        elif isinstance(data_type, T.TimestampType):
+            leaf = f"string(unix_micros({expression}))"
+        elif isinstance(data_type, T.StringType) and not data_type.isUTF8BinaryCollation():
+            leaf = f"hex(collation_key({expression}))"
+        else:
+            leaf = f"string({expression})"
+        text = f"concat(octet_length({leaf}), ':', {leaf})"
+    return f"CASE WHEN {expression} IS NULL THEN 'n' ELSE {text} END"
+
+
 def finite_or_none(value: float | None) -> float | None:
     """A driver-side number as a report may hold it: NaN and infinities become null."""
     if value is None or value != value or value in (float("inf"), float("-inf")):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import drop_missing, identifier, quoted
-from tableprobe.operators.roles import MAX_LABEL_VALUES
+from tableprobe.sources.scratch import scratch_directory
 
 TRAIN_PERCENT = 80
 SPLIT_SEED = 42
@@ -45,28 +46,32 @@ def label_counts(df: DataFrame, column: str = "label") -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def frequent_labels(counts: DataFrame) -> list[str] | None:
-    """Labels of `label_counts`, most frequent first, ties in alphabetical order.
-
-    Counting is an ordinary group-by; the driver sees at most ``MAX_LABEL_VALUES`` labels and one more. None when
-    there are more: such a column is not a label.
-    """
-    top = counts.orderBy(F.desc("rows"), "label").limit(MAX_LABEL_VALUES + 1).collect()
-    return [row["label"] for row in top] if len(top) <= MAX_LABEL_VALUES else None
-
-
-def label_indexer(labels: list[str], output: str = "label_index") -> StringIndexerModel:
-    """Number the labels in their order; rows with other labels are skipped."""
-    return StringIndexerModel.from_labels(labels, inputCol="label", outputCol=output, handleInvalid="skip")
+def label_indexer(clean: DataFrame, output: str = "label_index") -> StringIndexerModel:
+    """Number the values of ``label``, most frequent first, ties in alphabetical order, however many there are."""
+    return StringIndexer(inputCol="label", outputCol=output, handleInvalid="skip",
+                         stringOrderType="frequencyDesc").fit(clean)
 
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
-    """(label, label_index, rows) for every value of a label column."""
-    counts = label_counts(df, column)
-    labels = frequent_labels(counts)
-    if not labels:
-        raise ValueError(f"column {column!r} has no values, or more than {MAX_LABEL_VALUES}")
-    return label_indexer(labels).transform(counts).select("label", "label_index", "rows")
+    """(label, label_index, rows) for every value of a label column, numbered like `label_indexer` does.
+
+    The counts are sorted by range and written to the shared folder; a label's number is its place in its partition
+    after the sizes of the partitions before. The driver sees no label.
+    """
+    spark = df.sparkSession
+    directory = scratch_directory(spark)
+    part = F.spark_partition_id()
+    (label_counts(df, column).orderBy(F.desc("rows"), "label")
+     .select("label", "rows", part.alias("part"),
+             (F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)).alias("place"))
+     .write.parquet(directory))
+    placed = spark.read.schema("label string, rows bigint, part int, place bigint").parquet(directory)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # one row per partition of the sort
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select(
+        "label", (F.col("start") + F.col("place")).cast("double").alias("label_index"), "rows")
 
 
 def hash_bucket(columns: list[Column], portable: bool = False) -> Column:

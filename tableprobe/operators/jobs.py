@@ -11,6 +11,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tableprobe.functions.columns import finite_or_none
 from tableprobe.operators import models, roles
 from tableprobe.operators.models import REASONS, SkipJob
 from tableprobe.operators.scaling import TIMINGS_SCHEMA
@@ -47,7 +48,15 @@ REPORT_SCHEMA = T.StructType([
 
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
-    """The table kept in memory and on disk, and read once, for the length of the block."""
+    """The table kept in memory and on disk, and read once, for the length of the block.
+
+    A table that its owner keeps already stays so afterwards.
+    """
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:
+        df.count()
+        yield df
+        return
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kept.count()
@@ -66,7 +75,8 @@ def _daily_sample(df: DataFrame, date_col: str | None = None, value_col: str | N
     days = first_days(daily_stats(df, date_col, value_col), FIRST_DAYS).collect()
     if not days:
         raise SkipJob("EMPTY_AFTER_PARSE")
-    return {"method": "daily", "date_column": date_col, "value_column": value_col, "sample": [tuple(day) for day in days]}
+    sample = [tuple(finite_or_none(v) if isinstance(v, float) else v for v in day) for day in days]
+    return {"method": "daily", "date_column": date_col, "value_column": value_col, "sample": sample}
 
 
 # In the order of the report.

@@ -6,15 +6,16 @@ that is slow to read may be held by the caller, see `tableprobe.operators.jobs.h
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import finite_or_none, quoted
+from tableprobe.functions.columns import finite_or_none, identifier
 from tableprobe.operators import features as fx
 from tableprobe.operators import roles
 
@@ -70,9 +71,21 @@ def fit_regression(df: DataFrame, label: str | None = None, features: list[str]
     }
 
 
-def fit_classification(df: DataFrame, label: str | None = None, features: list[str] | None = None,
-                       keys: list[str] | None = None, method: str = "hash") -> dict:
-    """Logistic regression on the training part, accuracy on the test part."""
+@dataclass
+class Classifier:
+    """A fitted classifier, the labels by their number, and the vectors it was fitted on and is tested on."""
+
+    model: LogisticRegressionModel
+    label: str
+    features: list[str]
+    labels: list[str]
+    train: DataFrame
+    test: DataFrame
+
+
+def train_classifier(df: DataFrame, label: str | None = None, features: list[str] | None = None,
+                     keys: list[str] | None = None, method: str = "hash") -> Classifier:
+    """Logistic regression on the training part. A label that is named may have any number of values."""
     numeric = roles.numeric_columns(df)
     if not numeric and not features:
         raise SkipJob("NO_NUMERIC")
@@ -84,12 +97,9 @@ def fit_classification(df: DataFrame, label: str | None = None, features: list[s
     if not features:
         raise SkipJob("NO_FEATURES")
     clean = fx.clean_columns(df, features, label, "string", extra=keys)
-    labels = fx.frequent_labels(fx.label_counts(clean))
-    if labels is None:
-        raise SkipJob("NO_LABEL")
-    if not labels:
+    indexer = fx.label_indexer(clean)
+    if not indexer.labels:
         raise SkipJob("EMPTY_AFTER_CLEAN")
-    indexer = fx.label_indexer(labels)
     key_columns = [f"x{i}" for i in range(len(keys))] if keys else None
     train, test = fx.split(clean, key_columns, method)
     if train.isEmpty() or test.isEmpty():
@@ -101,19 +111,43 @@ def fit_classification(df: DataFrame, label: str | None = None, features: list[s
 
     model = LogisticRegression(
         featuresCol="features", labelCol="label", maxIter=LOGISTIC_ITERATIONS).fit(vectors(train))
-    scored = model.transform(vectors(test)).agg(
+    return Classifier(model, label, features, list(indexer.labels), vectors(train), vectors(test))
+
+
+def fit_classification(df: DataFrame, label: str | None = None, features: list[str] | None = None,
+                       keys: list[str] | None = None, method: str = "hash") -> dict:
+    """Logistic regression on the training part, accuracy on the test part."""
+    fit = train_classifier(df, label, features, keys, method)
+    scored = fit.model.transform(fit.test).agg(
         accuracy(F.col("label"), F.col("prediction")).alias("accuracy"), F.count(F.lit(1)).alias("rows")).first()
     return {
-        "label": label,
-        "features": features,
+        "label": fit.label,
+        "features": fit.features,
         "metrics": {
             "accuracy": scored["accuracy"],
-            "num_classes": float(len(labels)),
+            "num_classes": float(len(fit.labels)),
             "test_rows": float(scored["rows"]),
         },
     }
 
 
+def calibration(fit: Classifier) -> DataFrame:
+    """One row per class: (label, train_rows, test_rows, share, mean_probability), both of the training rows.
+
+    At the optimum of a fit with intercept and no penalty the mean probability of a class is its share.
+    """
+    scored = fit.model.transform(fit.train).select("label", vector_to_array("probability").alias("p"))
+    sides = scored.select(F.lit("train").alias("side"), "label", "p").unionByName(
+        fit.test.select(F.lit("test").alias("side"), "label", F.lit(None).cast("array<double>").alias("p")))
+    classes = F.posexplode(F.lit(fit.labels)).alias("number", "name")
+    train, own = F.col("side") == "train", F.col("label") == F.col("number")
+    return sides.select("*", classes).groupBy("name").agg(
+        F.count_if(train & own).alias("train_rows"), F.count_if(~train & own).alias("test_rows"),
+        F.avg(F.when(train, own.cast("double"))).alias("share"),
+        F.avg(F.when(train, F.get("p", F.col("number")))).alias("mean_probability"),
+    ).withColumnRenamed("name", "label")
+
+
 def accuracy(label, prediction):
     """Share of rows where both columns agree, as an aggregate rounded to 6 decimals."""
     return F.round(F.avg((label == prediction).cast("double")), 6)
@@ -134,7 +168,7 @@ def fit_kmeans(df: DataFrame, features: list[str] | None = None, k: int = CLUSTE
     return {
         "method": "kmeans",
         "features": features,
-        "centers": [[float(v) for v in center] for center in model.clusterCenters()],
+        "centers": [[finite_or_none(float(v)) for v in center] for center in model.clusterCenters()],
         "sizes": [int(n) for n in model.summary.clusterSizes],
         "metrics": {"k": float(k), "training_cost": finite_or_none(model.summary.trainingCost)},
     }
@@ -173,14 +207,9 @@ def kmeans_report(df: DataFrame, features: list[str] | None = None, k: int = CLU
 
 def assign_clusters(df: DataFrame, features: list[str], centers: list[list[float]]) -> DataFrame:
     """Add ``cluster``: the number of the nearest center, the lower one on a tie."""
-    distances = [
-        reduce(lambda a, b: a + b, [F.pow(quoted(c).cast("double") - F.lit(float(v)), 2)
-                                    for c, v in zip(features, center)])
-        for center in centers
-    ]
-    nearest = F.lit(0)
-    best = distances[0]
-    for number, distance in enumerate(distances[1:], start=1):
-        nearest = F.when(distance < best, F.lit(number)).otherwise(nearest)
-        best = F.least(best, distance)
+    columns = [f"double({identifier(c)})" for c in features]
+    distances = ", ".join(
+        "double(" + " + ".join(f"power({c} - {float(v)!r}D, 2)" for c, v in zip(columns, center)) + ")"
+        for center in centers)
+    nearest = F.expr(f"aggregate(array(array({distances})), 0, (a, d) -> int(array_position(d, array_min(d))) - 1)")
     return fx.drop_missing(df, features).withColumn("cluster", nearest)

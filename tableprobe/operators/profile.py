@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import identifier, is_groupable, is_numeric, mean, present, quoted, ratio
+from tableprobe.functions.columns import (
+    canonical, identifier, is_groupable, is_numeric, mean, present, quoted, ratio)
 
-# Values longer than this travel through the shuffle as a SHA-256 digest.
-LONG_VALUE_BYTES = 64
+COLUMNS_PER_AGGREGATE = 24  # one aggregate of very many measures takes long to plan and is not compiled
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("file_type", T.StringType()),
@@ -46,7 +46,19 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def _stats(df: DataFrame, fields: list[T.StructField], nulls: bool, numbers: bool,
            exact_scale: int | None) -> DataFrame:
-    """One row per field, from a single one-row aggregate over one scan that is then turned on its side."""
+    """One row per field. Columnar files are read once, whatever the width: each aggregate scans its own columns."""
+    size = COLUMNS_PER_AGGREGATE
+    parts = [_stats_of(df, fields[at:at + size], at, nulls, numbers, exact_scale)
+             for at in range(0, max(1, len(fields)), size)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _stats_of(df: DataFrame, fields: list[T.StructField], first: int, nulls: bool, numbers: bool,
+              exact_scale: int | None) -> DataFrame:
+    """One row per field, from a single one-row aggregate over one scan that is then turned on its side.
+
+    Positions count from ``first``.
+    """
     names = ["present"] * nulls + ["min", "max", "mean"] * numbers
     if not fields:
         empty = T.StructType([T.StructField("rows", T.LongType()), T.StructField("column", T.StringType())])
@@ -68,7 +80,7 @@ def _stats(df: DataFrame, fields: list[T.StructField], nulls: bool, numbers: boo
             cells += ["double(null)"] * 3
     wide = df.selectExpr(*measures)
     stats = wide.selectExpr("rows", f"stack({len(fields)}, {', '.join(cells)}) AS ({', '.join(['pos'] + names)})")
-    return stats.select("rows", "pos", _at([f.name for f in fields]).alias("column"),
+    return stats.select("rows", (F.col("pos") + first).alias("pos"), _at([f.name for f in fields]).alias("column"),
                         _at([f.dataType.simpleString() for f in fields]).alias("type"), *names)
 
 
@@ -100,38 +112,45 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None,
     return _stats(df, fields, nulls=False, numbers=True, exact_scale=exact_scale).select("column", "min", "max", "mean")
 
 
-def _family(data_type: T.DataType) -> T.DataType:
-    """The type under which values of ``data_type`` are compared: integers of all widths go together."""
+def _family(data_type: T.DataType) -> str:
+    """The type under which values are compared: one for integers of all widths, digests for all of no fixed width."""
     if isinstance(data_type, T.IntegralType):
-        return T.LongType()
-    return T.StringType() if isinstance(data_type, T.NullType) else data_type
+        return "bigint"
+    if isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.NullType)):
+        return "binary"
+    return data_type.simpleString()
 
 
-def _key(field: T.StructField, family: T.DataType) -> str:
-    """The value as it travels: of a long string or binary the digest of the whole, longer than any short one."""
+def _key(field: T.StructField) -> str:
+    """The value as it travels: of strings, binaries and nested values the SHA-256 digest, 32 bytes."""
     column = identifier(field.name)
-    if family != field.dataType:
-        return f"cast({column} AS {family.simpleString()})"
-    if family not in (T.StringType(), T.BinaryType()):  # collated strings equal in other ways: they go as they are
-        return column
-    digest = f"cast(concat(sha2(cast({column} AS binary), 256), '#') AS {family.simpleString()})"
-    return f"CASE WHEN octet_length({column}) > {LONG_VALUE_BYTES} THEN {digest} ELSE {column} END"
+    if isinstance(field.dataType, T.NullType):
+        return "cast(null AS binary)"
+    if _family(field.dataType) == "binary":
+        return f"CASE WHEN {column} IS NOT NULL THEN unhex(sha2({canonical(column, field.dataType)}, 256)) END"
+    return f"cast({column} AS {_family(field.dataType)})"
 
 
-def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[T.DataType, DataFrame]]:
-    """All values of all fields as (pos, value), pos counting through ``fields``: one frame per type.
+def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[str, DataFrame]]:
+    """All values of all fields as (pos, value), pos counting through ``fields``: one frame per family of types.
 
-    Rows are two cells wide however many columns the table has, values keep their type and Spark's own notion of
-    equality, and each frame scans only its columns.
+    Rows are two cells wide however many columns the table has, equal values are those that Spark counts as one, and
+    each frame scans only its columns. Strings, binaries and nested values go as digests, so that their shuffle is
+    as large as their number, not their length; that two of them are told apart rests on SHA-256.
     """
     families: dict[str, list[tuple[int, T.StructField]]] = {}
     for pos, field in enumerate(fields):
-        families.setdefault(_family(field.dataType).simpleString(), []).append((pos, field))
+        families.setdefault(_family(field.dataType), []).append((pos, field))
+    corrupt = df.sparkSession.conf.get("spark.sql.columnNameOfCorruptRecord")
     frames = []
-    for members in families.values():
-        family = _family(members[0][1].dataType)
-        cells = ", ".join(f"{pos}, {_key(field, family)}" for pos, field in members)
-        frames.append((family, df.selectExpr(f"stack({len(members)}, {cells}) AS (pos, value)")))
+    for family, members in families.items():
+        cells = [f"{pos}, {_key(field)}" for pos, field in members]
+        other = next((c for c in df.columns if c != corrupt), None)
+        if [field.name for _, field in members] == [corrupt] and other:
+            # Spark doesn't read that column alone: a row of no field's takes in another one
+            cells.append(f"-1, CASE WHEN {identifier(other)} IS NULL THEN unhex('') END")
+        frame = df.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (pos, value)")
+        frames.append((family, frame.where("pos >= 0") if len(cells) > len(members) else frame))
     return frames
 
 
@@ -142,9 +161,9 @@ def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool
     remaining values are spread by position and value.
     """
     counts = []
-    for family, values in stacked(df, fields):
+    for _, values in stacked(df, fields):
         if not count_missing:
-            values = values.where(present("value", family))
+            values = values.where(present("value", values.schema["value"].dataType))
         counts.append(values.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
     return reduce(DataFrame.unionByName, counts)
 

@@ -18,9 +18,7 @@ MIN_LABEL_VALUES = 2
 MAX_LABEL_VALUES = 20
 DATE_WORDS = ["date", "time", "timestamp"]
 
-# The screen marks every value in a word of 64 bits; it is of no use for limits near that.
-SCREEN_BITS = 64
-SCREEN_VALID_TO = 40
+WORD_BITS = 64  # the screen marks every value in words of so many bits
 
 CANDIDATE_SCHEMA = "column string, distinct_count bigint, pos int"
 
@@ -53,16 +51,21 @@ def regression_label(df: DataFrame) -> str | None:
 def _possible_labels(df: DataFrame, high: int) -> list[tuple[int, T.StructField]]:
     """Columns that may have at most ``high`` values, after one pass that rules the others out for certain.
 
-    Each value sets one of 64 bits, chosen by its hash, and the bits are or-ed: n values set at most n bits, so
-    more than ``high`` bits prove more than ``high`` values. A task ships eight bytes per column.
+    Each value sets one bit, chosen by its hash, and the bits are or-ed: n values set at most n bits, so more than
+    ``high`` bits prove more than ``high`` values. There are at least three times as many bits as ``high``, in
+    words of eight bytes; a task ships these words for each column.
     """
     fields = [(pos, f) for pos, f in enumerate(df.schema.fields) if is_groupable(f.dataType)]
-    if not fields or high > SCREEN_VALID_TO:
+    if not fields:
         return fields
+    words = max(1, -(-3 * high // WORD_BITS))
     marks = []
     for pos, field in fields:
-        mark = f"shiftleft(1L, int(pmod(xxhash64({identifier(field.name)}), {SCREEN_BITS})))"
-        marks.append(f"bit_count(bit_or(CASE WHEN {present(field.name, field.dataType)} THEN {mark} END)) AS b{pos}")
+        slot = f"pmod(xxhash64({identifier(field.name)}), {words * WORD_BITS})"
+        here = present(field.name, field.dataType)
+        counts = [f"coalesce(bit_count(bit_or(CASE WHEN {here} AND {slot} DIV {WORD_BITS} = {word} "
+                  f"THEN shiftleft(1L, int({slot} % {WORD_BITS})) END)), 0)" for word in range(words)]
+        marks.append(f"{' + '.join(counts)} AS b{pos}")
     bits = df.selectExpr(*marks).first()
     return [(pos, f) for pos, f in fields if (bits[f"b{pos}"] or 0) <= high]
 

@@ -12,7 +12,7 @@ from tableprobe.sources.datasets import check_dataset, read_dataset
 from tableprobe.sources.reports import make_run_id, read_report, write_report
 
 
-def analyze(spark: SparkSession, path: str, file_type: str, report_base: str, run_id: str | None = None,
+def analyze(spark: SparkSession, path: str | list[str], file_type: str, report_base: str, run_id: str | None = None,
             hold: bool = False, staging: str | None = None, **options) -> tuple[str, DataFrame, DataFrame]:
     """Read, profile and model a dataset; write both reports and return the run id and the written reports.
 
@@ -20,7 +20,7 @@ def analyze(spark: SparkSession, path: str, file_type: str, report_base: str, ru
     once into Parquet there, from which every scan takes only its columns; the copy is the caller's to remove.
     ``hold`` keeps it in the executors' memory and disks instead while the jobs run.
     """
-    name = os.path.basename(path.rstrip("/"))
+    name = os.path.basename((path if isinstance(path, str) else path[0]).rstrip("/"))
     df = read_dataset(spark, path, file_type, **options)
     check_dataset(df, path, file_type)
     if staging is not None:

@@ -47,6 +47,18 @@ def _cleaned_events(spark, sf_dir):
     return drop_missing(gaps, ["event_type", "value"])
 
 
+def _nonfinite(spark, sf_dir):
+    """A NaN and an infinity among the prices must not end an exact profile, nor change other columns."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, float("nan")).otherwise(F.col("l_extendedprice")).alias("with_nan"),
+        F.when(F.col("l_linenumber") == 7, float("inf")).otherwise(F.col("l_extendedprice")).alias("with_infinity"),
+        F.col("l_extendedprice").alias("plain"))
+    finite = F.abs(F.col("mean")) < float("inf")
+    return profile.describe(lines, exact_scale=EXACT).select(
+        "column", "null_count", "distinct_count", F.isnan("mean").alias("mean_is_nan"),
+        (F.col("mean") == float("inf")).alias("mean_is_infinite"), F.when(finite, F.col("mean")).alias("finite_mean"))
+
+
 QUERIES = {
     "profile_overview": lambda spark, d: profile.overview(table(spark, d, "orders")),
     "schema_types": _schema_types,
@@ -57,6 +69,9 @@ QUERIES = {
     "profile_numeric": lambda spark, d: profile.numeric_profile(gapped_orders(spark, d), exact_scale=EXACT),
     "profile_columns": lambda spark, d: profile.describe(gapped_orders(spark, d), exact_scale=EXACT),
     "profile_lineitem": lambda spark, d: profile.describe(table(spark, d, "lineitem"), exact_scale=EXACT),
+    "profile_nonfinite": _nonfinite,
+    "profile_means": lambda spark, d: profile.numeric_profile(
+        table(spark, d, "lineitem"), ["l_linenumber", "l_partkey", "l_suppkey"]).select("column", "mean"),
     "distinct_values": lambda spark, d: profile.distinct_values(table(spark, d, "orders"), "o_orderpriority"),
     "dropna_subset": _cleaned_events,
 }
@@ -80,6 +95,18 @@ ORACLES = {
         f"{exact_mean_sql(c)} AS mean FROM gapped" for c in _NUMERIC_ORDERS),
     "profile_columns": f"WITH {GAPPED_ORDERS_SQL} " + describe_sql(ORDERS_TYPES, "gapped"),
     "profile_lineitem": describe_sql(LINEITEM_TYPES, "lineitem"),
+    "profile_nonfinite": f"""
+        SELECT 'with_nan' AS "column", 0 AS null_count,
+               count(DISTINCT CASE WHEN l_linenumber <> 7 THEN l_extendedprice END) + max((l_linenumber = 7)::INT)
+                   AS distinct_count, max(l_linenumber) = 7 AS mean_is_nan, false AS mean_is_infinite,
+               NULL::DOUBLE AS finite_mean FROM lineitem
+        UNION ALL SELECT 'with_infinity', 0,
+               count(DISTINCT CASE WHEN l_linenumber <> 7 THEN l_extendedprice END) + max((l_linenumber = 7)::INT),
+               false, max(l_linenumber) = 7, NULL FROM lineitem
+        UNION ALL SELECT 'plain', 0, count(DISTINCT l_extendedprice), false, false,
+               {exact_mean_sql("l_extendedprice")} FROM lineitem""",
+    "profile_means": _unnested(["l_linenumber", "l_partkey", "l_suppkey"],
+                               "'{c}' AS \"column\", round(avg({c}), 6) AS mean", "lineitem"),
     "distinct_values": "SELECT DISTINCT o_orderpriority FROM orders",
     "dropna_subset": """
         SELECT event_id, ts, event_type, value FROM events

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tableprobe.operators.jobs import run_jobs
-from tableprobe.operators.profile import describe, null_profile
+from tableprobe.operators.profile import describe
+from tableprobe.plans.analysis import analyze
 from tableprobe.plans.profile_queries import ORACLES as PROFILE_ORACLES
-from tableprobe.plans.tables import EXACT, gapped_orders, table
+from tableprobe.plans.tables import EXACT, NUMERIC, ORDERS_TYPES, gapped_orders, table
 from tableprobe.sources.datasets import read_dataset
 from tableprobe.sources.reports import read_report, write_report
 from tableprobe.sources.scratch import scratch_directory
@@ -41,13 +41,43 @@ def _text_profile(spark, sf_dir):
                                           "distinct_count")
 
 
-def _text_jobs(spark, sf_dir):
-    """Skip rows of a text dataset, with the lines and nulls found by its profile."""
-    lines = _names_as_text(spark, sf_dir)
-    found = null_profile(lines).first()
-    return run_jobs(lines, "text").select(
-        "job_order", "job", "skipped", "reason_code", F.lit(found["rows"]).alias("lines"),
-        F.lit(found["null_count"]).alias("null_lines"))
+def _both_reports(profile, jobs):
+    """The two written reports as rows of one shape: columns with their counts and ranges, jobs with their days."""
+    of_columns = profile.select(
+        F.lit("descriptive").alias("report"), F.col("column").alias("name"), "rows", "null_count", "distinct_count",
+        "min", "max", F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("string").alias("reason_code"))
+    of_jobs = jobs.select(
+        F.lit("ml").alias("report"), F.col("job").alias("name"),
+        F.expr("aggregate(sample, 0L, (n, d) -> n + d.count)").alias("rows"),
+        F.lit(None).cast("bigint").alias("null_count"),
+        F.expr("bigint(size(sample))").alias("distinct_count"), F.expr("array_min(sample.min_value)").alias("min"),
+        F.expr("array_max(sample.max_value)").alias("max"), "skipped", "reason_code")
+    return of_columns.unionByName(of_jobs)
+
+
+def _analyze_csv(spark, sf_dir):
+    """Orders written as CSV, then the whole way: read, profile, four jobs, both reports written and read back."""
+    source, reports = scratch_directory(spark), scratch_directory(spark)
+    table(spark, sf_dir, "orders").write.option("header", True).option("timestampNTZFormat", MICROSECONDS).csv(source)
+    _, profile, jobs = analyze(spark, source, "csv", reports, run_id=RUN_ID, hold=True)
+    return _both_reports(profile, jobs)
+
+
+def _analyze_text(spark, sf_dir):
+    source, reports = scratch_directory(spark), scratch_directory(spark)
+    table(spark, sf_dir, "customer").select("c_name").write.text(source)
+    _, profile, jobs = analyze(spark, source, "text", reports, run_id=RUN_ID)
+    return _both_reports(profile, jobs)
+
+
+def _bad_json(spark, sf_dir):
+    """Numbers of the events as JSON lines with one line that is none: no other column of text is there."""
+    directory = scratch_directory(spark)
+    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value"))
+    bad = spark.createDataFrame([("not json",)], "value string")
+    lines.unionByName(bad).write.text(directory)
+    return describe(read_dataset(spark, directory, "json"), "json").select(
+        "column", "rows", "null_count", "distinct_count")
 
 
 def _report_round_trip(spark, sf_dir):
@@ -61,10 +91,18 @@ QUERIES = {
     "src_json": _events_through("json"),
     "src_text": _names_as_text,
     "profile_text": _text_profile,
-    "job_report_text": _text_jobs,
+    "analyze_csv": _analyze_csv,
+    "analyze_text": _analyze_text,
+    "profile_bad_json": _bad_json,
     "sink_roundtrip": _report_round_trip,
 }
 
+def limits(column: str, kind: str) -> str:
+    """SQL for the range of a numeric column, null for others."""
+    lo, hi = (f"min({column})", f"max({column})") if kind in NUMERIC else ("NULL", "NULL")
+    return f"{lo}::DOUBLE AS min, {hi}::DOUBLE AS max"
+
+
 ORACLES = {
     "src_csv": "SELECT event_id::INT AS event_id, ts, user_id::INT AS user_id, event_type, value, props FROM events",
     "src_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
@@ -73,11 +111,24 @@ ORACLES = {
         SELECT 'text' AS file_type, count(*) AS rows, 1 AS cols, 'value' AS "column", 'string' AS type,
                count(*) - count(c_name) AS null_count, count(DISTINCT c_name) AS distinct_count
         FROM customer""",
-    "job_report_text": """
-        SELECT job_order, job, true AS skipped, 'TEXT_INPUT' AS reason_code,
-               (SELECT count(*) FROM customer) AS lines,
-               (SELECT count(*) - count(c_name) FROM customer) AS null_lines
-        FROM (VALUES (1, 'regression'), (2, 'classification'), (3, 'clustering'), (4, 'timeSeries'))
-             AS jobs(job_order, job)""",
+    "analyze_csv": " UNION ALL ".join(
+        f"SELECT 'descriptive' AS report, '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS null_count, "
+        f"count(DISTINCT {c}) AS distinct_count, {limits(c, kind)}, NULL::BOOLEAN AS skipped, "
+        f"NULL::VARCHAR AS reason_code FROM orders" for c, kind in ORDERS_TYPES.items()) + """
+        UNION ALL SELECT 'ml', job, NULL, NULL, NULL, NULL, NULL, false, NULL
+        FROM (VALUES ('regression'), ('classification'), ('clustering')) AS jobs(job)
+        UNION ALL SELECT 'ml', 'timeSeries', sum(n), NULL, count(*), min(lo), max(hi), false, NULL
+        FROM (SELECT count(*) AS n, min(o_orderkey)::DOUBLE AS lo, max(o_orderkey)::DOUBLE AS hi FROM orders
+              GROUP BY o_orderdate::DATE ORDER BY o_orderdate::DATE LIMIT 10)""",
+    "analyze_text": """
+        SELECT 'descriptive' AS report, 'value' AS name, count(*) AS rows, count(*) - count(c_name) AS null_count,
+               count(DISTINCT c_name) AS distinct_count, NULL::DOUBLE AS min, NULL::DOUBLE AS max,
+               NULL::BOOLEAN AS skipped, NULL::VARCHAR AS reason_code FROM customer
+        UNION ALL SELECT 'ml', job, NULL, NULL, NULL, NULL, NULL, true, 'TEXT_INPUT'
+        FROM (VALUES ('regression'), ('classification'), ('clustering'), ('timeSeries')) AS jobs(job)""",
+    "profile_bad_json": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) + 1 AS rows, count(*) - count({c}) + 1 AS null_count, "
+        f"count(DISTINCT {c}) + 1 AS distinct_count FROM events" for c in ("event_id", "user_id", "value")) + """
+        UNION ALL SELECT '_corrupt_record', count(*) + 1, count(*), 2 FROM events""",
     "sink_roundtrip": f"SELECT *, '{RUN_ID}' AS run_id FROM ({PROFILE_ORACLES['profile_columns']})",
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The declared formats and the file extension each one goes with.
 EXTENSIONS = {"csv": ".csv", "json": ".json", "text": ".txt"}
+COMPRESSED = r"\.(gz|bz2|zst|xz|lz4|snappy|deflate)"
 OPTIONS = {"csv": {"header": True, "inferSchema": True}, "json": {}, "text": {}}
 
 
@@ -17,11 +19,9 @@ def _normal(file_type: str | None) -> str:
 
 
 def is_allowed(file_name: str | None, file_type: str | None) -> bool:
-    """Whether the file's extension, in any case, is that of the declared format."""
-    extension = EXTENSIONS.get(_normal(file_type))
-    if extension is None or "." not in (file_name or ""):
-        return False
-    return "." + file_name.rsplit(".", 1)[1].lower() == extension
+    """Whether a file's name ends, in any case, like those of the declared format."""
+    suffix = EXTENSIONS.get(_normal(file_type))
+    return suffix is not None and (file_name or "").lower().endswith(suffix)
 
 
 def read_dataset(spark: SparkSession, path: str | list[str], file_type: str,
@@ -42,13 +42,19 @@ def read_dataset(spark: SparkSession, path: str | list[str], file_type: str,
     return reader.options(**{**settings, **options}).load(path)
 
 
-def check_dataset(df: DataFrame, path: str, file_type: str) -> None:
-    """Refuse a file whose name contradicts the declared format, and an empty file; a lone CSV header may pass.
+def check_dataset(df: DataFrame, path: str | list[str], file_type: str) -> None:
+    """Refuse files named like another format, and a dataset without a byte; a lone CSV header may pass.
 
-    A name without an extension is taken for a directory of files, whose names are not checked.
+    The files themselves are checked, whatever their directories are called: a file's name has the format's extension,
+    before that of a compression if there is one, or no extension at all. They are listed as a table of names and
+    lengths, and neither their content nor their number comes to the driver.
     """
-    name = os.path.basename(path.rstrip("/"))
-    if "." in name and not is_allowed(name, file_type):
-        raise ValueError(f"{path!r} is not named like a {file_type} file")
-    if not df.columns or (_normal(file_type) == "text" and df.isEmpty()):
+    suffix = EXTENSIONS[_normal(file_type)]
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    fits = F.lower(name).rlike(rf"{re.escape(suffix)}({COMPRESSED})?$") | ~name.contains(".")
+    files = df.sparkSession.read.format("binaryFile").load(path)
+    found = files.agg(F.max(F.when(~fits, F.col("path"))).alias("other"), F.sum("length").alias("bytes")).first()
+    if found["other"]:
+        raise ValueError(f"{found['other']!r} is not named like a {_normal(file_type)} file")
+    if not df.columns or not found["bytes"]:
         raise ValueError(f"{path!r} is empty")

@@ -6,10 +6,11 @@ import re
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableprobe.functions.columns import is_floating, quoted
 from tableprobe.operators.jobs import REPORT_SCHEMA
 from tableprobe.operators.profile import PROFILE_SCHEMA
 
@@ -17,6 +18,9 @@ from tableprobe.operators.profile import PROFILE_SCHEMA
 SCHEMAS = {"descriptive": PROFILE_SCHEMA, "ml": REPORT_SCHEMA}
 
 
+RUN_ID = r"[A-Za-z0-9_.-]+"
+
+
 def make_run_id(file_name: str, now: datetime | None = None) -> str:
     """Time to the second and the file name, reduced to letters, digits, dots, dashes and underscores."""
     safe = re.sub(r"[^A-Za-z0-9_.-]+", "_", file_name.replace("/", " ")).strip("._")
@@ -31,19 +35,44 @@ def _kind(kind: str) -> str:
 
 
 def _directory(base: str, run_id: str, kind: str) -> str:
+    if not re.fullmatch(RUN_ID, run_id or "") or not run_id.strip("."):
+        raise ValueError(f"not a run id: {run_id!r}; letters, digits, dots, dashes and underscores make one")
     return f"{base.rstrip('/')}/kind={_kind(kind)}/run_id={run_id}"
 
 
-def _without_nan(df: DataFrame) -> DataFrame:
-    """NaN is no JSON number; it is written as null."""
-    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in floating}) if floating else df
+def _holds_floats(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _holds_floats(data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        return _holds_floats(data_type.valueType)
+    if isinstance(data_type, T.StructType):
+        return any(_holds_floats(f.dataType) for f in data_type.fields)
+    return is_floating(data_type)
+
+
+def _finite(value: Column, data_type: T.DataType) -> Column:
+    """The value with null for every NaN and infinity in it, at any depth."""
+    if not _holds_floats(data_type):
+        return value
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(value, lambda e: _finite(e, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        return F.transform_values(value, lambda _, v: _finite(v, data_type.valueType))
+    if isinstance(data_type, T.StructType):
+        parts = [_finite(value[f.name], f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    return F.when(F.abs(value) < float("inf"), value)  # NaN is above infinity
+
+
+def _finite_only(df: DataFrame) -> DataFrame:
+    """JSON has no number for NaN and the infinities; they are written as null."""
+    return df.select(*[_finite(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_report(report: DataFrame, base: str, run_id: str, kind: str) -> str:
     """Write a report as JSON lines and return its directory; a report that exists is not overwritten."""
     directory = _directory(base, run_id, kind)
-    _without_nan(report).write.mode("errorifexists").json(directory)
+    _finite_only(report).write.mode("errorifexists").json(directory)
     return directory
 
 

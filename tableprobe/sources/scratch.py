@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -9,14 +11,23 @@ from pyspark.sql import SparkSession
 
 
 def scratch_directory(spark: SparkSession) -> str:
-    """A new path under the shared folder named by ``spark.checkpoint.dir``.
-
-    A local session without that setting gets a temporary folder; a cluster must name one, since its executors
-    share no local disk.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under the shared folder named by ``spark.checkpoint.dir``, or set on the session's context."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tableprobe-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/{uuid4().hex}"
+
+
+def own_folder(spark: SparkSession) -> None:
+    """Give a session on one machine that names no folder one of its own, removed when Python ends.
+
+    For entry points, tests and the bench; the operators only ever use what the session names.
+    """
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="tableprobe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)

@@ -4,6 +4,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from tableprobe.sources.scratch import own_folder
+
 
 def make_session():
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -16,4 +18,5 @@ def make_session():
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    own_folder(spark)
     return spark

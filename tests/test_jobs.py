@@ -110,6 +110,14 @@ def test_held_releases_on_failure(spark):
     assert not df.is_cached
 
 
+def test_held_keeps_a_table_its_owner_caches(spark):
+    df = spark.range(5).cache()
+    with held(df) as kept:
+        assert kept.is_cached
+    assert df.is_cached
+    df.unpersist()
+
+
 def test_timings(spark):
     timings = time_jobs(everything(spark), workers=4)
     assert timings.schema == TIMINGS_SCHEMA

@@ -74,13 +74,17 @@ def test_boolean_and_numeric_labels(spark):
     assert row["label"] == "flag" and row["features"] == ["x"] and row["accuracy"] == 1.0
 
 
-def test_label_with_too_many_values(spark):
-    df = spark.range(100).select("id", F.col("id").cast("string").alias("s"))
-    with pytest.raises(SkipJob) as skip:
-        models.fit_classification(df, label="s")
-    assert skip.value.code == "NO_LABEL"
-    with pytest.raises(ValueError):
-        fx.label_index(df, "s")
+def test_a_named_label_may_have_many_values(spark):
+    df = spark.range(2000).select((F.col("id") % 25 * 10 + F.col("id") % 3).alias("x"),
+                                  F.concat(F.lit("k"), F.col("id") % 25).alias("k"))
+    row = models.classification_report(df, label="k").first()
+    assert row["num_classes"] == 25 and row["features"] == ["x"]
+    assert models.calibration(models.train_classifier(df, "k")).count() == 25
+    wide = spark.range(5000).select((F.col("id") % 1500).alias("v"))
+    found = fx.label_index(wide, "v").collect()
+    expected = sorted(found, key=lambda r: (-r["rows"], r["label"]))
+    assert [r["label_index"] for r in expected] == list(range(1500))
+    assert fx.label_index(wide.where("v < 0"), "v").count() == 0
 
 
 def test_label_index_order(spark):
@@ -135,6 +139,15 @@ def test_assign_clusters_takes_the_lower_number_on_a_tie(spark):
     assert sorted(map(tuple, found.collect())) == [(0.0, 1), (5.0, 0), (10.0, 0)]
 
 
+def test_assign_clusters_grows_with_the_centers_only(spark):
+    df = spark.range(500).select(*[((F.col("id") * (i + 3)) % 97).cast("double").alias(f"x{i}") for i in range(8)])
+    centers = np.random.default_rng(1).uniform(0, 97, (80, 8))
+    rows = models.assign_clusters(df, df.columns, centers.tolist()).collect()
+    for r in rows:
+        distance = ((np.array(r[:8]) - centers) ** 2).sum(1)
+        assert distance[r["cluster"]] <= distance.min() + 1e-9
+
+
 def test_accuracy(spark):
     df = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)], "label double, prediction double")
     assert df.agg(models.accuracy(F.col("label"), F.col("prediction")).alias("a")).first()["a"] == 0.666667

@@ -142,3 +142,37 @@ def test_scans_read_only_the_columns_of_their_type(spark, tmp_path):
     plan = profile.distinct_profile(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     for schema in ("struct<id:bigint>", "struct<s:string>", "struct<v:double>"):
         assert f"ReadSchema: {schema}" in plan
+
+
+def test_nested_columns_of_other_nullability_go_together(spark):
+    df = spark.range(6).select(
+        F.expr("array(1)").alias("a"), F.expr("array(2, CASE WHEN id > 2 THEN id END)").alias("b"),
+        F.expr("array(double('NaN'), -0D)").alias("c"), F.expr("named_struct('x', nullif(id, 1), 'y', 'p')").alias("d"),
+        F.expr("CASE WHEN id > 3 THEN array(named_struct('t', timestamp_micros(id))) END").alias("e"),
+        F.expr("array('a, b')").alias("f"))
+    df = df.union(df.select("a", "b", F.expr("array(double('NaN'), 0D)"), "d", "e", F.expr("array('a', 'b')")))
+    counts = {r["column"]: r["distinct_count"] for r in profile.describe(df).collect()}
+    expected = {c: df.select(c).distinct().count() for c in df.columns}
+    assert counts == expected == {"a": 1, "b": 4, "c": 1, "d": 6, "e": 3, "f": 2}
+
+
+def test_texts_of_any_length_count_alike(spark):
+    values = ["a" * n for n in (1, 64, 65, 500)] + ["", None, "a" * 65]
+    df = spark.createDataFrame([(v, v.encode() if v is not None else None) for v in values], "s string, b binary")
+    assert {r["distinct_count"] for r in profile.distinct_profile(df).collect()} == {6}
+
+
+@pytest.mark.parametrize("cells, mean", [
+    ([1.0, float("nan")], "nan"), ([1.0, float("inf")], "inf"), ([float("inf"), float("-inf")], "nan"),
+    ([1.25, None, 2.75], 2.0), ([1e300, 1.0], 5e299), ([None], None)])
+def test_exact_sums_take_any_value(spark, cells, mean):
+    df = spark.createDataFrame([(c,) for c in cells], "v double")
+    found = profile.numeric_profile(df, exact_scale=2).first()["mean"]
+    assert found == mean or str(found) == mean
+
+
+def test_wide_tables_are_profiled_in_parts(spark):
+    df = spark.range(3).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(60)])
+    rows = profile.describe(df).orderBy("pos").collect()
+    assert [(r["pos"], r["column"], r["min"], r["mean"]) for r in rows] == [
+        (i, f"c{i}", float(i), float(i + 1)) for i in range(60)]

@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from tableprobe.operators.jobs import run_jobs
 from tableprobe.plans.catalog import ORACLES, QUERIES
+from tableprobe.plans.tables import table
 from tests.oracle import connect, spark_rows, sql_rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,7 +21,7 @@ def duck():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"classification_report", "kmeans_report", "job_report"}
+    assert set(QUERIES) - set(ORACLES) == {"classification_report", "kmeans_report"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -35,7 +37,7 @@ def test_entry(spark):
 
 
 def test_job_report_runs_all_four(spark):
-    rows = QUERIES["job_report"](spark, SF_DIR).orderBy("job_order").collect()
+    rows = run_jobs(table(spark, SF_DIR, "orders")).orderBy("job_order").collect()
     assert [r["job"] for r in rows] == ["regression", "classification", "clustering", "timeSeries"]
     assert not any(r["skipped"] for r in rows)
     assert len(rows[3]["sample"]) == 10

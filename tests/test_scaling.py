@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from tableprobe.operators import scaling
 from tableprobe.operators.scaling import TIMINGS_SCHEMA, scaling_report, scaling_skips
 
 
@@ -33,3 +36,17 @@ def test_one_job_with_most_runs_is_not_gathered(spark):
     plan = scaling_report(spark.createDataFrame([("a", 1, 1.0, False, "")], TIMINGS_SCHEMA))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "SortAggregate" not in text and "Cartesian" not in text
+
+
+def test_many_jobs_are_dealt_by_salt(spark, monkeypatch):
+    timings = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("j"), F.col("id") % 50)).alias("job"),
+        (F.col("id") % 4 + 1).cast("int").alias("workers"), (F.col("id") % 7 + 1).cast("double").alias("elapsed"),
+        F.lit(False).alias("skipped"), F.lit("").alias("reason"))
+    expected = sorted(map(tuple, scaling_report(timings).collect()))
+    monkeypatch.setattr(scaling, "BROADCAST_JOBS", 0)
+    salted = scaling_report(timings)
+    assert sorted(map(tuple, salted.collect())) == expected
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert any("salt" in line for line in dealt)

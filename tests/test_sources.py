@@ -12,7 +12,7 @@ from tableprobe.operators.jobs import run_jobs
 from tableprobe.operators.profile import PROFILE_SCHEMA, describe
 from tableprobe.sources.datasets import check_dataset, is_allowed, read_dataset
 from tableprobe.sources.reports import make_run_id, read_report, write_report
-from tableprobe.sources.scratch import scratch_directory
+from tableprobe.sources.scratch import own_folder, scratch_directory
 
 
 def file(tmp_path, name, text):
@@ -94,6 +94,22 @@ def test_empty_files_are_refused(spark, tmp_path):
     check_dataset(read_dataset(spark, header, "csv"), header, "csv")
     with pytest.raises(ValueError):
         check_dataset(read_dataset(spark, header, "csv"), header, "json")
+    empty = file(tmp_path, "g.csv", "")
+    with pytest.raises(ValueError):
+        check_dataset(read_dataset(spark, empty, "csv", schema="a int"), empty, "csv")
+
+
+def test_the_files_are_checked_not_their_folders(spark, tmp_path):
+    folder = tmp_path / "2024.01.05"
+    folder.mkdir()
+    one, two = file(folder, "a.csv", "a\n1\n"), file(folder, "B.CSV", "a\n2\n")
+    for path in (str(folder), [one, two], f"{folder}/*"):
+        check_dataset(read_dataset(spark, path, "csv"), path, "csv")
+    run_id, profile, _ = analyze(spark, [one, two], "csv", str(tmp_path / "r"))
+    assert run_id.endswith("_a.csv") and profile.first()["rows"] == 2
+    file(folder, "c.json", "{}")
+    with pytest.raises(ValueError, match="c.json"):
+        check_dataset(read_dataset(spark, str(folder), "csv"), str(folder), "csv")
 
 
 def test_run_id():
@@ -132,6 +148,35 @@ def test_reports_are_kept_apart(spark, tmp_path):
             call()
 
 
+@pytest.mark.parametrize("run_id", ["*", "r[3]", "a/b", "..", "", None, "x y"])
+def test_run_ids_are_plain_names(spark, tmp_path, run_id):
+    with pytest.raises(ValueError):
+        write_report(spark.createDataFrame([], PROFILE_SCHEMA), str(tmp_path), run_id, "descriptive")
+    with pytest.raises(ValueError):
+        read_report(spark, str(tmp_path), run_id, "descriptive")
+
+
+def test_no_report_holds_nan(spark, tmp_path):
+    days = "date'2024-01-01' AS day, 1L AS count, double('NaN') AS mean_value, 1D AS min_value, " \
+           "double('Infinity') AS max_value, 2D AS sum_value"
+    report = run_jobs(spark.range(2), "text").withColumn("sample", F.expr(f"array(named_struct({_named(days)}))"))
+    report = report.withColumn("centers", F.expr("array(array(double('NaN'), 1D))")).withColumn(
+        "metrics", F.expr("map('a', double('-Infinity'))"))
+    row = read_report(spark, str(tmp_path), write_and_name(report, str(tmp_path)), "ml").first()
+    assert row["sample"][0]["mean_value"] is None and row["sample"][0]["max_value"] is None
+    assert row["sample"][0]["min_value"] == 1.0 and row["centers"] == [[None, 1.0]] and row["metrics"] == {"a": None}
+
+
+def _named(items):
+    pairs = [item.rsplit(" AS ", 1) for item in items.split(", ")]
+    return ", ".join(f"'{name}', {value}" for value, name in pairs)
+
+
+def write_and_name(report, base):
+    write_report(report, base, "nan", "ml")
+    return "nan"
+
+
 @pytest.mark.parametrize("staged", [False, True])
 def test_analyze(spark, tmp_path, staged):
     lines = ["id,name of,signup_date,score"] + [f"{n},{'ab'[n % 2]},2024-01-{n % 28 + 1:02d},{n * 2}" for n in range(60)]
@@ -145,9 +190,11 @@ def test_analyze(spark, tmp_path, staged):
         analyze(spark, path, "json", str(tmp_path / "reports"))
 
 
-def test_bad_lines_are_a_column_once_staged(spark, tmp_path):
+@pytest.mark.parametrize("staged", [False, True])
+def test_bad_lines_are_a_column(spark, tmp_path, staged):
     path = file(tmp_path, "mixed.json", '{"a":1}\nnot json\n{"a":2}\n')
-    profile = analyze(spark, path, "json", str(tmp_path / "r"), staging=str(tmp_path / "s"))[1]
+    staging = str(tmp_path / "s") if staged else None
+    profile = analyze(spark, path, "json", str(tmp_path / "r"), staging=staging)[1]
     assert {r["column"]: (r["null_count"], r["distinct_count"]) for r in profile.collect()} == {
         "_corrupt_record": (2, 2), "a": (1, 3)}
     assert read_dataset(spark, path, "json", mode="DROPMALFORMED", schema="a bigint").count() == 2
@@ -174,11 +221,16 @@ def test_analyze_text(spark, tmp_path):
 def test_scratch_follows_the_session(spark):
     assert scratch_directory(spark) != scratch_directory(spark)
 
-    def session(master, **settings):
-        return SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master=master))
+    def session(master, folder=None, **settings):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+        return SimpleNamespace(conf=settings, sparkContext=context)
 
     shared = {"spark.checkpoint.dir": "hdfs:///shared/"}
     assert scratch_directory(session("yarn", **shared)).startswith("hdfs:///shared/")
     assert scratch_directory(session("local[2]", **shared)).startswith("hdfs:///shared/")
+    assert scratch_directory(session("yarn", "hdfs:///set")).startswith("hdfs:///set/")
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(ValueError):
+            scratch_directory(session(master))
     with pytest.raises(ValueError):
-        scratch_directory(session("yarn"))
+        own_folder(session("yarn"))

@@ -6,12 +6,14 @@ all but the last return the columns of the documents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.llm import quality
-from tableprobe.llm.common import staged, without
+from tableprobe.llm.common import sieved, staged
 from tableprobe.llm.line_dedup import line_dedup
 from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.queries import BYTE_BPE, fold
@@ -41,13 +43,27 @@ def thin_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row of the smallest doc_id, or one of them if rows repeat it."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = numbered.withColumn("_id", F.struct("doc_id", "_row"))
+    """Of each group of near copies the row of the smallest doc_id (null is largest), one of them if rows repeat it.
+
+    Rows are told apart by doc_id and text. Only rows that go, or that stay once of several, are shuffled with their
+    text; a sieve of fixed size lets the others through.
+    """
+    keyed = docs.withColumn("_id", F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("doc_id", "text").alias("key"),
+        F.xxhash64(F.lit(1), "doc_id", "text").alias("other")))
     groups = simhash_groups(keyed.select("_id", "text"), key="_id", words=3, distance=3)
-    dropped = staged(groups.where(F.col("_id._row") != F.col("component_id._row")).select(
-        F.col("_id._row").alias("key")))
-    return without(numbered, F.col("_row"), dropped).select(*docs.columns)
+    decided = staged(
+        groups.groupBy("_id").agg(F.max("component_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+        .select("_id.key", "_id.other", (F.col("_id") == F.col("first")).alias("stays"), "rows")
+        .where("NOT stays OR rows > 1"))
+    marked = sieved(keyed.withColumn("_key", F.col("_id.key")).withColumn("_other", F.col("_id.other")).drop("_id"),
+                    F.col("_key"), decided, F.col("key"))
+    hits = marked.where("_hit").join(
+        decided.select(F.col("key").alias("_key"), F.col("other").alias("_other"), F.col("stays").alias("_stays"))
+        .hint("merge"), ["_key", "_other"], "left")
+    kept = [marked.where("NOT _hit"), hits.where("_stays IS NULL"),
+            hits.where("_stays").dropDuplicates(["_key", "_other"])]
+    return reduce(DataFrame.unionByName, [k.select(*docs.columns) for k in kept])
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,13 +80,6 @@ def sieved(df: DataFrame, key: Column, listed: DataFrame, listed_key: Column) ->
         "_word", "_bits")
 
 
-def without(df: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose bigint ``key`` is not in the column ``key`` of ``dropped``; only hits are shuffled."""
-    marked = sieved(df.withColumn("_key", key), F.col("_key"), dropped, F.col("key"))
-    hits = marked.where("_hit").join(dropped.select(F.col("key").alias("_key")).hint("merge"), "_key", "left_anti")
-    return marked.where("NOT _hit").unionByName(hits).drop("_key", "_hit")
-
-
 HOT_SHARE = 1000  # a group of over 1/1000 of the rows is hot; there are at most so many, whatever the data
 
 

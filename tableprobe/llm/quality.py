@@ -51,7 +51,9 @@ def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return features, passages
     passage = (np.cumsum(passages) - passages)[doc] + (
         np.arange(len(starts)) - (np.cumsum(words) - words)[doc]) // PASSAGE_WORDS
-    counts = [np.add.reduceat(kind == k, starts, dtype=np.int32) for k in range(8)]
+    cuts = np.union1d(starts, doc_starts)  # white space after a word counts with it, up to the end of its text
+    own = np.searchsorted(cuts, starts)
+    counts = [np.add.reduceat(kind == k, cuts, dtype=np.int32)[own] for k in range(8)]
     length = sum(counts[2:])
     place = np.arange(len(data)) - np.maximum.accumulate(np.where(begins, np.arange(len(data)), 0))
     keys = np.where(gap, np.uint64(0), BYTE_KEYS[data] * PLACE_KEYS[place & 63])

@@ -1,0 +1,37 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tableprobe.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
+from tests.llm import cases
+
+
+@given(st.sets(st.integers(0, 2 ** 40), min_size=1, max_size=200))
+def test_rice_code_round_trip(values):
+    ordered = np.array(sorted(values))
+    assert rice_decode(rice_encode(ordered)).tolist() == ordered.tolist()
+
+
+@pytest.mark.parametrize("bits", [48, 4])  # with 4 bits nearly all texts are suspects that prove different
+def test_groups(spark, bits):
+    documents = cases.texts() + [(100 + i, f"copy {i % 7}") for i in range(60)]
+    rows = exact_dedup(cases.frame(spark, documents), fingerprint_bits=bits).collect()
+    groups = defaultdict(list)
+    for i, t in documents:
+        groups[t or ""].append(i)
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    assert Counter((digest[r["text_sha256"]], r["doc_id"]) for r in rows) == Counter((t or "", i) for i, t in documents)
+    for r in rows:
+        members = groups[digest[r["text_sha256"]]]
+        assert r["group_size"] == len(members)
+        assert r["keep_id"] == max((m for m in members if m is not None), default=None)
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+    assert Counter(r["text_sha256"] for r in rows if r["kept"]) == Counter(digest.keys())  # one of each, repeated keys too
+
+
+def test_no_rows(spark):
+    assert exact_dedup(cases.frame(spark, [])).collect() == []

@@ -6,7 +6,8 @@ all but the last return the columns of the documents.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from tableprobe.llm.queries import BYTE_BPE, fold
 from tableprobe.llm.secret_scan import redact_secrets
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.plans.tables import table
+from tableprobe.sources.scratch import own_folder
 
 
 def with_new_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -38,7 +40,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def thin_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of passages of three lines and more; those covered whole go."""
     thinned = line_dedup(docs)
-    whole = (F.size("spans") == 1) & (F.col("spans")[0]["end"] - F.col("spans")[0]["start"] == F.col("n_lines"))
+    first = F.get("spans", F.lit(0))
+    whole = (F.size("spans") == 1) & (first["end"] - first["start"] == F.col("n_lines"))
     return with_new_text(docs, thinned.where(~whole))
 
 
@@ -76,12 +79,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(BYTE_BPE))
 
 
-STAGES = [
-    ("quality_classifier", filter_quality),
-    ("line_dedup", thin_lines),
-    ("simhash_near_dedup", drop_near_copies),
-    ("secret_scans", remove_secrets),
-    ("best_fit_packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def entry(stage: Stage) -> Stage:
+    """The stage, on a session that names a shared folder or, on one machine, is given one."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own_folder(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", entry(filter_quality)),
+    ("line_dedup", entry(thin_lines)),
+    ("simhash_near_dedup", entry(drop_near_copies)),
+    ("secret_scans", entry(remove_secrets)),
+    ("best_fit_packing", entry(pack)),
 ]
 
 # Fitted scores, bit counts of hashes and token ids are beyond SQL; tests compare the stages with plain versions.
@@ -90,6 +105,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents; what each returns is written to the shared folder and read again."""
+    own_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))

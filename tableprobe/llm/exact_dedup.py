@@ -144,7 +144,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id",
         F.when(F.col("message") == F.col("keeper"),
                F.coalesce(F.array_position("keys", F.array_max("keys")), F.lit(1)) - 1).alias("at"))
     single = judged.where("NOT suspect").select(
-        "sha", "keys", F.col("keys")[0].alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
+        "sha", "keys", F.get("keys", F.lit(0)).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(0).cast("bigint").alias("at"))
     return (
         found.unionByName(single)

@@ -2,7 +2,8 @@
 
 Reads ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one line of JSON. Query names given as arguments
 replace the headline set. With the headline set come, for comparison, the lineitem profile and its label candidates
-next to plans that take one action per column.
+next to plans that take one action per column, the same for a table of 200 columns, and the four jobs next to the same
+fits run in turn with a count before each.
 """
 
 from __future__ import annotations
@@ -13,15 +14,20 @@ import statistics
 import sys
 import time
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe import describe, label_candidates, numeric_columns
+from tableprobe import describe, label_candidates, numeric_columns, run_jobs
 from tableprobe.plans.catalog import QUERIES
 from tableprobe.sources.scratch import own_folder
 
 HEADLINE = [
-    "profile_lineitem", "profile_distinct", "profile_nulls", "profile_numeric", "profile_distinct_texts",
+    "profile_lineitem", "profile_distinct", "profile_distinct_nested", "label_index_wide", "kmeans_assign_many",
+    "logistic_calibration", "analyze_csv", "profile_nulls", "profile_numeric", "profile_distinct_texts",
     "label_candidates", "ts_daily_events", "ts_daily_lineitem", "ts_mixed_formats", "ts_first10",
     "regression_one", "regression_two", "regression_auto", "classification_report", "kmeans_report",
     "kmeans_assign", "label_index", "split_counts", "job_report", "src_csv", "src_json", "scaling_report",
@@ -71,7 +77,22 @@ def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[st
             df.select(c).distinct().count()
         df.agg(*[f(c) for c in numeric for f in (F.min, F.max, F.avg)]).collect()
 
+    wide = df.select(*[(F.col(numeric[i % len(numeric)]) + i).alias(f"c{i}") for i in range(200)])
+
+    def wide_by_column():
+        for c in wide.columns:
+            wide.where(F.col(c).isNull()).count()
+            wide.select(c).distinct().count()
+        wide.agg(*[f(c) for c in wide.columns for f in (F.min, F.max, F.avg)]).collect()
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    few = wide.limit(1000).cache()
+    few.count()
     return {
+        "jobs": {"tableprobe": median(lambda: run_jobs(orders).collect(), repeats),
+                 "in_turn": median(lambda: jobs_in_turn(orders), repeats)},
+        "wide_profile": {"tableprobe": median(lambda: describe(wide).collect(), 1), "by_column": median(wide_by_column, 1)},
+        "wide_profile_1000_rows": {"tableprobe": median(lambda: describe(few).collect(), repeats)},
         "profile": {"tableprobe": median(lambda: describe(df).collect(), repeats),
                     "by_column": median(profile_by_column, repeats)},
         "label_candidates": {"tableprobe": median(lambda: label_candidates(df).collect(), repeats),
@@ -79,6 +100,30 @@ def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[st
     }
 
 
+def jobs_in_turn(orders) -> None:
+    """The four jobs on the orders, one after the other, each counting its input and scanning per column."""
+    numeric = numeric_columns(orders)
+    rows = orders.dropna(subset=numeric)
+    rows.count()
+    features = VectorAssembler(inputCols=numeric[:-1], outputCol="v").transform(rows)
+    LinearRegression(featuresCol="v", labelCol=numeric[-1]).fit(features)
+    for c in orders.columns:
+        orders.select(c).na.drop().distinct().count()
+    rows.count()
+    vectors = VectorAssembler(inputCols=numeric, outputCol="v").transform(rows)
+    indexed = StringIndexer(inputCol="o_orderstatus", outputCol="y", handleInvalid="skip").fit(vectors).transform(vectors)
+    train, test = indexed.randomSplit([0.8, 0.2], 42)
+    train.count(), test.count()
+    scored = LogisticRegression(featuresCol="v", labelCol="y", maxIter=50).fit(train).transform(test)
+    scored.where("y = prediction").count(), test.count(), indexed.select("y").distinct().count()
+    rows.count()
+    KMeans(k=3, seed=42, featuresCol="v").fit(vectors)
+    days = orders.select(F.to_date("o_orderdate").alias("day"), numeric[0]).dropna()
+    days.count()
+    days.groupBy("day").agg(F.count("*"), *[f(numeric[0]) for f in (F.avg, F.min, F.max, F.sum)]).orderBy(
+        "day").limit(10).collect()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))

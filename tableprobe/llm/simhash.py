@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import quoted
-from tableprobe.llm.common import map_rows, ship, staged, text_of
+from tableprobe.llm.common import join_groups, map_rows, ship, staged, text_of
 from tableprobe.llm.graph import components, roots
 
 SEED = 42
@@ -184,14 +184,14 @@ def simhash_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     """
     ship(df.sparkSession)
     marked = staged(fingerprints(df, text, key, words))
-    distinct = staged(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    distinct = staged(marked.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
     probes = distinct.select("fp", F.explode(F.array(*bucket_keys(distance))).alias("unit"))
     units = split_hot(probes, ["unit"], "fp", BLOCK).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     links = units.select("unit", "i", "j", "fp").mapInArrow(
         lambda stream: links_within(stream, distance), "a bigint, b bigint")
     whole = components(links)
     label = F.coalesce("component", "fp")
-    joined = distinct.join(whole, distinct.fp == whole.node, "left").select("fp", "first", label.alias("root"))
+    joined = distinct.join(whole, distinct.fp == whole.node, "left").select("fp", "first", "n", label.alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(joined.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = staged(joined.join(lowest, "root").select("fp", "component_id", "n"))
+    return join_groups(marked, named, ["fp"], "n", marked.count()).select(F.col("key").alias(key), "fp", "component_id")

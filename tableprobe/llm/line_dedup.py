@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import quoted
-from tableprobe.llm.common import staged
+from tableprobe.llm.common import join_groups, sieved, staged
 
 LINES = 3
-HOT_SHARE = 1000  # a window that makes up over 1/1000 of all is hot; there are at most so many, whatever the data
 
 
 def _lines(text: Column) -> Column:
@@ -38,12 +37,8 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lines
     place = F.struct("key", "digest", "at")
     repeated = staged(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
                       .where("n > 1"))
-    limit = found.count() // HOT_SHARE
-    hot, cold = repeated.where(F.col("n") > limit), repeated.where(F.col("n") <= limit)
-    # At most HOT_SHARE rows are broadcast; what is dealt by hash has no window over 1/HOT_SHARE of the rows.
     later = (
-        found.join(F.broadcast(hot), ["h1", "h2"])
-        .unionByName(found.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+        join_groups(found, repeated, ["h1", "h2"], "n", found.count())
         .where(~place.eqNullSafe(F.col("first"))).select("key", "digest", "at").distinct())
     return (
         later.groupBy("key", "digest").agg(F.sort_array(F.collect_list("at")).alias("starts"))
@@ -68,16 +63,20 @@ def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", lines: in
     """
     rest = df.drop("n_lines", "spans")
     body = quoted(text).cast("string")
-    covered = repeated_spans(rest, text, key, lines).select(
+    covered = staged(repeated_spans(rest, text, key, lines)).select(
         F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
-    joined = rest.join(covered, quoted(key).eqNullSafe(F.col("_key")) & (F.xxhash64(body) == F.col("_digest")), "left")
+    marked = sieved(rest.withColumn("_place", F.xxhash64(quoted(key), F.xxhash64(body))), F.col("_place"),
+                    covered, F.xxhash64("_key", "_digest"))
+    same = quoted(key).eqNullSafe(F.col("_key")) & (F.xxhash64(body) == F.col("_digest"))
+    hits = marked.where("_hit").join(covered.hint("merge"), same, "left")
     split = _lines(body)
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda j: F.slice(
         split, F.coalesce(F.get("_spans", j - 1)["end"], F.lit(0)) + 1,
         F.coalesce(F.get("_spans", j)["start"], F.size(split)) - F.coalesce(F.get("_spans", j - 1)["end"], F.lit(0)))))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.select(
+    count = F.when(body.isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint").alias("n_lines")
+    thinned = hits.select(
         *[F.when(F.col("_spans").isNull(), quoted(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text
-          else quoted(c) for c in rest.columns],
-        F.when(body.isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.col("_spans"), none).alias("spans"))
+          else quoted(c) for c in rest.columns], count, F.coalesce(F.col("_spans"), none).alias("spans"))
+    return thinned.unionByName(
+        marked.where("NOT _hit").select(*[quoted(c) for c in rest.columns], count, none.alias("spans")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -46,16 +47,16 @@ HARMLESS = {
 }
 PLACEHOLDER = re.compile(r"(?i)change.?me|example|your[_-]|placeholder|dummy|sample|redacted|x{4,}|\*{3,}|<|\$\{|\{\{|"
                          r"^(?:true|false|null|none|undefined|nil)$|(.)\1{5,}")
+SENSITIVE_AT = 3
 FLAG_AT = 7
 
-NAME_BEFORE = re.compile(
-    r"""(?:(?P<quote>["'`])(?P<quoted>[^"'`\n]{1,80})(?P=quote)|(?P<plain>[A-Za-z_$@][\w$.\-]{0,79}))"""
-    r"""(?:[\x20\t]*:[\x20\t]*[A-Za-z_][\w.\[\]|]{0,39})?[\x20\t]*$""")
+NAME_BACK = re.compile(r"[\w$.\-@\[\]|]{1,80}")  # read from the right
+NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*$")
 LOOK_BACK = 180  # characters that a name, a type and white space may take
 OPERATOR = re.compile(r"(?:(?<![=!<>:])=(?![=~])>?|(?<!:):(?![:/])=?)[\x20\t]*")
 TERM = re.compile(
     r"""[A-Za-z]{0,2}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`]*)`)"""
-    r"""|(?P<bare>[^\s"'`,;(){}<>\[\]+]+(?:\+[^\s"'`,;(){}<>\[\]+]+)*)""")
+    r"""|(?P<bare>[^\s"'`,;(){}<>\[\]+&=:]+(?:(?:\+|://)[^\s"'`,;(){}<>\[\]+&=:]+)*={0,2})""")
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*\n?[\x20\t]*|[\x20\t]+(?=[\"'])")
 REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*$")
 INSIDE = re.compile(r"\$?\{\{?\s*([A-Za-z_$][\w$.]*)\s*\}?\}|\$([A-Za-z_]\w*)")
@@ -86,12 +87,29 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def name_before(text: str, at: int) -> str | None:
+    """The name that ends before a position: quoted, or plain and perhaps followed by a type."""
+    before = text[max(0, at - LOOK_BACK):at].rstrip(" \t")
+    if before and before[-1] in "\"'`":
+        start = before.rfind(before[-1], 0, -1)
+        inner = before[start + 1:-1]
+        return inner if start >= 0 and 0 < len(inner) <= 80 and "\n" not in inner else None
+    last = NAME_BACK.match(before[::-1])
+    if not last:
+        return None
+    word = last[0][::-1]
+    rest = before[:len(before) - len(word)].rstrip(" \t")
+    if rest.endswith(":") and (owner := NAME_BACK.match(rest[:-1].rstrip(" \t")[::-1])) and word[0].isalpha():
+        word = owner[0][::-1]
+    name = NAME.search(word)
+    return name[0] if name else None
+
+
 def assignments(text: str) -> list[Assignment]:
     """Name and value pairs in order of appearance; values are literals, names, or joins of both."""
     found = []
     for op in OPERATOR.finditer(text):
-        at = op.start()
-        name = NAME_BEFORE.search(text[max(0, at - LOOK_BACK):at])
+        name = name_before(text, op.start())
         if not name:
             continue
         literals, references, place = [], [], op.end()
@@ -114,7 +132,7 @@ def assignments(text: str) -> list[Assignment]:
                 break
             place = join.end()
         if literals or references:
-            found.append(Assignment(name["quoted"] or name["plain"], literals, references))
+            found.append(Assignment(name, literals, references))
     return found
 
 
@@ -143,23 +161,19 @@ def assigned_spans(text: str) -> list[Span]:
     places: dict[str, list[int]] = {}
     for i, a in enumerate(found):
         places.setdefault(a.name, []).append(i)
-    flagged: set[tuple[int, int]] = set()
-    for i, a in enumerate(found):
-        score = name_score(a.name)
-        if score < 3:
+    reached = [0] * len(found)  # the highest score of a name that the assignment's value reaches
+    todo = [(i, name_score(a.name)) for i, a in enumerate(found)]
+    while todo:
+        j, score = todo.pop()
+        if score < SENSITIVE_AT or score <= reached[j]:
             continue
-        seen, todo = set(), [i]
-        while todo:
-            j = todo.pop()
-            if j in seen:
-                continue
-            seen.add(j)
-            flagged.update((s, e) for s, e in found[j].literals if score + literal_score(text[s:e]) >= FLAG_AT)
-            for reference in found[j].references:
-                at = places.get(reference)
-                if at:
-                    todo.append(max((k for k in at if k < j), default=at[0]))
-    return [Span("literal", s, e) for s, e in flagged]
+        reached[j] = score
+        for reference in found[j].references:
+            if at := places.get(reference):
+                todo.append((at[max(0, bisect_left(at, j) - 1)], score))
+    return [Span("literal", s, e) for s, e in {
+        (s, e) for a, score in zip(found, reached) if score for s, e in a.literals
+        if score + literal_score(text[s:e]) >= FLAG_AT}]
 
 
 def find_secrets(text: str) -> list[Span]:

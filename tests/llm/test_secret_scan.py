@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -32,6 +33,13 @@ def test_literals_that_reach_sensitive_names(text, secrets):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
 
 
+@pytest.mark.parametrize("text", ["a=b:" * 100_000, "token = token\n" * 50_000, "x='" * 50_001, "a" * 500_000 + "=b", "=" * 500_000])
+def test_time_grows_with_the_text(text):
+    start = time.process_time()
+    find_secrets(text)
+    assert time.process_time() - start < 20
+
+
 def test_base_patterns_as_given():
     values = ["TOKEN='abc' token=abcdefghijkl", "ſecret=abcdefghijklm", "apiKey : \"a1b2c3d4e5f6\"", "AKIA" * 6, "é" * 3 + "ab" * 9,
               "password=short password=longenough123", "x" * 20 + "0123456789ABCDEF"]

@@ -2,8 +2,8 @@
 
 Reads ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one line of JSON. Query names given as arguments
 replace the headline set. With the headline set come, for comparison, the lineitem profile and its label candidates
-next to plans that take one action per column, the same for a table of 200 columns, and the four jobs next to the same
-fits run in turn with a count before each.
+next to plans that take one action per column, a profile of 200 columns, and the four jobs next to the same fits run in
+turn with a count before each.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from tableprobe.sources.scratch import own_folder
 
 HEADLINE = [
     "profile_lineitem", "profile_distinct", "profile_distinct_nested", "label_index_wide", "kmeans_assign_many",
-    "logistic_calibration", "analyze_csv", "profile_nulls", "profile_numeric", "profile_distinct_texts",
+    "logistic_calibration", "profile_nulls", "profile_numeric", "profile_distinct_texts",
     "label_candidates", "ts_daily_events", "ts_daily_lineitem", "ts_mixed_formats", "ts_first10",
     "regression_one", "regression_two", "regression_auto", "classification_report", "kmeans_report",
     "kmeans_assign", "label_index", "split_counts", "job_report", "src_csv", "src_json", "scaling_report",
@@ -79,19 +79,12 @@ def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[st
 
     wide = df.select(*[(F.col(numeric[i % len(numeric)]) + i).alias(f"c{i}") for i in range(200)])
 
-    def wide_by_column():
-        for c in wide.columns:
-            wide.where(F.col(c).isNull()).count()
-            wide.select(c).distinct().count()
-        wide.agg(*[f(c) for c in wide.columns for f in (F.min, F.max, F.avg)]).collect()
-
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     few = wide.limit(1000).cache()
     few.count()
     return {
         "jobs": {"tableprobe": median(lambda: run_jobs(orders).collect(), repeats),
                  "in_turn": median(lambda: jobs_in_turn(orders), repeats)},
-        "wide_profile": {"tableprobe": median(lambda: describe(wide).collect(), 1), "by_column": median(wide_by_column, 1)},
         "wide_profile_1000_rows": {"tableprobe": median(lambda: describe(few).collect(), repeats)},
         "profile": {"tableprobe": median(lambda: describe(df).collect(), repeats),
                     "by_column": median(profile_by_column, repeats)},

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import quoted
-from tableprobe.llm.bpe import byte_alphabet, read_tokenizer, slices
+from tableprobe.llm.bpe import SPACE, byte_alphabet, read_tokenizer, slices
 from tableprobe.llm.common import map_rows, ship, staged, text_of
 
 CAPACITY = 1024
@@ -33,6 +34,10 @@ LOOSE = 0.97  # bins filled less than this are packed once more, together with o
 # Fixed value: the words of byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# tiktoken backtracks through white space and gives up on about a million characters; runs from here on are cut out.
+LONG_RUN = 100_000
+RUN = regex.compile(rf"(?<![{SPACE}])[{SPACE}]{{{LONG_RUN},}}+")
+
 _tokenizers: dict[int, tiktoken.Encoding] = {}
 
 
@@ -49,6 +54,31 @@ def tokenizer_of(content: bytes) -> tiktoken.Encoding:
     return _tokenizers[key]
 
 
+def encode_text(own: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, special tokens as their own; white space may be of any length.
+
+    A run of white space is one word up to the character that the next word may begin with, or up to the end of its
+    stretch; no word before it reaches into it. So a long run is taken out and its word encoded without the pattern.
+    """
+    if len(text) < LONG_RUN or not RUN.search(text):
+        return own.encode(text, allowed_special="all")
+    special = own.special_tokens_set
+    stretches = regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special else [text]
+    ids = []
+    for stretch in stretches:
+        if stretch in special:
+            ids += own.encode(stretch, allowed_special="all")
+            continue
+        done = 0
+        for run in RUN.finditer(stretch):
+            end = run.end() - (run.end() < len(stretch))
+            ids += own.encode_ordinary(stretch[done:run.start()])
+            ids += own._encode_single_piece(stretch[run.start():end])
+            done = end
+        ids += own.encode_ordinary(stretch[done:])
+    return ids
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: all full but the first, which may be shorter."""
     first = length % capacity or min(length, capacity)
@@ -69,7 +99,7 @@ def pieces_of(df: DataFrame, tokenizer: str, text: str, key: str, capacity: int,
         at = 0
         for part in slices(batch.column(2).to_pylist()):
             for value in part:
-                ids = np.array([*own.encode(value, allowed_special="all"), end_id], np.uint32)
+                ids = np.array([*encode_text(own, value), end_id], np.uint32)
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own_ids = ids[start:start + length]
                     found.append((piece, start, length, zlib.crc32(own_ids.tobytes())))

@@ -26,6 +26,23 @@ def test_ids_are_the_librarys():
         assert own.encode(value, allowed_special="all") == reference.encode(value, add_special_tokens=False).ids
 
 
+def test_long_white_space(spark, monkeypatch):
+    own = packing.tokenizer_of(packing.read_tokenizer(PATH))
+    blanks, lines = " " * 3_000_000, "\n" * 3_000_000
+    long = [f"a{blanks}b c{lines}d", f"a b{blanks}", f"a{lines}<|endoftext|>{blanks}", f"{lines}\u3000x", blanks + lines]
+    rows = packing.pack_documents(cases.frame(spark, list(enumerate(long))), PATH).collect()
+    for i, value in enumerate(long):
+        ids = packing.encode_text(own, value)
+        assert own.decode(ids) == value
+        assert sum(r["length"] for r in rows if r["doc_id"] == i) == len(ids) + 1
+    reference = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    monkeypatch.setattr(packing, "RUN", packing.regex.compile(packing.RUN.pattern.replace("100000", "4")))
+    for value in [v.replace(blanks, " " * 9).replace(lines, "\n" * 9) for v in long] + noise(100):
+        for spaced in (value, value.replace(" ", " \t\n  ") + " " * 5):
+            assert packing.encode_text(own, spaced) == reference.encode(spaced, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [50, 1024])
 def test_evolution_never_breaks_a_packing(capacity):
     rng = np.random.default_rng(1)

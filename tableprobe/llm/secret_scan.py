@@ -45,10 +45,18 @@ HARMLESS = {
     "type": -3, "public": -4, "url": -2, "field": -3, "label": -3, "prefix": -2, "expires": -3, "ttl": -3, "hint": -3,
     "column": -3, "policy": -3, "placeholder": -4, "example": -4, "regex": -4, "pattern": -4,
 }
-PLACEHOLDER = re.compile(r"(?i)change.?me|example|your[_-]|placeholder|dummy|sample|redacted|x{4,}|\*{3,}|<|\$\{|\{\{|"
-                         r"^(?:true|false|null|none|undefined|nil)$|(.)\1{5,}")
+# Values that stand for no secret as a whole; words inside a value that count as no part of it, the first kind only
+# beside what marks a stand-in; and words of prose.
+PLACEHOLDER = re.compile(r"(?is)<[^<>]*>|\$\{[^{}]*\}|\{\{[^{}]*\}\}|x+|\*+|true|false|null|none|undefined|nil")
+STAND_IN = re.compile(r"(?i)change.?me|example|your[_-]|placeholder|dummy|sample|redacted|\$\{[^{}]*\}|\{\{[^{}]*\}\}|"
+                      r"x{4,}+|\*{3,}+|(.)\1{5,}+")
+GENERIC = re.compile(r"(?i)password|passwd|passphrase|secret|token|api|key|here|test|value|user")
+PROSE = frozenset("a an and are be by can cannot enter field for forgot from has have if in incorrect invalid is it must "
+                  "new no not of on or please required reset should that the this to use was wrong you your".split())
 SENSITIVE_AT = 3
 FLAG_AT = 7
+PHRASE_AT = 4  # how sensitive a name has to be for a value of several words
+SPACED = re.compile(r"\s")
 
 NAME_BACK = re.compile(r"[\w$.\-@\[\]|]{1,80}")  # read from the right
 NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*$")
@@ -141,16 +149,62 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p, 0) + HARMLESS.get(p, 0) for p in parts)
 
 
-def literal_score(value: str) -> int:
-    """Length, mixed kinds of characters and entropy speak for a secret; prose and placeholders against it."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return -9
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum([any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value),
-                 any(not c.isalnum() for c in value)])
-    return (len(value) >= 12) + (len(value) >= 20) + (entropy >= 2.8) + (entropy >= 3.5) + (kinds - 1) * 2 - (
-        3 if value.isalpha() else 0)
+def literal_scores(text: str, starts: list[int], end: int) -> dict[int, tuple[int, bool]]:
+    """Scores of the literals that end at one place, by start, read once from the right, and if they hold white space.
+
+    Length, mixed kinds of characters and entropy speak for a secret; letters alone, words of prose and stand-ins such
+    as "example" against it. What makes up a stand-in is no part of the value, and the rest has to look like a secret.
+    """
+    lowest = min(starts)
+    value = text[lowest:end]
+    marks = [m.span() for m in STAND_IN.finditer(value)]
+    hidden = bytearray(len(value))
+    for s, e in marks + [m.span() for m in GENERIC.finditer(value)] * bool(marks):
+        hidden[s:e] = b"\1" * (e - s)
+    last_mark = lowest + marks[-1][0] if marks else -1
+    spaces = [m.start() + lowest for m in SPACED.finditer(value)]
+    tallies, scores, wanted = [_Tally(), _Tally()], {}, set(starts)
+    for i in range(len(value) - 1, -1, -1):
+        tallies[0].add(value[i])
+        if not hidden[i]:
+            tallies[1].add(value[i])
+        at = lowest + i
+        if at in wanted:
+            marked = at <= last_mark
+            score = tallies[marked].score() - 2 * marked
+            spaced = bool(spaces) and spaces[-1] >= at
+            if spaced:
+                words = [w.strip(".,:;!?'()") for w in text[at:end].lower().split()]
+                score -= 4 * sum(w in PROSE for w in words) if len(words) > 1 else 0
+            scores[at] = -9 if PLACEHOLDER.fullmatch(text, at, end) else score, spaced
+    return scores
+
+
+class _Tally:
+    """Length, entropy and kinds of the characters seen so far."""
+
+    def __init__(self) -> None:
+        self.counts: Counter[str] = Counter()
+        self.size, self.sum = 0, 0.0
+        self.lower = self.upper = self.digit = self.other = 0
+
+    def add(self, c: str) -> None:
+        n = self.counts[c]
+        self.counts[c] = n + 1
+        self.sum += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0)
+        self.size += 1
+        self.lower |= c.islower()
+        self.upper |= c.isupper()
+        self.digit |= c.isdigit()
+        self.other |= not c.isalnum()
+
+    def score(self) -> int:
+        if self.size < 8:
+            return -9
+        entropy = math.log2(self.size) - self.sum / self.size
+        alpha = not self.other and all(c.isalpha() for c in self.counts) if not self.digit else False
+        kinds = self.lower + self.upper + self.digit + self.other
+        return (self.size >= 12) + (self.size >= 20) + (entropy >= 2.8) + (entropy >= 3.5) + (kinds - 1) * 2 - 3 * alpha
 
 
 def assigned_spans(text: str) -> list[Span]:
@@ -171,9 +225,23 @@ def assigned_spans(text: str) -> list[Span]:
         for reference in found[j].references:
             if at := places.get(reference):
                 todo.append((at[max(0, bisect_left(at, j) - 1)], score))
-    return [Span("literal", s, e) for s, e in {
-        (s, e) for a, score in zip(found, reached) if score for s, e in a.literals
-        if score + literal_score(text[s:e]) >= FLAG_AT}]
+    best: dict[tuple[int, int], int] = {}  # the highest score of a name that each literal reaches
+    starts: dict[int, list[int]] = {}
+    for a, score in zip(found, reached):
+        for span in a.literals if score else ():
+            if span[0] == span[1]:
+                continue
+            if span not in best:
+                starts.setdefault(span[1], []).append(span[0])
+            best[span] = max(score, best.get(span, 0))
+    spans = []
+    for end, places_of in starts.items():
+        own = literal_scores(text, places_of, end)
+        for s in places_of:
+            score, spaced = own[s]
+            if best[s, end] + score >= FLAG_AT and (best[s, end] >= PHRASE_AT or not spaced):
+                spans.append(Span("literal", s, end))
+    return spans
 
 
 def find_secrets(text: str) -> list[Span]:

@@ -33,6 +33,16 @@ def test_literals_that_reach_sensitive_names(text, secrets):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
 
 
+@pytest.mark.parametrize("value, secret", [
+    ("aB3<kL9pQ2xZ7w!m", True), ("aB3xXXxkL9pQ2Z7w", True), ("Zk3v9sampleQw8Lm2xP", True), ("q000000Zk3v9Qw8Lm2x", True),
+    ("correct horse battery staple", True), ("<your password>", False), ("${DB_PASSWORD_1}", False), ("{{ vault_pw_12 }}", False),
+    ("xxxxxxxxxxxx", False), ("************", False), ("your_api_key_here_123", False), ("Please enter your password", False),
+])
+def test_stand_ins_and_phrases(value, secret):
+    text = f"db_password = '{value}'"
+    assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == [value] * secret
+
+
 @pytest.mark.parametrize("text", ["a=b:" * 100_000, "token = token\n" * 50_000, "x='" * 50_001, "a" * 500_000 + "=b", "=" * 500_000])
 def test_time_grows_with_the_text(text):
     start = time.process_time()

@@ -62,11 +62,13 @@ NAME_BACK = re.compile(r"[\w$.\-@\[\]|]{1,80}")  # read from the right
 NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*$")
 LOOK_BACK = 180  # characters that a name, a type and white space may take
 OPERATOR = re.compile(r"(?:(?<![=!<>:])=(?![=~])>?|(?<!:):(?![:/])=?)[\x20\t]*")
-TERM = re.compile(
-    r"""[A-Za-z]{0,2}(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|`(?P<back>[^`]*)`)"""
-    r"""|(?P<bare>[^\s"'`,;(){}<>\[\]+&=:]+(?:(?:\+|://)[^\s"'`,;(){}<>\[\]+&=:]+)*={0,2})""")
+QUOTE = re.compile(r"[A-Za-z]{0,2}([\"'`])")
+BODY = {'"': re.compile(r'[^"\\\n]*+(?:\\.[^"\\\n]*+)*+(?=")'), "'": re.compile(r"[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?=')"),
+        "`": re.compile(r"[^`]*+(?=`)")}
+BARE = re.compile(r"""[^\s"'`,;(){}<>\[\]+]++(?:\+[^\s"'`,;(){}<>\[\]+]++)*+""")
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*\n?[\x20\t]*|[\x20\t]+(?=[\"'])")
-REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*$")
+BLANK, WHITE = re.compile(r"[\x20\t]*"), re.compile(r"\s*")
+REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*+$")
 INSIDE = re.compile(r"\$?\{\{?\s*([A-Za-z_$][\w$.]*)\s*\}?\}|\$([A-Za-z_]\w*)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -78,6 +80,7 @@ class Span(NamedTuple):
 
 
 class Assignment(NamedTuple):
+    at: int
     name: str
     literals: list[tuple[int, int]]
     references: list[str]
@@ -95,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def name_before(text: str, at: int) -> str | None:
+def name_before(text: str, at: int, typed: bool = True) -> str | None:
     """The name that ends before a position: quoted, or plain and perhaps followed by a type."""
     before = text[max(0, at - LOOK_BACK):at].rstrip(" \t")
     if before and before[-1] in "\"'`":
@@ -107,41 +110,139 @@ def name_before(text: str, at: int) -> str | None:
         return None
     word = last[0][::-1]
     rest = before[:len(before) - len(word)].rstrip(" \t")
-    if rest.endswith(":") and (owner := NAME_BACK.match(rest[:-1].rstrip(" \t")[::-1])) and word[0].isalpha():
+    if typed and rest.endswith(":") and (owner := NAME_BACK.match(rest[:-1].rstrip(" \t")[::-1])) and word[0].isalpha():
         word = owner[0][::-1]
     name = NAME.search(word)
     return name[0] if name else None
 
 
-def assignments(text: str) -> list[Assignment]:
-    """Name and value pairs in order of appearance; values are literals, names, or joins of both."""
-    found = []
-    for op in OPERATOR.finditer(text):
-        name = name_before(text, op.start())
-        if not name:
-            continue
-        literals, references, place = [], [], op.end()
-        while term := TERM.match(text, place):
-            group = term.lastgroup
-            value = term[group]
-            if group == "bare":
-                value = value.rstrip(".:!?")
-                if literals or references or REFERENCE.match(value):
-                    references.append(value)
-                if not literals and value:
-                    literals.append((term.start(group), term.start(group) + len(value)))
-            else:
-                literals.append(term.span(group))
-                references += [a or b for a, b in INSIDE.findall(value)]
-            join = JOIN.match(text, term.end())
-            if not join:
+class Lexer:
+    """Reads the assignments of a text. Every value is read once, then what stands inside its strings as a text of its own.
+
+    A name inside a value (in brackets, an unquoted word or a string) makes an assignment of its own, and what it is
+    given does not count for the name outside, save in a word, which counts whole for its first name.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.found: list[Assignment] = []
+        self.regions = [(0, len(text))]
+        self.dead: dict[str, int] = {}  # up to where a kind of quote is known not to be closed
+
+    def scan(self, low: int, high: int) -> None:
+        self.dead = {}
+        at = low
+        while op := OPERATOR.search(self.text, at, high):
+            at = op.end()
+            if name := name_before(self.text, op.start()):
+                at = max(at, self.value(name, op, high))
+
+    def begin(self, at: int, name: str) -> Assignment:
+        self.found.append(Assignment(at, name, [], []))
+        return self.found[-1]
+
+    def string(self, at: int, high: int) -> tuple[int, int, int] | None:
+        """Start and end of what the quotes at a place hold, and the place after them."""
+        opening = QUOTE.match(self.text, at, high)
+        if not opening:
+            return None
+        quote, start = opening[1], opening.end()
+        if self.dead.get(quote, -1) > start:
+            return None
+        body = BODY[quote].match(self.text, start, high)
+        if not body:
+            line = self.text.find("\n", start, high) if quote != "`" else -1
+            self.dead[quote] = line if line >= 0 else high
+            return None
+        return start, body.end(), body.end() + 1
+
+    def lines(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The lines of a stretch without the white space around them."""
+        return [(start + m.start(), start + m.end()) for m in re.finditer(r"\S(?:[^\n]*\S)?", self.text[start:end])]
+
+    def quoted(self, own: Assignment, start: int, end: int) -> None:
+        own.literals.extend(self.lines(start, end) if "\n" in self.text[start:end] else [(start, end)])
+        own.references.extend(a or b for a, b in INSIDE.findall(self.text, start, end))
+        self.regions.append((start, end))
+
+    def word(self, own: Assignment, start: int, end: int, literal: bool = True, item: bool = False) -> None:
+        """An unquoted word; each assignment in it has the rest of the word, in a query string up to the next '&'."""
+        text = self.text
+        stop = start + len(text[start:end].rstrip(".:!?"))
+        if own.literals or own.references or REFERENCE.match(text, start, stop):
+            own.references.append(text[start:stop])
+        if literal and (item or not own.literals) and stop > start:
+            own.literals.append((start, stop))
+        cuts = None
+        for op in OPERATOR.finditer(text, start, end):
+            if op.end() >= stop:
                 break
-            if group == "bare" and not join[0].strip():
+            names = [n for n in (name_before(text, op.start(), typed) for typed in (False, True)) if n]
+            if names:
+                name = max(names, key=name_score)  # a:b=c may give c to a of type b, or to b
+                to = stop
+                if text[op.start() - len(name) - 1:op.start() - len(name)] in ("?", "&"):
+                    cuts = cuts or [i for i in range(start, stop) if text[i] == "&"] + [stop]
+                    to = cuts[bisect_left(cuts, op.end())]
+                inner = self.begin(op.start(), name)
+                inner.literals.append((op.end(), to))
+                if REFERENCE.match(text, op.end(), to):
+                    inner.references.append(text[op.end():to])
+
+    def word_end(self, start: int, high: int) -> int:
+        """Where the unquoted word ends: before an operator that a quote or bracket follows."""
+        word = BARE.match(self.text, start, high)
+        if not word:
+            return start
+        end = word.end()
+        back = end
+        while back > start and self.text[back - 1] in ":=>":
+            back -= 1
+        op = OPERATOR.search(self.text, back, end) if back < end else None
+        if op and self.text[(after := OPERATOR.match(self.text, op.start(), high).end()):after + 1] in ("'", '"', "`", "(", "[", "{"):
+            return op.start()
+        return end
+
+    def value(self, name: str, op: re.Match, high: int) -> int:
+        """Read the value after an operator, with all assignments in its brackets; the place after it."""
+        text = self.text
+        frames, brackets = [self.begin(op.start(), name)], [[]]  # assignments around a place, and their open brackets
+        at, fresh, bare = op.end(), True, False
+        while at < high:
+            own, opened = frames[-1], brackets[-1]
+            inside = bool(opened) or len(frames) > 1
+            at, before = (WHITE if inside else BLANK).match(text, at, high).end(), at
+            if at >= high:
                 break
-            place = join.end()
-        if literals or references:
-            found.append(Assignment(name, literals, references))
-    return found
+            c = text[at]
+            if not fresh:
+                join = JOIN.match(text, before, high)
+                if join and (join[0].strip() or not bare):
+                    at, fresh = join.end(), True
+                    continue
+                if not inside:
+                    return before
+            held = len(own.literals), len(own.references)
+            if string := self.string(at, high):
+                start, end, at = string
+                self.quoted(own, start, end)
+                fresh, bare = False, False
+            elif (end := self.word_end(at, high)) > at:
+                self.word(own, at, end)
+                at, fresh, bare = end, False, True
+            elif inside:
+                at, fresh = at + 1, True
+            else:
+                return at
+        return at
+
+
+def assignments(text: str) -> list[Assignment]:
+    """Name and value pairs in order of appearance; values are literals, names, or joins of both."""
+    lexer = Lexer(text)
+    while lexer.regions:
+        lexer.scan(*lexer.regions.pop())
+    return sorted((a for a in lexer.found if a.literals or a.references), key=lambda a: a.at)
 
 
 def name_score(name: str) -> int:
@@ -237,10 +338,11 @@ def assigned_spans(text: str) -> list[Span]:
     spans = []
     for end, places_of in starts.items():
         own = literal_scores(text, places_of, end)
-        for s in places_of:
+        for s in sorted(places_of):
             score, spaced = own[s]
             if best[s, end] + score >= FLAG_AT and (best[s, end] >= PHRASE_AT or not spaced):
                 spans.append(Span("literal", s, end))
+                break  # what begins later lies inside
     return spans
 
 

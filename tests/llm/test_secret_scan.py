@@ -43,6 +43,21 @@ def test_stand_ins_and_phrases(value, secret):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == [value] * secret
 
 
+@pytest.mark.parametrize("text, secrets", [
+    ("BOT_TOKEN=123456789:AAHdqTcvZ8w\n", ["123456789:AAHdqTcvZ8w"]), ("DB_PASSWORD=Xy9&kLm2pQ7vT4zR", ["Xy9&kLm2pQ7vT4zR"]),
+    ("AUTH=postgres://app:Zk3vQ9w2@db", ["postgres://app:Zk3vQ9w2@db"]), ("secret: Zk3v=Qw8Lm2x9pT", ["Zk3v=Qw8Lm2x9pT"]),
+    ("url=http://h/?password=Zk3v9Qw8Lm2x&user=bob", ["Zk3v9Qw8Lm2x"]), ("password:string='Zk3v9Qw8Lm2x'", ["Zk3v9Qw8Lm2x"]),
+    ("x=env:DB_PASSWORD=Xy9&kLm2pQ7vT4zR", ["Xy9&kLm2pQ7vT4zR"]),
+])
+def test_unquoted_values_are_taken_whole(text, secrets):
+    assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
+
+
+@pytest.mark.parametrize("text", ["token=token:" * 50_000, "a=b + " * 100_000, "?token=a" * 50_000, "x=?token=a&" * 50_000])
+def test_time_grows_with_joined_values(text):
+    test_time_grows_with_the_text(text)
+
+
 @pytest.mark.parametrize("text", ["a=b:" * 100_000, "token = token\n" * 50_000, "x='" * 50_001, "a" * 500_000 + "=b", "=" * 500_000])
 def test_time_grows_with_the_text(text):
     start = time.process_time()

@@ -68,6 +68,11 @@ BODY = {'"': re.compile(r'[^"\\\n]*+(?:\\.[^"\\\n]*+)*+(?=")'), "'": re.compile(
 BARE = re.compile(r"""[^\s"'`,;(){}<>\[\]+]++(?:\+[^\s"'`,;(){}<>\[\]+]++)*+""")
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*\n?[\x20\t]*|[\x20\t]+(?=[\"'])")
 BLANK, WHITE = re.compile(r"[\x20\t]*"), re.compile(r"\s*")
+BLOCK = re.compile(r"[|>][+-]?\d?[+-]?[\x20\t]*(?:#[^\n]*)?\r?\n")  # YAML
+LINE = re.compile(r"([\x20\t]*)([^\n]*)\n?")
+NEXT_LINE = re.compile(r"\\?\r?\n([\x20\t]*)(-[\x20\t]+)?")
+ITEM = re.compile(r"[\x20\t]*\r?\n[\x20\t]*-[\x20\t]+")
+NAMED = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z]+(?:[._/-][a-z0-9]+)*")  # arguments that name what is looked up
 REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*+$")
 INSIDE = re.compile(r"\$?\{\{?\s*([A-Za-z_$][\w$.]*)\s*\}?\}|\$([A-Za-z_]\w*)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -147,6 +152,12 @@ class Lexer:
         if not opening:
             return None
         quote, start = opening[1], opening.end()
+        triple = quote * 3
+        if quote != "`" and self.text.startswith(triple, start - 1) and self.dead.get(triple, -1) <= start:
+            end = self.text.find(triple, start + 2, high)
+            if end >= 0:
+                return start + 2, end, end + 3
+            self.dead[triple] = high
         if self.dead.get(quote, -1) > start:
             return None
         body = BODY[quote].match(self.text, start, high)
@@ -203,11 +214,52 @@ class Lexer:
             return op.start()
         return end
 
+    def block(self, own: Assignment, op: re.Match, start: int, high: int) -> None:
+        """The lines of a YAML block: those that follow and stand deeper than the line of the name."""
+        line = self.text.rfind("\n", 0, op.start()) + 1
+        depth = len(BLANK.match(self.text, line)[0])
+        while start < high:
+            m = LINE.match(self.text, start, high)
+            if m[2].strip():
+                if len(m[1]) <= depth:
+                    return
+                own.literals.extend(self.lines(*m.span(2)))
+            start = m.end()
+
+    def is_key(self, end: int, high: int) -> bool:
+        """Whether an operator follows, so that what ended here is a name."""
+        return bool(OPERATOR.match(self.text, BLANK.match(self.text, end, high).end(), high))
+
+    def next_line(self, at: int, high: int) -> int | None:
+        """Where a value begins on the line after the operator: a string, or deeper a bracket or a word; no name."""
+        m = NEXT_LINE.match(self.text, at, high)
+        if not m:
+            return None
+        start = m.end()
+        if string := self.string(start, high):
+            return None if self.is_key(string[2], high) else start
+        if not m[1] and not m[2]:
+            return None
+        if self.text[start:start + 1] in ("(", "[", "{"):
+            return start
+        end = self.word_end(start, high)
+        if end == start or self.is_key(end, high) or self.text[end - 1] == ":":
+            return None
+        op = OPERATOR.search(self.text, start, end)
+        return None if op and op[0][0] == "=" and REFERENCE.match(self.text, start, op.start()) else start
+
     def value(self, name: str, op: re.Match, high: int) -> int:
         """Read the value after an operator, with all assignments in its brackets; the place after it."""
         text = self.text
         frames, brackets = [self.begin(op.start(), name)], [[]]  # assignments around a place, and their open brackets
         at, fresh, bare = op.end(), True, False
+        first, listed = False, False
+        if block := BLOCK.match(text, at, high):
+            self.block(frames[0], op, block.end(), high)
+            return block.end()
+        if (start := self.next_line(at, high)) is not None:
+            listed = "-" in text[at:start]
+            at = start
         while at < high:
             own, opened = frames[-1], brackets[-1]
             inside = bool(opened) or len(frames) > 1
@@ -215,20 +267,77 @@ class Lexer:
             if at >= high:
                 break
             c = text[at]
+            if inside and c in ",;)]}":
+                if not opened:  # the value of a name in brackets ends, what holds it goes on
+                    frames.pop(), brackets.pop()
+                    continue
+                if c in ")]}":
+                    opened.pop()
+                at, fresh, bare, first = at + 1, c in ",;", False, False
+                continue
+            if inside and not fresh and (inner := OPERATOR.match(text, at, high)):
+                if key := name_before(text, inner.start()):
+                    for kept in (own.literals, own.references):
+                        while kept and len(kept) > held[kept is own.references]:
+                            kept.pop()
+                    if not opened:
+                        frames.pop(), brackets.pop()
+                    frames.append(self.begin(inner.start(), key)), brackets.append([])
+                at, fresh, bare, first = inner.end(), True, False, False
+                continue
+            if bare and not fresh and before == at and c in "([":  # a call, or a look-up
+                while len(own.literals) > held[0]:
+                    own.literals.pop()
+                opened.append("call")
+                at, fresh, bare, first = at + 1, True, False, True
+                continue
             if not fresh:
                 join = JOIN.match(text, before, high)
                 if join and (join[0].strip() or not bare):
                     at, fresh = join.end(), True
                     continue
+                if listed and not inside and (item := ITEM.match(text, before, high)):
+                    end = self.word_end(item.end(), high)
+                    if not self.is_key(end, high) and text[end - 1] != ":":
+                        if end > item.end():
+                            own.literals.append((item.end(), end))
+                            at, bare = end, True
+                        else:
+                            at, fresh = item.end(), True
+                        continue
                 if not inside:
                     return before
             held = len(own.literals), len(own.references)
             if string := self.string(at, high):
                 start, end, at = string
+                if first and NAMED.fullmatch(text, start, end):
+                    own.references.append(text[start:end])
+                    fresh, bare, first = False, False, False
+                    continue
                 self.quoted(own, start, end)
                 fresh, bare = False, False
+                first = False
+            elif fresh and c in "([{":
+                opened.append(c)
+                at += 1
             elif (end := self.word_end(at, high)) > at:
-                self.word(own, at, end)
+                inner = OPERATOR.search(text, at, end) if inside else None
+                if inner and (key := name_before(text, inner.start())):
+                    inner = OPERATOR.match(text, inner.start(), high)
+                    if not opened:
+                        frames.pop(), brackets.pop()
+                    own = self.begin(inner.start(), key)
+                    frames.append(own), brackets.append([])
+                    if inner.end() < end:
+                        held = 0, 0
+                        self.word(own, inner.end(), end)
+                        at, fresh, bare = end, False, True
+                    else:
+                        at, fresh, bare = inner.end(), True, False
+                    first = False
+                    continue
+                first = False
+                self.word(own, at, end, not opened or opened[-1] == "[", bool(opened) and fresh)
                 at, fresh, bare = end, False, True
             elif inside:
                 at, fresh = at + 1, True

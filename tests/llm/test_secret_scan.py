@@ -53,6 +53,29 @@ def test_unquoted_values_are_taken_whole(text, secrets):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
 
 
+A, B = "Zk3v9Qw8Lm2x", "Qk3v9Qw8Lm2y"
+
+
+@pytest.mark.parametrize("text, secrets", [
+    (f'PASSWORD = ("{A}")', [A]), (f'API_TOKENS = ["{A}",\n  "{B}"]', [A, B]), (f"tokens: [{A}, {B}]", [A, B]),
+    (f'password = String("{A}")', [A]), (f'PASSWORD = os.getenv("DB_PASSWORD_1", "{A}")', [A]),
+    (f'PASSWORD = """{A}"""', [A]), (f'PASSWORD = """\n{A}\n"""\n', [A]), (f"PASSWORD = \\\n  '{A}'", [A]),
+    (f"password: |\n  {A}\nuser: bob\n", [A]), (f"password:\n  {A}\nuser: bob\n", [A]),
+    (f"tokens:\n  - {A}\n  - {B}\n", [A, B]), (f'String password =\n    "{A}";', [A]),
+    (f'c = connect(host="h", password="{A}" + "{B}")', [A, B]), (f'conf = """\npassword = "{A}"\n"""', [A]),
+    ('password = os.environ["DB_PASSWORD_2"]', []), ("secrets:\n  db_config1_name: foo\n", []),
+    (f"PASSWORD=\nexport FOO={A}\n", []),
+])
+def test_values_in_brackets_calls_and_on_further_lines(text, secrets):
+    assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
+
+
+@pytest.mark.parametrize("text", ["token=[" * 100_000, "x=(''" + "\\'" * 200_000, "token: |\n " * 50_000, 'token=\"""a' * 50_000,
+                                  "x=f('token=a:" * 50_000])
+def test_time_grows_with_brackets_and_lines(text):
+    test_time_grows_with_the_text(text)
+
+
 @pytest.mark.parametrize("text", ["token=token:" * 50_000, "a=b + " * 100_000, "?token=a" * 50_000, "x=?token=a&" * 50_000])
 def test_time_grows_with_joined_values(text):
     test_time_grows_with_the_text(text)

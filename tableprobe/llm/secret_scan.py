@@ -58,9 +58,9 @@ FLAG_AT = 7
 PHRASE_AT = 4  # how sensitive a name has to be for a value of several words
 SPACED = re.compile(r"\s")
 
-NAME_BACK = re.compile(r"[\w$.\-@\[\]|]{1,80}")  # read from the right
-NAME = re.compile(r"[A-Za-z_$@][\w$.\-]*$")
-LOOK_BACK = 180  # characters that a name, a type and white space may take
+NAME_BACK = re.compile(r"[\w$.\-@\[\]|]+")  # read from the right, in the reversed text
+TAIL = re.compile(r"[\w$.\-]*@?")  # likewise: what a name may end with
+NAME_START = re.compile(r"[A-Za-z_$@]")
 OPERATOR = re.compile(r"(?:(?<![=!<>:])=(?![=~])>?|(?<!:):(?![:/])=?)[\x20\t]*")
 QUOTE = re.compile(r"[A-Za-z]{0,2}([\"'`])")
 BODY = {'"': re.compile(r'[^"\\\n]*+(?:\\.[^"\\\n]*+)*+(?=")'), "'": re.compile(r"[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?=')"),
@@ -103,22 +103,27 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def name_before(text: str, at: int, typed: bool = True) -> str | None:
-    """The name that ends before a position: quoted, or plain and perhaps followed by a type."""
-    before = text[max(0, at - LOOK_BACK):at].rstrip(" \t")
-    if before and before[-1] in "\"'`":
-        start = before.rfind(before[-1], 0, -1)
-        inner = before[start + 1:-1]
-        return inner if start >= 0 and 0 < len(inner) <= 80 and "\n" not in inner else None
-    last = NAME_BACK.match(before[::-1])
-    if not last:
+def name_before(text: str, back: str, at: int, typed: bool = True) -> str | None:
+    """The name that ends before a position: quoted, or plain and perhaps followed by a type. ``back`` is ``text`` reversed.
+
+    A name may be of any length: it is read from its end, and never across an operator other than a type's.
+    """
+    size = len(text)
+    start = BLANK.match(back, size - at).end()
+    if (quote := back[start:start + 1]) in ("'", '"', "`"):
+        end = size - start - 1
+        opening = text.rfind(quote, 0, end)
+        inner = text[opening + 1:end]
+        return inner if opening >= 0 and inner and "\n" not in inner else None
+    word = NAME_BACK.match(back, start)
+    if not word:
         return None
-    word = last[0][::-1]
-    rest = before[:len(before) - len(word)].rstrip(" \t")
-    if typed and rest.endswith(":") and (owner := NAME_BACK.match(rest[:-1].rstrip(" \t")[::-1])) and word[0].isalpha():
-        word = owner[0][::-1]
-    name = NAME.search(word)
-    return name[0] if name else None
+    rest = BLANK.match(back, word.end()).end()
+    if typed and back[rest:rest + 1] == ":" and back[word.end() - 1].isalpha():
+        word = NAME_BACK.match(back, BLANK.match(back, rest + 1).end()) or word
+    tail = TAIL.match(back, *word.span())[0][::-1]
+    first = NAME_START.search(tail)
+    return tail[first.start():] if first else None
 
 
 class Lexer:
@@ -129,7 +134,7 @@ class Lexer:
     """
 
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.back = text, text[::-1]
         self.found: list[Assignment] = []
         self.regions = [(0, len(text))]
         self.dead: dict[str, int] = {}  # up to where a kind of quote is known not to be closed
@@ -139,9 +144,12 @@ class Lexer:
         at = low
         while op := OPERATOR.search(self.text, at, high):
             at = op.end()
-            if name := name_before(self.text, op.start()):
+            if name := self.name_before(op.start()):
                 at = max(at, self.value(name, op, high))
 
+    def name_before(self, at: int, typed: bool = True) -> str | None:
+        return name_before(self.text, self.back, at, typed)
+
     def begin(self, at: int, name: str) -> Assignment:
         self.found.append(Assignment(at, name, [], []))
         return self.found[-1]
@@ -188,7 +196,7 @@ class Lexer:
         for op in OPERATOR.finditer(text, start, end):
             if op.end() >= stop:
                 break
-            names = [n for n in (name_before(text, op.start(), typed) for typed in (False, True)) if n]
+            names = [n for n in (self.name_before(op.start(), typed) for typed in (False, True)) if n]
             if names:
                 name = max(names, key=name_score)  # a:b=c may give c to a of type b, or to b
                 to = stop
@@ -276,7 +284,7 @@ class Lexer:
                 at, fresh, bare, first = at + 1, c in ",;", False, False
                 continue
             if inside and not fresh and (inner := OPERATOR.match(text, at, high)):
-                if key := name_before(text, inner.start()):
+                if key := self.name_before(inner.start()):
                     for kept in (own.literals, own.references):
                         while kept and len(kept) > held[kept is own.references]:
                             kept.pop()
@@ -322,7 +330,7 @@ class Lexer:
                 at += 1
             elif (end := self.word_end(at, high)) > at:
                 inner = OPERATOR.search(text, at, end) if inside else None
-                if inner and (key := name_before(text, inner.start())):
+                if inner and (key := self.name_before(inner.start())):
                     inner = OPERATOR.match(text, inner.start(), high)
                     if not opened:
                         frames.pop(), brackets.pop()

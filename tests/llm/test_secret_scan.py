@@ -70,6 +70,19 @@ def test_values_in_brackets_calls_and_on_further_lines(text, secrets):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
 
 
+@pytest.mark.parametrize("text", [
+    f'"{"n" * 90}_password": "{A}"', f"{'n' * 200}_const = '{A}'\ndb_password = {'n' * 200}_const\n",
+    f"password{' ' * 300}= '{A}'", f"pass{'.n' * 60}: str = '{A}'",
+])
+def test_names_of_any_length(text):
+    assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == [A]
+
+
+@pytest.mark.parametrize("text", ["a[" * 250_000 + "=b", "a: " * 150_000, "x'=" * 150_000, "ab:" + "c" * 400_000 + "=d"])
+def test_time_grows_with_names(text):
+    test_time_grows_with_the_text(text)
+
+
 @pytest.mark.parametrize("text", ["token=[" * 100_000, "x=(''" + "\\'" * 200_000, "token: |\n " * 50_000, 'token=\"""a' * 50_000,
                                   "x=f('token=a:" * 50_000])
 def test_time_grows_with_brackets_and_lines(text):

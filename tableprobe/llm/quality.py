@@ -138,12 +138,15 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     """Fit on labelled rows of ``df`` for which ``usable`` holds; it may use the column ``key`` only.
 
     At most ``documents`` are taken, those whose keys hash lowest, so the sample doesn't depend on partitions. A key
-    with several labels has the largest. None if no usable row has a label.
+    with several labels has the largest, one with several rows the text of least digest: copies are reduced within
+    tasks, and no more than ``documents`` rows are ever collected. None if no usable row has a label.
     """
     known = (labels.where(quoted(label).isNotNull() & quoted(key).isNotNull() & usable)
              .groupBy(quoted(key).alias("key")).agg((F.max(quoted(label)) > 0).cast("int").alias("y"))
              .orderBy(F.xxhash64("key"), "key").limit(documents))
-    sample = df.select(quoted(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(known), "key")
+    sample = (df.select(quoted(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(known), "key")
+              .groupBy("key", "y").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("least"))
+              .select("key", "y", F.col("least.text").alias("text")))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed, counts = [], []
@@ -160,8 +163,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     bags = map_rows(sample, rows, f"key {kind}, y int, bag binary, n int").collect()
     if not bags:
         return None
-    bags.sort(key=lambda r: (r["key"], r["bag"]))
-    bags = bags[:documents]
+    bags.sort(key=lambda r: r["key"])
     features = np.frombuffer(b"".join(r["bag"] for r in bags), np.float32).reshape(-1, STATISTICS + HASHED)
     return fit(features, np.array([r["n"] for r in bags]), np.array([r["y"] for r in bags], float))
 

@@ -44,6 +44,19 @@ def test_rows(spark):
     assert quality.score(cases.frame(spark, []), model).count() == 0
 
 
+def test_repeated_keys_take_no_places(spark, monkeypatch):
+    """Every labelled document is fitted on once, however often others are repeated, and with the same text each time."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda features, passages, label: seen.append((features, label)) or {})
+    documents = [(0, f"copy {i % 7} " * 9) for i in range(2000)] + [(i, f"word {i} " * 20) for i in range(1, 20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    for rows in (documents, documents[::-1]):
+        quality.train(cases.frame(spark, rows), labels, F.lit(True), documents=20)
+    for features, label in seen:
+        assert label.tolist() == [i % 2 for i in range(20)] and len(features) == 20
+    assert (seen[0][0] == seen[1][0]).all()
+
+
 def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{cases.SF_DIR}/labels.parquet").collect()}
     rows = QUERIES["op8_quality"](spark, cases.SF_DIR).collect()

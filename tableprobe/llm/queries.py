@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, quality
+from tableprobe.llm import bpe, chat_format, quality
 from tableprobe.llm.embedding_dedup import embedding_groups
 from tableprobe.llm.exact_dedup import exact_dedup
 from tableprobe.llm.language_id import learn_profiles, predict_language
@@ -95,6 +95,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_format.format_chats(chat_format.with_example(table(spark, sf_dir, "conversations")))
+    read = chats.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"),
+                        chat_format.learned_text(F.col("segments")).alias("learned"), "formatted")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,6 +118,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_chat": op13_chat,
 }
 
 LINE_DEDUP_SQL = """
@@ -129,6 +142,28 @@ LINE_DEDUP_SQL = """
         FROM all_lines a LEFT JOIN counted c ON a.doc_id = c.doc_id)"""
 
 ORACLES: dict[str, str] = {
+    "op13_chat": r"""
+        WITH every AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        marked AS (
+            SELECT *, role IS DISTINCT FROM lag(role) OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS opens FROM every),
+        measured AS (
+            SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(/?INST|/?ROLE|NEXT)\]')) + CASE
+                WHEN NOT opens THEN 6 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 7
+                ELSE 17 + length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*(/?INST|/?ROLE|NEXT)\]'))
+                END AS size
+            FROM marked)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+                   AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                   FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(size)::BIGINT AS formatted_chars
+        FROM measured GROUP BY conv_id""",
     "op3_line_dedup": f"""
         WITH {LINE_DEDUP_SQL.format(source="documents")}
         SELECT doc_id, n_lines, n_removed, n_spans, sha256(coalesce(text, '')) AS kept_sha256 FROM thinned""",

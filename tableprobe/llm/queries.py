@@ -15,6 +15,7 @@ from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.secret_scan import scan_secrets, span_text
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.llm.suffix_dedup import suffix_dedup
+from tableprobe.llm.whitening import whiten
 from tableprobe.plans.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,6 +96,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened")).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col").alias("whitened"),
+        F.get("explained", F.col("pos")).alias("explained"), "identity_error")
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_format.format_chats(chat_format.with_example(table(spark, sf_dir, "conversations")))
     read = chats.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"),
@@ -118,6 +126,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
     "op13_chat": op13_chat,
 }
 

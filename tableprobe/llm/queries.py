@@ -15,6 +15,7 @@ from tableprobe.llm.packing import pack_documents
 from tableprobe.llm.secret_scan import scan_secrets, span_text
 from tableprobe.llm.simhash import simhash_groups
 from tableprobe.llm.suffix_dedup import suffix_dedup
+from tableprobe.llm.turn_repair import repair_report, repair_turns
 from tableprobe.llm.whitening import whiten
 from tableprobe.plans.tables import table
 
@@ -103,6 +104,29 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get("explained", F.col("pos")).alias("explained"), "identity_error")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with rows dropped, emptied, cut, repeated and given to the user, by a checksum of their keys."""
+    def filled(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(filled("text"), "[.!?]", "")).otherwise(filled("text"))
+    return conversations.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(filled("role")).alias("role"), text.alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("_copy")).drop("_copy")
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report = repair_report(repair_turns(damaged(conversations))).withColumnRenamed("conv_id", "_conv_id")
+    every = conversations.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(report, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat_format.format_chats(chat_format.with_example(table(spark, sf_dir, "conversations")))
     read = chats.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"),
@@ -127,6 +151,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_turns": op12_turns,
     "op13_chat": op13_chat,
 }
 

@@ -1,0 +1,194 @@
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from functools import cache
+
+import pytest
+
+from tableprobe.llm import queries, turn_repair
+from tableprobe.llm.turn_repair import END, finish, repair_report, repair_turns, symbol, walk
+from tests.llm import cases
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]")
+
+
+def faults(rows):
+    seen, found = set(), []
+    for role, text in rows:
+        solid = BLANK.findall(text)
+        found.append("blank" if not solid else "duplicate" if (role, text) in seen
+                     else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return found
+
+
+def all_sequences(rows):
+    """(cost, audit, repaired) of the best of all edit sequences, tried one by one."""
+    own = []
+    for (role, text), fault in zip(rows, faults(rows)):
+        ways = [(3, "D", ())]
+        if fault not in ("blank", "duplicate"):
+            worse = int(fault == "truncated")
+            ways += [(worse, "K", ((role, text),)), *((2 + worse, "R", ((r, text),)) for r in ("user", "assistant"))]
+        own.append(ways)
+    added = [(2 * n, "I" * n, tuple((r, "") for r in roles))
+             for n in range(3) for roles in itertools.product(("user", "assistant"), repeat=n)]
+    best = None
+    for ways in itertools.product(*[x for w in own for x in (added, w)], added):
+        out = [t for w in ways for t in w[2]]
+        if re.fullmatch("(s?(ua)+)?", "".join((r or "#")[0] for r, _ in out)):
+            found = sum(w[0] for w in ways), "".join(w[1] for w in ways), out
+            best = min(best or found, found, key=lambda f: f[:2])
+    return best
+
+
+def by_position(rows):
+    """The same by recursion over rows and what was put out last, with at most two insertions in one place."""
+    marks = faults(rows)
+    legal = {("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u")}
+
+    @cache
+    def best(at, last, room):
+        found = [(0, "", ())] if at == len(rows) and last in ("", "a") else []
+        if at < len(rows):
+            (role, text), fault = rows[at], marks[at]
+            moves = [("D", 3, None)]
+            if fault not in ("blank", "duplicate"):
+                worse = int(fault == "truncated")
+                moves += [("K", worse, role), ("R", 2 + worse, "user"), ("R", 2 + worse, "assistant")]
+            for way, price, name in moves:
+                if name is None or (last, (name or "#")[0]) in legal:
+                    c, a, o = best(at + 1, last if name is None else name[0], 2)
+                    found.append((c + price, way + a, (() if name is None else ((name, text),)) + o))
+        for name in ("user", "assistant"):
+            if room and (last, name[0]) in legal:
+                c, a, o = best(at, name[0], room - 1)
+                found.append((c + 2, "I" + a, ((name, ""), *o)))
+        return min(found, key=lambda f: f[:2], default=(10 ** 9, "", ()))
+
+    return best(0, "", 2)
+
+
+def solved(rows):
+    signs = [(symbol(r[:1], turn_repair.FAULTS.index(f)), 1) for (r, _), f in zip(rows, faults(rows))]
+    state, audit, cost, out = 0, "", 0, []
+    for (role, text), (letters, roles, own, price, state) in zip(rows, walk(signs, 0, END)):
+        audit, cost = audit + letters, cost + price
+        out += [(r if r is not None else role, text if i == own else "") for i, r in enumerate(roles)]
+    letters, roles, price = finish(state)
+    return cost + price, audit + letters, [*out, *((r, "") for r in roles)]
+
+
+ROLES = ["user", "assistant", "system", "tool", "", "umpire", "sales"]
+TEXTS = ["Fine.", "Cut off", " ", "", "Why?", "So!\n", "more,"]
+
+
+def test_against_all_edit_sequences():
+    rng = random.Random(4)
+    kinds = [(r, t) for r in ROLES[:5] for t in TEXTS[:3]]
+    tried = [[k] for k in kinds] + [list(p) for p in itertools.product(kinds, repeat=2)]
+    tried += [[(rng.choice(ROLES), rng.choice(TEXTS)) for _ in range(3)] for _ in range(12)]
+    for rows in [[], *tried]:
+        assert solved(rows) == all_sequences(rows), rows
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1024])
+def test_against_recursion(segment, monkeypatch):
+    monkeypatch.setattr(turn_repair, "SEGMENT", segment)
+    rng = random.Random(segment)
+    for n in range(300):
+        roles = rng.choices(ROLES, [9, 9, 3, 2, 1, 1, 1], k=rng.randrange(25))
+        rows = [(r, rng.choice(TEXTS) if rng.random() < 0.4 else f"Text {rng.random()}{rng.choice('.!, ')}")
+                for r in roles for _ in range(rng.choice([1, 1, 1, 4]))]
+        cost, audit, out = by_position(rows)
+        assert solved(rows) == (cost, audit, list(out)), rows
+
+
+def plain(rows):
+    """The report of a conversation's (turn, role, text), nulls filled."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    turns = [t for t, _, _ in rows if t is not None]
+    talk = [(r, x) for _, r, x in rows]
+    marks = faults(talk)
+    cost, audit, out = by_position(talk)
+    initials = [r[:1] for r, _ in talk]
+    return {"gaps": max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0,
+            **{f: marks.count(f) for f in ("blank", "duplicate", "truncated")},
+            "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
+            "cost": cost, "audit": audit,
+            "repaired_sha256": hashlib.sha256("\n".join(f"{r}:{x}" for r, x in out).encode()).hexdigest()}
+
+
+def filled(v):
+    return " " if v is None else v
+
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, part string, place string, copies string, same string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, *"wxyz") for r in rows], SCHEMA).repartition(3)
+
+
+def conversations(seed):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(40):
+        for t in rng.sample(range(20), rng.randrange(1, 12)):
+            rows += [(c, t, rng.choice(ROLES[:4]), rng.choice([*TEXTS, None, f"T{t}."]))] * rng.choice([1, 1, 1, 3])
+    rows += [(50, t, "assistant" if t % 3 else "user", "Same." if t % 2 else f"Number {t}") for t in range(60)]
+    rows += [(51, 4, "user", "Again.")] * 30 + [(51, 5, "assistant", " ")] * 30
+    rows += [(None, None, None, None), (None, 3, "user", "No key."), (52, None, "user", "No turn."), (52, -3, None, "x" * 900_000)]
+    return rows
+
+
+@pytest.mark.parametrize("piece", [turn_repair.PIECE, 3])
+def test_reports(spark, piece):
+    rows = conversations(piece)
+    repaired = repair_turns(frame(spark, rows), piece=piece)
+    assert repaired.columns == ["conv_id", "part", "place", "turn", "role", "text", "copies", "fault", "edits", "cost",
+                                "repaired"]
+    got = {r["conv_id"]: r.asDict() for r in repair_report(repaired).collect()}
+    by_key = {}
+    for c, t, r, x in rows:
+        by_key.setdefault(c, []).append((t, filled(r), filled(x)))
+    assert got == {c: {"conv_id": c, **plain(talk)} for c, talk in by_key.items()}
+
+
+def test_rows_of_one_turn_stay_together(spark):
+    rows = [(1, 0, "user", "A."), (1, 0, "assistant", "B."), (1, 0, "user", "A."), (1, 1, "assistant", "B.")]
+    report = repair_report(repair_turns(frame(spark, rows))).first()
+    assert report["duplicate"] == 2 and report["gaps"] == 0 and report["audit"].count("D") == 2
+    assert report["repaired_sha256"] in [hashlib.sha256(t).hexdigest() for t in (
+        b"user:A.\nassistant:B.", b"user:\nassistant:B.\nuser:A.\nassistant:")]
+    assert repair_turns(frame(spark, [])).count() == 0 and repair_report(repair_turns(frame(spark, []))).count() == 0
+
+
+def test_query(spark):
+    found = {r["conv_id"]: r.asDict() for r in queries.QUERIES["op12_turns"](spark, cases.SF_DIR).collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{cases.SF_DIR}/conversations.parquet").collect()]
+    check_query(found, rows)
+
+
+def check_query(found, rows):
+    left = {c: [] for c, *_ in rows}
+    for c, t, r, x in rows:
+        kind = zlib.crc32(f"{filled(c)}:{filled(t)}".encode()) % 20
+        r, x = "user" if kind == 4 else filled(r), filled(x)
+        x = "" if kind == 1 else re.sub("[.!?]", "", x) if kind == 2 else x
+        left[c] += [(t, r, x)] * {0: 0, 3: 2}.get(kind, 1)
+    assert found == {c: {"conv_id": c, **plain(talk)} for c, talk in left.items()}
+
+
+def test_query_takes_nulls(spark, tmp_path):
+    rows = conversations(9)[:200] + [(None, 1, "user", None), (70, None, None, None), (71, 1, None, "x")]
+    frame(spark, rows).select("conv_id", "turn", "role", "text").coalesce(1).write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    found = {r["conv_id"]: r.asDict() for r in queries.QUERIES["op12_turns"](spark, str(tmp_path)).collect()}
+    seen = {}
+    for c, t, r, x in rows:
+        seen.setdefault((c, t), set()).add((filled(r), filled(x)))
+    unique = [c for c in found if all(len(v) == 1 for (k, _), v in seen.items() if k == c)]
+    check_query({c: found[c] for c in unique}, [r for r in rows if r[0] in unique])

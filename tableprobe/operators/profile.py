@@ -112,30 +112,39 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None,
     return _stats(df, fields, nulls=False, numbers=True, exact_scale=exact_scale).select("column", "min", "max", "mean")
 
 
+SHORT = 32  # bytes of a digest; shorter texts travel as they are
+
+
 def _family(data_type: T.DataType) -> str:
-    """The type under which values are compared: one for integers of all widths, digests for all of no fixed width."""
-    if isinstance(data_type, T.IntegralType):
+    """The type under which values are compared: whole numbers and days are one, all of no fixed width another."""
+    if isinstance(data_type, (T.IntegralType, T.DateType)):
         return "bigint"
     if isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.NullType)):
         return "binary"
     return data_type.simpleString()
 
 
-def _key(field: T.StructField) -> str:
-    """The value as it travels: of strings, binaries and nested values the SHA-256 digest, 32 bytes."""
-    column = identifier(field.name)
-    if isinstance(field.dataType, T.NullType):
+def key(field: T.StructField) -> str:
+    """The value as it travels. Strings and binaries of 32 bytes and more, and nested values, go as the SHA-256 of a
+    canonical text, shorter ones as their bytes, which no digest can equal."""
+    column, kind = identifier(field.name), field.dataType
+    if isinstance(kind, T.NullType):
         return "cast(null AS binary)"
-    if _family(field.dataType) == "binary":
-        return f"CASE WHEN {column} IS NOT NULL THEN unhex(sha2({canonical(column, field.dataType)}, 256)) END"
-    return f"cast({column} AS {_family(field.dataType)})"
+    if isinstance(kind, T.DateType):
+        return f"cast(unix_date({column}) AS bigint)"
+    if _family(kind) != "binary":
+        return f"cast({column} AS {_family(kind)})"
+    digest = f"unhex(sha2({canonical(column, kind)}, 256))"
+    plain = isinstance(kind, T.BinaryType) or isinstance(kind, T.StringType) and kind.isUTF8BinaryCollation()
+    short = f"WHEN octet_length({column}) < {SHORT} THEN cast({column} AS binary) " if plain else ""
+    return f"CASE {short}WHEN {column} IS NOT NULL THEN {digest} END"
 
 
 def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[str, DataFrame]]:
     """All values of all fields as (pos, value), pos counting through ``fields``: one frame per family of types.
 
     Rows are two cells wide however many columns the table has, equal values are those that Spark counts as one, and
-    each frame scans only its columns. Strings, binaries and nested values go as digests, so that their shuffle is
+    each frame scans only its columns. Long strings and nested values go as digests, so that their shuffle is
     as large as their number, not their length; that two of them are told apart rests on SHA-256.
     """
     families: dict[str, list[tuple[int, T.StructField]]] = {}
@@ -144,7 +153,7 @@ def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[str, DataF
     corrupt = df.sparkSession.conf.get("spark.sql.columnNameOfCorruptRecord")
     frames = []
     for family, members in families.items():
-        cells = [f"{pos}, {_key(field)}" for pos, field in members]
+        cells = [f"{pos}, {key(field)}" for pos, field in members]
         other = next((c for c in df.columns if c != corrupt), None)
         if [field.name for _, field in members] == [corrupt] and other:
             # Spark doesn't read that column alone: a row of no field's takes in another one
@@ -154,17 +163,32 @@ def stacked(df: DataFrame, fields: list[T.StructField]) -> list[tuple[str, DataF
     return frames
 
 
-def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool) -> DataFrame:
+def bitmaps(values: DataFrame) -> DataFrame:
+    """(pos, word, bits) of whole numbers: 64 neighbours share a word, and a word's bits say which of them occur.
+
+    What leaves a task is one row per word, so it grows with the range of the values, not with their number. Values
+    that lie far apart have a word each, which is no more rows than the values themselves. Nulls make a word of null.
+    """
+    word = F.shiftright("value", 6).alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("value").bitwiseAND(F.lit(63)).cast("int"))
+    return values.groupBy("pos", word).agg(F.bit_or(bit).alias("bits"))
+
+
+def exact_counts(df: DataFrame, fields: list[T.StructField], count_missing: bool = True) -> DataFrame:
     """(pos, distinct_count) of the fields that have a value; null and NaN count as values, or not at all.
 
     Duplicates go on the map side, so a value that fills a third of the table leaves a task as one row, and the
     remaining values are spread by position and value.
     """
     counts = []
-    for _, values in stacked(df, fields):
+    for family, values in stacked(df, fields):
         if not count_missing:
             values = values.where(present("value", values.schema["value"].dataType))
-        counts.append(values.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
+        if family == "bigint":
+            number = F.sum(F.coalesce(F.bit_count("bits"), F.lit(1)))
+            counts.append(bitmaps(values).groupBy("pos").agg(number.cast("bigint").alias("distinct_count")))
+        else:
+            counts.append(values.distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_count")))
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -183,7 +207,7 @@ def _distinct_counts(df: DataFrame, rsd: float | None) -> DataFrame:
     if not comparable:
         return positions.withColumn("distinct_count", F.lit(None).cast("bigint"))
     fields = [f for _, f in comparable]
-    counts = exact_counts(df, fields, count_missing=True) if rsd is None else sketched_counts(df, fields, rsd)
+    counts = exact_counts(df, fields) if rsd is None else sketched_counts(df, fields, rsd)
     places = [pos for pos, _ in comparable]
     counts = counts.select(_at(places).alias("pos"), "distinct_count")
     known = F.array_contains(F.lit(places), F.col("pos"))

@@ -9,18 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import identifier, is_groupable, is_numeric, present
+from tableprobe.functions.columns import canonical, identifier, is_groupable, is_numeric, present
 from tableprobe.functions.timestamps import DATE_LIKE
-from tableprobe.operators.profile import exact_counts
 
 # A label has this many distinct values, and a date column is called something like this.
 MIN_LABEL_VALUES = 2
 MAX_LABEL_VALUES = 20
 DATE_WORDS = ["date", "time", "timestamp"]
 
-WORD_BITS = 64  # the screen marks every value in words of so many bits
-
-CANDIDATE_SCHEMA = "column string, distinct_count bigint, pos int"
+SMALLEST_SET, LARGEST_SET = 4, 26  # powers of two that Spark's sets of hashes may hold
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -48,44 +45,40 @@ def regression_label(df: DataFrame) -> str | None:
     return next(reversed(numeric_columns(df)), None)
 
 
-def _possible_labels(df: DataFrame, high: int) -> list[tuple[int, T.StructField]]:
-    """Columns that may have at most ``high`` values, after one pass that rules the others out for certain.
+def _hash(field: T.StructField) -> str:
+    """64 bits of a value, equal for values that Spark counts as one; Spark's hash of a nested value skips its nulls."""
+    column, kind = identifier(field.name), field.dataType
+    plain = not isinstance(kind, (T.ArrayType, T.StructType)) and not (
+        isinstance(kind, T.StringType) and not kind.isUTF8BinaryCollation())
+    return f"xxhash64({column if plain else canonical(column, kind)})"
+
+
+def bounded_counts(df: DataFrame, high: int) -> DataFrame:
+    """(pos, column, distinct_count) of the columns that can be compared, null and NaN not counted, in one scan.
 
-    Each value sets one bit, chosen by its hash, and the bits are or-ed: n values set at most n bits, so more than
-    ``high`` bits prove more than ``high`` values. There are at least three times as many bits as ``high``, in
-    words of eight bytes; a task ships these words for each column.
+    Counts up to ``high`` are exact; those beyond are estimates that are larger than ``high``. The state of a column is
+    a set of at most a few times ``high`` hashes (a theta sketch that isn't full yet), so a task ships one small row,
+    whatever the data. That two values are told apart rests on 64 bits.
     """
     fields = [(pos, f) for pos, f in enumerate(df.schema.fields) if is_groupable(f.dataType)]
+    size = max(SMALLEST_SET, high.bit_length())
+    if size > LARGEST_SET:
+        raise ValueError(f"counts of up to {high} values need exact_counts")
     if not fields:
-        return fields
-    words = max(1, -(-3 * high // WORD_BITS))
-    marks = []
-    for pos, field in fields:
-        slot = f"pmod(xxhash64({identifier(field.name)}), {words * WORD_BITS})"
-        here = present(field.name, field.dataType)
-        counts = [f"coalesce(bit_count(bit_or(CASE WHEN {here} AND {slot} DIV {WORD_BITS} = {word} "
-                  f"THEN shiftleft(1L, int({slot} % {WORD_BITS})) END)), 0)" for word in range(words)]
-        marks.append(f"{' + '.join(counts)} AS b{pos}")
-    bits = df.selectExpr(*marks).first()
-    return [(pos, f) for pos, f in fields if (bits[f"b{pos}"] or 0) <= high]
+        return df.sparkSession.createDataFrame([], "pos int, column string, distinct_count bigint")
+    sets = df.selectExpr(*[
+        f"theta_sketch_agg(CASE WHEN {present(f.name, f.dataType)} THEN {_hash(f)} END, {size}) AS s{pos}"
+        for pos, f in fields])
+    cells = ", ".join(f"{pos}, coalesce(theta_sketch_estimate(s{pos}), 0L)" for pos, _ in fields)
+    names = F.element_at(F.lit(df.columns), F.col("pos") + 1)
+    return sets.selectExpr(f"stack({len(fields)}, {cells}) AS (pos, distinct_count)").select(
+        "pos", names.alias("column"), "distinct_count")
 
 
 def label_candidates(df: DataFrame, low: int = MIN_LABEL_VALUES, high: int = MAX_LABEL_VALUES) -> DataFrame:
-    """Columns with ``low``..``high`` distinct values, null and NaN not counted, fewest first.
-
-    The exact counts are taken only of columns that pass the screen, so neither the second scan nor the shuffle
-    touches columns with many values. The screen runs when this is called; the counts are lazy.
-    """
-    spark = df.sparkSession
-    possible = _possible_labels(df, high)
-    if not possible:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    names, places = F.lit([f.name for _, f in possible]), F.lit([pos for pos, _ in possible])
-    here = F.col("pos") + 1
-    counts = exact_counts(df, [f for _, f in possible], count_missing=False)
-    return counts.where(F.col("distinct_count").between(low, high)).select(
-        F.element_at(names, here).alias("column"), "distinct_count", F.element_at(places, here).alias("pos"),
-    ).orderBy("distinct_count", "pos")
+    """Columns with ``low``..``high`` distinct values, null and NaN not counted, fewest first, from one scan."""
+    return bounded_counts(df, high).where(F.col("distinct_count").between(low, high)).select(
+        "column", "distinct_count", "pos").orderBy("distinct_count", "pos")
 
 
 def choose_label(df: DataFrame, candidates: list[str]) -> str | None:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import drop_missing
-from tableprobe.operators import profile
+from tableprobe.operators import increments, profile
 from tableprobe.plans.tables import (
     EXACT, GAPPED_ORDERS_SQL, LINEITEM_TYPES, NUMERIC, ORDERS_TYPES, exact_mean_sql, gapped_orders, table)
+from tableprobe.sources.scratch import scratch_directory
 
 
 def _unnested(columns: list[str], line: str, source: str) -> str:
@@ -59,7 +60,28 @@ def _nonfinite(spark, sf_dir):
         (F.col("mean") == float("inf")).alias("mean_is_infinite"), F.when(finite, F.col("mean")).alias("finite_mean"))
 
 
+def _keys(spark, sf_dir):
+    """Whole numbers and days, some missing, whose distinct values are counted by words of neighbours."""
+    line = table(spark, sf_dir, "lineitem")
+    gap = F.col("l_linenumber") < 7
+    return profile.distinct_profile(line.select(
+        "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship_day"),
+        F.when(gap, F.col("l_partkey")).alias("l_partkey"), (F.col("l_suppkey") * -1000003).alias("far_apart"),
+        F.when(gap, F.to_date("l_shipdate")).alias("gap_day")))
+
+
+def _increment(spark, sf_dir):
+    """Two parts of the lines are profiled apart, the first is kept, and the second added to it."""
+    lines = table(spark, sf_dir, "lineitem")
+    base = scratch_directory(spark)
+    first = F.col("l_linenumber") <= 3
+    increments.add_state(base, "first", increments.profile_state(lines.where(first), EXACT))
+    return increments.profile_increment(spark, base, "second", lines.where(~first), exact_scale=EXACT)
+
+
 QUERIES = {
+    "profile_distinct_keys": _keys,
+    "profile_increment": _increment,
     "profile_overview": lambda spark, d: profile.overview(table(spark, d, "orders")),
     "schema_types": _schema_types,
     "profile_nulls": lambda spark, d: profile.null_profile(gapped_orders(spark, d)),
@@ -79,6 +101,16 @@ QUERIES = {
 _NUMERIC_ORDERS = [c for c, kind in ORDERS_TYPES.items() if kind in NUMERIC]
 
 ORACLES = {
+    "profile_increment": describe_sql(LINEITEM_TYPES, "lineitem"),
+    "profile_distinct_keys": """
+        WITH line AS (
+            SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS ship_day, l_suppkey,
+                   CASE WHEN l_linenumber < 7 THEN l_partkey END AS l_partkey,
+                   CASE WHEN l_linenumber < 7 THEN l_shipdate::DATE END AS gap_day FROM lineitem)
+        """ + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", (SELECT count(*) FROM (SELECT DISTINCT {value} FROM line)) AS distinct_count"
+        for name, value in (("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("ship_day", "ship_day"),
+                            ("l_partkey", "l_partkey"), ("far_apart", "l_suppkey"), ("gap_day", "gap_day"))),
     "profile_overview": f"SELECT count(*) AS rows, {len(ORDERS_TYPES)} AS cols FROM orders",
     "schema_types": " UNION ALL ".join(
         f"SELECT {pos} AS pos, '{c}' AS \"column\", '{kind}' AS type, count(*) AS rows FROM orders"

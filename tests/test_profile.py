@@ -176,3 +176,20 @@ def test_wide_tables_are_profiled_in_parts(spark):
     rows = profile.describe(df).orderBy("pos").collect()
     assert [(r["pos"], r["column"], r["min"], r["mean"]) for r in rows] == [
         (i, f"c{i}", float(i), float(i + 1)) for i in range(60)]
+
+
+def test_words_of_neighbours(spark):
+    values = [-2 ** 63, -65, -64, -63, -1, 0, 1, 63, 64, 127, 2 ** 63 - 1, None, 0, 64]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
+    assert profile.exact_counts(df, df.schema.fields).first()["distinct_count"] == 12
+    assert profile.exact_counts(df, df.schema.fields, count_missing=False).first()["distinct_count"] == 11
+    words = profile.bitmaps(spark.range(6400, numPartitions=4).selectExpr("0 AS pos", "id - 640 AS value"))
+    assert words.count() == 100
+
+
+def test_texts_about_the_length_of_a_digest(spark):
+    import hashlib
+    digest = hashlib.sha256(b"70:" + b"x" * 70).digest()
+    texts = [b"", b"a", b"x" * 31, b"x" * 32, b"x" * 33, digest, digest[:31], b"x" * 70, None, b"x" * 32]
+    df = spark.createDataFrame([(t,) for t in texts], "v binary")
+    assert profile.exact_counts(df, df.schema.fields).first()["distinct_count"] == 9

@@ -82,3 +82,27 @@ def test_numeric_columns_include_decimals(spark):
 ])
 def test_date_column(spark, schema, expected):
     assert roles.date_column(spark.createDataFrame([], schema)) == expected
+
+
+def test_counts_of_bounded_state(spark):
+    rows = [(k % 20, float("nan") if k % 3 else -0.0 * (k % 2), f"v{k % 21}", [None, k % 2] if k % 4 else [k % 2, None],
+             None, {"m": k}) for k in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d array<int>, e string, m map<string,int>").repartition(4)
+    counts = {r["column"]: (r["pos"], r["distinct_count"]) for r in roles.bounded_counts(df, 20).collect()}
+    assert counts == {"a": (0, 20), "b": (1, 1), "c": (2, 21), "d": (3, 3), "e": (4, 0)}
+    for high in (1, 2, 15, 16, 20, 31, 32, 1000):
+        for n in (high - 1, high, high + 1, 3 * high + 5):
+            found = roles.bounded_counts(spark.range(4 * n, numPartitions=5).selectExpr(f"id % {n or 1} AS v"), high)
+            count = found.first()["distinct_count"]
+            assert count == n if n <= high else count > high
+    assert [r["column"] for r in roles.label_candidates(df).collect()] == ["d", "a"]
+    assert roles.bounded_counts(df.limit(0), 20).where("distinct_count <> 0").isEmpty()
+    assert roles.bounded_counts(df.select("m"), 20).isEmpty()
+    with pytest.raises(ValueError):
+        roles.bounded_counts(df, 2 ** 27)
+
+
+def test_candidates_take_one_scan(spark, tmp_path, capsys):
+    spark.range(50).selectExpr("id % 3 AS a", "string(id) AS b", "id % 7 AS c").write.parquet(str(tmp_path / "t"))
+    roles.label_candidates(spark.read.parquet(str(tmp_path / "t"))).explain("simple")
+    assert capsys.readouterr().out.count("FileScan") == 1

@@ -9,8 +9,9 @@ from tableprobe.plans.analysis import analyze
 from tableprobe.plans.profile_queries import ORACLES as PROFILE_ORACLES
 from tableprobe.plans.tables import EXACT, NUMERIC, ORDERS_TYPES, gapped_orders, table
 from tableprobe.sources.datasets import read_dataset
-from tableprobe.sources.reports import read_report, write_report
+from tableprobe.sources.reports import published_runs, read_report, write_report, write_run
 from tableprobe.sources.scratch import scratch_directory
+from tableprobe.sources.staging import stage_dataset
 
 RUN_ID = "20240101_000000_orders.csv"
 MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # the writers keep milliseconds unless told
@@ -29,6 +30,27 @@ def _events_through(file_type):
     return query
 
 
+def _staged_csv(spark, sf_dir):
+    """Events written as CSV, then copied to Parquet with their types in one pass over the text."""
+    directory = scratch_directory(spark)
+    table(spark, sf_dir, "events").write.option("header", True).option(
+        "timestampNTZFormat", MICROSECONDS).csv(directory)
+    copy = stage_dataset(spark, directory, "csv", scratch_directory(spark))
+    return copy.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _published(spark, sf_dir):
+    """The profile of a published run, and the reports that readers see: not that of a run without its manifest."""
+    base = scratch_directory(spark)
+    profile = describe(gapped_orders(spark, sf_dir), exact_scale=EXACT)
+    write_run({"descriptive": profile}, base, RUN_ID)
+    profile.write.json(f"{base}/kind=descriptive/run_id=half")
+    seen = [read_report(spark, base, run, "descriptive") for run in (RUN_ID, "half")]
+    return seen[0].join(published_runs(spark, base).where("kind = 'descriptive'"), "run_id").select(
+        "run_id", "kind", "column", "rows", "null_count", "distinct_count",
+        F.lit(seen[1] is None).alias("half_is_absent"))
+
+
 def _names_as_text(spark, sf_dir):
     directory = scratch_directory(spark)
     table(spark, sf_dir, "customer").select("c_name").write.text(directory)
@@ -88,6 +110,8 @@ def _report_round_trip(spark, sf_dir):
 
 QUERIES = {
     "src_csv": _events_through("csv"),
+    "src_csv_staged": _staged_csv,
+    "sink_published": _published,
     "src_json": _events_through("json"),
     "src_text": _names_as_text,
     "profile_text": _text_profile,
@@ -104,6 +128,12 @@ def limits(column: str, kind: str) -> str:
 
 
 ORACLES = {
+    "src_csv_staged":
+        "SELECT event_id::INT AS event_id, ts, user_id::INT AS user_id, event_type, value, props FROM events",
+    "sink_published": f"""
+        SELECT '{RUN_ID}' AS run_id, 'descriptive' AS kind, "column", rows, null_count, distinct_count,
+               true AS half_is_absent
+        FROM ({PROFILE_ORACLES['profile_columns']})""",
     "src_csv": "SELECT event_id::INT AS event_id, ts, user_id::INT AS user_id, event_type, value, props FROM events",
     "src_json": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "src_text": "SELECT c_name AS value FROM customer",

@@ -42,8 +42,8 @@ def read_dataset(spark: SparkSession, path: str | list[str], file_type: str,
     return reader.options(**{**settings, **options}).load(path)
 
 
-def check_dataset(df: DataFrame, path: str | list[str], file_type: str) -> None:
-    """Refuse files named like another format, and a dataset without a byte; a lone CSV header may pass.
+def check_dataset(df: DataFrame, path: str | list[str], file_type: str) -> int:
+    """Refuse files named like another format, and a dataset without a byte; a lone CSV header may pass. The bytes.
 
     The files themselves are checked, whatever their directories are called: a file's name has the format's extension,
     before that of a compression if there is one, or no extension at all. They are listed as a table of names and
@@ -58,3 +58,4 @@ def check_dataset(df: DataFrame, path: str | list[str], file_type: str) -> None:
         raise ValueError(f"{found['other']!r} is not named like a {_normal(file_type)} file")
     if not df.columns or not found["bytes"]:
         raise ValueError(f"{path!r} is empty")
+    return found["bytes"]

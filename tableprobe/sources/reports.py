@@ -1,4 +1,4 @@
-"""Keep reports as JSON, one directory per kind and run."""
+"""Keep reports as JSON, one directory per kind and run, published by a manifest."""
 
 from __future__ import annotations
 
@@ -69,21 +69,64 @@ def _finite_only(df: DataFrame) -> DataFrame:
     return df.select(*[_finite(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def _manifest(base: str, run_id: str) -> str:
+    """Where a run says which of its reports are whole; names that start so are no data to Spark's readers."""
+    return f"{base.rstrip('/')}/_published/run_id={run_id}"
+
+
+def _published(spark: SparkSession, base: str, run_id: str) -> set[str]:
+    try:
+        rows = spark.read.schema("kind string").json(_manifest(base, run_id)).distinct().collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return set()
+        raise
+    return {r["kind"] for r in rows if r["kind"] in SCHEMAS}
+
+
+def write_run(reports: dict[str, DataFrame], base: str, run_id: str) -> list[str]:
+    """Write the reports of a run, by kind, as JSON lines and return their directories.
+
+    Readers see all of them or none: they go by a manifest, which is written last and as one file. What an earlier
+    attempt left without one is written anew; a report that is published is not overwritten.
+    """
+    if not reports:
+        return []
+    directories = {_kind(kind): _directory(base, run_id, kind) for kind in reports}
+    spark = next(iter(reports.values())).sparkSession
+    before = _published(spark, base, run_id)
+    if twice := before & directories.keys():
+        raise ValueError(f"the run {run_id!r} already exists: {', '.join(sorted(twice))}")
+    for (kind, directory), report in zip(directories.items(), reports.values()):
+        _finite_only(report).write.mode("overwrite").json(directory)
+    (spark.createDataFrame([(kind,) for kind in directories], "kind string").coalesce(1)
+     .write.mode("append").json(_manifest(base, run_id)))
+    return list(directories.values())
+
+
 def write_report(report: DataFrame, base: str, run_id: str, kind: str) -> str:
-    """Write a report as JSON lines and return its directory; a report that exists is not overwritten."""
-    directory = _directory(base, run_id, kind)
-    _finite_only(report).write.mode("errorifexists").json(directory)
-    return directory
+    """Write and publish one report of a run and return its directory; see `write_run`."""
+    return write_run({kind: report}, base, run_id)[0]
 
 
 def read_report(spark: SparkSession, base: str, run_id: str, kind: str,
                 schema: T.StructType | str | None = None) -> DataFrame | None:
-    """The report of a run with its ``run_id``, or None if there is none; reads that directory only."""
-    reader = spark.read.schema(schema or SCHEMAS[_kind(kind)])
+    """The report of a run with its ``run_id``, or None if none is published; reads that directory only."""
+    directory = _directory(base, run_id, kind)
+    if _kind(kind) not in _published(spark, base, run_id):
+        return None
+    report = spark.read.schema(schema or SCHEMAS[_kind(kind)]).json(directory)
+    return report.withColumn("run_id", F.lit(run_id))
+
+
+def published_runs(spark: SparkSession, base: str) -> DataFrame:
+    """(run_id, kind) of every report that is published under ``base``."""
+    empty = spark.createDataFrame([], "run_id string, kind string")
     try:
-        report = reader.json(_directory(base, run_id, kind))
+        found = spark.read.schema("kind string, run_id string").option("basePath", f"{base.rstrip('/')}/_published").json(
+            f"{base.rstrip('/')}/_published/run_id=*")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return empty
         raise
-    return report.withColumn("run_id", F.lit(run_id))
+    return found.where(F.col("kind").isin(*SCHEMAS)).select("run_id", "kind").distinct()

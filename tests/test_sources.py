@@ -11,7 +11,9 @@ from tableprobe import analyze
 from tableprobe.operators.jobs import run_jobs
 from tableprobe.operators.profile import PROFILE_SCHEMA, describe
 from tableprobe.sources.datasets import check_dataset, is_allowed, read_dataset
-from tableprobe.sources.reports import make_run_id, read_report, write_report
+from tableprobe.plans import analysis, reading
+from tableprobe.sources import reports
+from tableprobe.sources.reports import make_run_id, published_runs, read_report, write_report, write_run
 from tableprobe.sources.scratch import own_folder, scratch_directory
 
 
@@ -218,6 +220,59 @@ def test_analyze_text(spark, tmp_path):
     assert {r["reason_code"] for r in jobs.collect()} == {"TEXT_INPUT"}
 
 
+def test_a_run_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path, base = file(tmp_path, "t.csv", "a,b\n1,x\n2,y\n"), str(tmp_path / "r")
+    whole, written = reports._finite_only, []
+
+    def dies(report):
+        written.append(report)
+        if len(written) == 2:
+            raise RuntimeError("lost")
+        return whole(report)
+
+    monkeypatch.setattr(reports, "_finite_only", dies)
+    with pytest.raises(RuntimeError):
+        analyze(spark, path, "csv", base, run_id="r1")
+    assert os.path.isdir(f"{base}/kind=descriptive/run_id=r1")
+    assert read_report(spark, base, "r1", "descriptive") is None and read_report(spark, base, "r1", "ml") is None
+    assert published_runs(spark, base).count() == 0
+    monkeypatch.setattr(reports, "_finite_only", whole)
+    _, profile, jobs = analyze(spark, path, "csv", base, run_id="r1")
+    assert profile.count() == 2 and jobs.count() == 4
+    assert {tuple(r) for r in published_runs(spark, base).collect()} == {("r1", "descriptive"), ("r1", "ml")}
+    with pytest.raises(ValueError, match="already exists"):
+        write_run({"ml": jobs.drop("run_id")}, base, "r1")
+    assert write_run({}, base, "r2") == [] and read_report(spark, base, "r2", "ml") is None
+
+
+def test_reading_is_chosen_by_size_scans_and_memory():
+    assert reading.choose(1000, 1, 10 ** 6) == "reread"
+    assert reading.choose(1000, 12, 10 ** 6) == "hold"
+    assert reading.choose(10 ** 6, 12, 10 ** 6) == "stage"
+    assert reading.choose(10 ** 6, 12, 10 ** 6, may_stage=False) == "reread"
+    assert reading.choose(10 ** 6, 2, 10 ** 6) == "reread"
+
+
+@pytest.mark.parametrize("memory, name, text, way", [
+    (10 ** 9, "a.csv", "a,b\n1,x\n2,y\n", "hold"), (10, "a.csv", "a,b\n1,x\n2,y\n", "stage"),
+    (10, "a.json", '{"s": "x"}\n', "reread"), (10, "a.txt", "x\n", "reread")])
+def test_analyze_chooses(spark, tmp_path, monkeypatch, memory, name, text, way):
+    taken = []
+    choose = reading.choose
+    monkeypatch.setattr(reading, "storage_memory", lambda spark: memory)
+    monkeypatch.setattr(reading, "choose", lambda *a: taken.append(choose(*a)) or taken[-1])
+    kind = {"txt": "text"}.get(name.split(".")[1], name.split(".")[1])
+    _, profile, jobs = analyze(spark, file(tmp_path, name, text), kind, str(tmp_path / "r"))
+    assert taken == [way] and profile.first()["rows"] > 0 and jobs.count() == 4
+    assert analysis._way(spark, str(tmp_path / name), kind, True, None, {})[0] == "hold"
+    assert analysis._way(spark, str(tmp_path / name), kind, False, "/x", {})[0] == "stage"
+    assert reading.storage_memory(spark) == memory
+
+
+def test_storage_memory_is_measured(spark):
+    assert reading.storage_memory(spark) > 10 ** 8
+
+
 def test_scratch_follows_the_session(spark):
     assert scratch_directory(spark) != scratch_directory(spark)
 

@@ -15,6 +15,7 @@ from tableprobe.functions.columns import finite_or_none
 from tableprobe.operators import models, roles
 from tableprobe.operators.models import REASONS, SkipJob
 from tableprobe.operators.scaling import TIMINGS_SCHEMA
+from tableprobe.operators.shared import SharedScan
 from tableprobe.operators.timeseries import FIRST_DAYS, daily_stats, first_days
 
 DAY_SCHEMA = T.StructType([
@@ -65,14 +66,16 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
-def _daily_sample(df: DataFrame, date_col: str | None = None, value_col: str | None = None) -> dict:
+def _daily_sample(df: DataFrame, date_col: str | None = None, value_col: str | None = None,
+                  shared: SharedScan | None = None) -> dict:
     date_col = date_col or roles.date_column(df)
     if date_col is None:
         raise SkipJob("NO_DATE")
     value_col = value_col or roles.value_column(df)
     if value_col is None:
         raise SkipJob("NO_NUMERIC")
-    days = first_days(daily_stats(df, date_col, value_col), FIRST_DAYS).collect()
+    known = shared is not None and (shared.date_col, shared.value_col) == (date_col, value_col)
+    days = first_days(shared.days() if known else daily_stats(df, date_col, value_col), FIRST_DAYS).collect()
     if not days:
         raise SkipJob("EMPTY_AFTER_PARSE")
     sample = [tuple(finite_or_none(v) if isinstance(v, float) else v for v in day) for day in days]
@@ -87,6 +90,8 @@ JOBS: dict[str, Callable[..., dict]] = {
     "timeSeries": _daily_sample,
 }
 
+SHARING = ("regression", "timeSeries")
+
 
 def _is_text(file_type: str | None) -> bool:
     return (file_type or "").strip().lower() == "text"
@@ -126,24 +131,57 @@ def run_job(job: str, df: DataFrame, file_type: str = "csv", **arguments) -> Dat
     return _report(df, file_type, {job: _outcome(job, df, file_type, capture=False, **arguments)})
 
 
+def shared_scan(df: DataFrame, file_type: str = "csv", arguments: dict[str, dict] | None = None) -> SharedScan | None:
+    """The scan that the regression, the daily job and the profile can share; None if it would serve one of them only.
+
+    The caller closes it.
+    """
+    arguments = arguments or {}
+    if _is_text(file_type):
+        return None
+    try:
+        columns = models.regression_columns(df, **arguments.get("regression", {}))
+    except SkipJob:
+        return None
+    dates = arguments.get("timeSeries", {})
+    date_col = dates.get("date_col") or roles.date_column(df)
+    value_col = dates.get("value_col") or roles.value_column(df)
+    known = {f.name: f.dataType for f in df.schema.fields}
+    if date_col not in known or value_col not in known or any(c not in known for c in columns):
+        return None
+    return SharedScan(df, columns, date_col, value_col) if SharedScan.fits(df, columns) else None
+
+
 def run_jobs(df: DataFrame, file_type: str = "csv", hold: bool = False, concurrent: bool = True,
-             arguments: dict[str, dict] | None = None) -> DataFrame:
+             arguments: dict[str, dict] | None = None, shared: SharedScan | None = None) -> DataFrame:
     """The report of all four jobs, in order; a job that fails becomes a skip with its message.
 
     The jobs do not depend on each other and are submitted together, so that one's short stages fill the gaps of
     another's; ``concurrent=False`` runs them in turn. ``arguments`` overrides the guessed roles per job. ``hold``
     keeps the table for the length of the run, which pays where reading it is dear, as with CSV; Parquet is
-    better read again, column by column.
+    better read again, column by column. The regression and the daily job take their sums from one scan, ``shared`` if
+    it is given, and each by itself if that fails.
     """
     arguments = arguments or {}
 
     def outcomes(table: DataFrame) -> dict[str, dict]:
+        scan = shared or shared_scan(table, file_type, arguments)
+
         @inheritable_thread_target(df.sparkSession)
         def outcome(job: str) -> dict:
-            return _outcome(job, table, file_type, True, **arguments.get(job, {}))
-
-        with ThreadPoolExecutor(len(JOBS) if concurrent else 1) as pool:
-            return dict(zip(JOBS, pool.map(outcome, JOBS)))
+            own = arguments.get(job, {})
+            if scan is not None and job in SHARING:
+                found = _outcome(job, table, file_type, True, **own, shared=scan)
+                if found.get("reason_code") != "ERROR":
+                    return found
+            return _outcome(job, table, file_type, True, **own)
+
+        try:
+            with ThreadPoolExecutor(len(JOBS) if concurrent else 1) as pool:
+                return dict(zip(JOBS, pool.map(outcome, JOBS)))
+        finally:
+            if scan is not None and scan is not shared:
+                scan.close()
 
     if hold and not _is_text(file_type):
         with held(df) as table:

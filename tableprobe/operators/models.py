@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tableprobe.functions.columns import finite_or_none, identifier
 from tableprobe.operators import features as fx
 from tableprobe.operators import roles
+from tableprobe.operators.shared import MOST_FEATURES, SharedScan, moments
 
 # Fixed values.
 LOGISTIC_ITERATIONS = 50
@@ -46,31 +47,49 @@ class SkipJob(Exception):
         self.code = code
 
 
-def fit_regression(df: DataFrame, label: str | None = None, features: list[str] | None = None) -> dict:
-    """Least squares of the label on the features; errors are measured on the rows fitted."""
+def regression_columns(df: DataFrame, label: str | None = None, features: list[str] | None = None) -> list[str]:
+    """The features and, last, the label; columns not named are guessed."""
     numeric = roles.numeric_columns(df)
     if len(numeric) < 2:
         raise SkipJob("FEW_NUMERIC")
     label = label or roles.regression_label(df)
-    features = features or [c for c in numeric if c != label]
-    clean = fx.clean_columns(df, features, label)
-    if clean.isEmpty():
+    return [*(features or [c for c in numeric if c != label]), label]
+
+
+def fit_regression(df: DataFrame, label: str | None = None, features: list[str] | None = None,
+                   shared: SharedScan | None = None) -> dict:
+    """Least squares of the label on the features; errors are measured on the rows fitted.
+
+    The normal equations come from one scan, or from sums that a shared one has taken. Very many features, whose products
+    no aggregate can hold, are fitted by MLlib.
+    """
+    columns = regression_columns(df, label, features)
+    if shared is not None and shared.columns == columns:
+        fit = shared.regression()
+    elif len(columns) <= MOST_FEATURES + 1:
+        fit = moments(df, columns)
+    else:
+        fit = _many_features(df, columns)
+    if fit is None:
         raise SkipJob("EMPTY_AFTER_CLEAN")
-    model = LinearRegression(featuresCol="features", labelCol="label").fit(
-        fx.assemble(clean, len(features)).select("features", "label"))
-    summary = model.summary
     return {
-        "label": label,
-        "features": features,
-        "coefficients": [finite_or_none(float(v)) for v in model.coefficients],
-        "metrics": {
-            "intercept": finite_or_none(model.intercept),
-            "rmse": finite_or_none(summary.rootMeanSquaredError),
-            "r2": finite_or_none(summary.r2),
-        },
+        "label": columns[-1],
+        "features": columns[:-1],
+        "coefficients": [finite_or_none(v) for v in fit["coefficients"]],
+        "metrics": {name: finite_or_none(fit[name]) for name in ("intercept", "rmse", "r2")},
     }
 
 
+def _many_features(df: DataFrame, columns: list[str]) -> dict | None:
+    clean = fx.clean_columns(df, columns[:-1], columns[-1])
+    if clean.isEmpty():
+        return None
+    model = LinearRegression(featuresCol="features", labelCol="label").fit(
+        fx.assemble(clean, len(columns) - 1).select("features", "label"))
+    return {"coefficients": [float(v) for v in model.coefficients], "intercept": model.intercept,
+            "rmse": model.summary.rootMeanSquaredError, "r2": model.summary.r2}
+
+
 @dataclass
 class Classifier:
     """A fitted classifier, the labels by their number, and the vectors it was fitted on and is tested on."""

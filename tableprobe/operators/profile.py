@@ -227,12 +227,13 @@ def distinct_profile(df: DataFrame, rsd: float | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, file_type: str = "csv", exact_scale: int | None = None,
-             rsd: float | None = None) -> DataFrame:
-    """The whole profile, one row per column, in `PROFILE_SCHEMA`."""
+             rsd: float | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """The whole profile, one row per column, in `PROFILE_SCHEMA`. ``stats`` are those of a scan taken already."""
     fields = df.schema.fields
     if not fields:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
-    stats = _stats(df, fields, nulls=True, numbers=True, exact_scale=exact_scale)
+    if stats is None:
+        stats = _stats(df, fields, nulls=True, numbers=True, exact_scale=exact_scale)
     distinct = _distinct_counts(df, rsd)
     # both sides hold one row per column of the table
     joined = stats.join(F.broadcast(distinct), "pos", "left")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprobe.operators.jobs import held, run_jobs
+from tableprobe.operators.jobs import held, run_jobs, shared_scan
 from tableprobe.operators.profile import describe
 from tableprobe.plans import reading
 from tableprobe.sources.datasets import check_dataset, read_dataset
@@ -66,4 +66,11 @@ def _shared(spark: SparkSession) -> bool:
 
 
 def _write(df: DataFrame, file_type: str, report_base: str, run_id: str) -> None:
-    write_run({"descriptive": describe(df, file_type), "ml": run_jobs(df, file_type)}, report_base, run_id)
+    scan = shared_scan(df, file_type)
+    try:
+        stats = scan.stats() if scan is not None else None
+        write_run({"descriptive": describe(df, file_type, stats=stats), "ml": run_jobs(df, file_type, shared=scan)},
+                  report_base, run_id)
+    finally:
+        if scan is not None:
+            scan.close()

@@ -74,6 +74,25 @@ def label_index(df: DataFrame, column: str) -> DataFrame:
         "label", (F.col("start") + F.col("place")).cast("double").alias("label_index"), "rows")
 
 
+FREQUENT = 1000  # labels that are broadcast; any other has less than a thousandth of the rows
+
+
+def with_label_index(df: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
+    """Add ``label_index`` to rows that hold a ``label``, from the ``classes`` rows that `label_index` gives.
+
+    Labels are numbered by falling frequency, so the first thousand are all that can be hot. These are broadcast, and
+    the others joined by key, if there are others.
+    """
+    numbers = labels.select("label", "label_index")
+    if classes <= FREQUENT:
+        return df.join(F.broadcast(numbers), "label")
+    frequent = F.broadcast(numbers.where(F.col("label_index") < FREQUENT))
+    rest = numbers.where(F.col("label_index") >= FREQUENT)
+    joined = df.join(frequent, "label")
+    rare = df.join(frequent.select("label"), "label", "left_anti").join(rest.hint("merge"), "label")
+    return joined.unionByName(rare)
+
+
 def hash_bucket(columns: list[Column], portable: bool = False) -> Column:
     """A number in 0..99 that depends on the values only, not on partitioning.
 

@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from tableprobe.functions.columns import finite_or_none, identifier
 from tableprobe.operators import features as fx
 from tableprobe.operators import roles
 from tableprobe.operators.shared import MOST_FEATURES, SharedScan, moments
+from tableprobe.sources.scratch import has_shared_folder
 
 # Fixed values.
 LOGISTIC_ITERATIONS = 50
@@ -92,22 +94,30 @@ def _many_features(df: DataFrame, columns: list[str]) -> dict | None:
 
 @dataclass
 class Classifier:
-    """A fitted classifier, the labels by their number, and the vectors it was fitted on and is tested on."""
+    """A fitted classifier, its labels as a table (label, label_index) and their number, and the vectors it was fitted
+    on and is tested on."""
 
     model: LogisticRegressionModel
     label: str
     features: list[str]
-    labels: list[str]
+    labels: DataFrame
+    classes: int
     train: DataFrame
     test: DataFrame
 
 
 def train_classifier(df: DataFrame, label: str | None = None, features: list[str] | None = None,
                      keys: list[str] | None = None, method: str = "hash") -> Classifier:
-    """Logistic regression on the training part. A label that is named may have any number of values."""
+    """Logistic regression on the training part.
+
+    A label that is named may have any number of values: they are numbered by `features.label_index`, and the rows joined
+    with that, so no label comes to the driver. A guessed one has twenty at most, which MLlib's indexer numbers, as it
+    does in a session without a shared folder.
+    """
     numeric = roles.numeric_columns(df)
     if not numeric and not features:
         raise SkipJob("NO_NUMERIC")
+    named = label is not None
     if label is None:
         label = roles.classification_roles(df)[1]
         if label is None:
@@ -116,8 +126,23 @@ def train_classifier(df: DataFrame, label: str | None = None, features: list[str
     if not features:
         raise SkipJob("NO_FEATURES")
     clean = fx.clean_columns(df, features, label, "string", extra=keys)
-    indexer = fx.label_indexer(clean)
-    if not indexer.labels:
+    spark = df.sparkSession
+    if named and has_shared_folder(spark):
+        labels = fx.label_index(clean, "label").select("label", "label_index")
+        classes = labels.count()
+
+        def indexed(rows: DataFrame) -> DataFrame:
+            return fx.with_label_index(rows, labels, classes)
+    else:
+        indexer = fx.label_indexer(clean)
+        classes = len(indexer.labels)
+        labels = spark.createDataFrame(
+            [(name, float(i)) for i, name in enumerate(indexer.labels)], "label string, label_index double")
+
+        def indexed(rows: DataFrame) -> DataFrame:
+            return indexer.transform(rows)
+
+    if not classes:
         raise SkipJob("EMPTY_AFTER_CLEAN")
     key_columns = [f"x{i}" for i in range(len(keys))] if keys else None
     train, test = fx.split(clean, key_columns, method)
@@ -125,12 +150,12 @@ def train_classifier(df: DataFrame, label: str | None = None, features: list[str
         raise SkipJob("EMPTY_SPLIT")
 
     def vectors(rows: DataFrame) -> DataFrame:
-        indexed = indexer.transform(fx.assemble(rows, len(features)))
-        return indexed.select("features", F.col("label_index").alias("label"))
+        number = F.col("label_index").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": classes}})
+        return indexed(fx.assemble(rows, len(features))).select("features", number)
 
     model = LogisticRegression(
         featuresCol="features", labelCol="label", maxIter=LOGISTIC_ITERATIONS).fit(vectors(train))
-    return Classifier(model, label, features, list(indexer.labels), vectors(train), vectors(test))
+    return Classifier(model, label, features, labels, classes, vectors(train), vectors(test))
 
 
 def fit_classification(df: DataFrame, label: str | None = None, features: list[str] | None = None,
@@ -144,7 +169,7 @@ def fit_classification(df: DataFrame, label: str | None = None, features: list[s
         "features": fit.features,
         "metrics": {
             "accuracy": scored["accuracy"],
-            "num_classes": float(len(fit.labels)),
+            "num_classes": float(fit.classes),
             "test_rows": float(scored["rows"]),
         },
     }
@@ -155,16 +180,19 @@ def calibration(fit: Classifier) -> DataFrame:
 
     At the optimum of a fit with intercept and no penalty the mean probability of a class is its share.
     """
-    scored = fit.model.transform(fit.train).select("label", vector_to_array("probability").alias("p"))
-    sides = scored.select(F.lit("train").alias("side"), "label", "p").unionByName(
-        fit.test.select(F.lit("test").alias("side"), "label", F.lit(None).cast("array<double>").alias("p")))
-    classes = F.posexplode(F.lit(fit.labels)).alias("number", "name")
-    train, own = F.col("side") == "train", F.col("label") == F.col("number")
-    return sides.select("*", classes).groupBy("name").agg(
-        F.count_if(train & own).alias("train_rows"), F.count_if(~train & own).alias("test_rows"),
-        F.avg(F.when(train, own.cast("double"))).alias("share"),
-        F.avg(F.when(train, F.get("p", F.col("number")))).alias("mean_probability"),
-    ).withColumnRenamed("name", "label")
+    scored = fit.model.transform(fit.train)
+    # one pass over the rows; what is exploded is a cell per pair of classes
+    by_label = scored.groupBy(F.col("label").cast("int").alias("own")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("probability")).alias("p"))
+    cells = by_label.select("own", "n", F.posexplode(vector_to_array("p")).alias("number", "p"))
+    train = cells.groupBy("number").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("total"),
+        F.sum(F.when(F.col("own") == F.col("number"), F.col("n")).otherwise(0)).alias("train_rows"))
+    test = fit.test.groupBy(F.col("label").cast("int").alias("number")).agg(F.count(F.lit(1)).alias("test_rows"))
+    names = fit.labels.select("label", F.col("label_index").cast("int").alias("number"))
+    return names.join(train, "number").join(test, "number", "left").select(
+        "label", "train_rows", F.coalesce("test_rows", F.lit(0)).alias("test_rows"),
+        (F.col("train_rows") / F.col("total")).alias("share"), (F.col("p") / F.col("total")).alias("mean_probability"))
 
 
 def accuracy(label, prediction):

@@ -11,7 +11,7 @@ from tableprobe.operators.profile import describe
 from tableprobe.plans import reading
 from tableprobe.sources.datasets import check_dataset, read_dataset
 from tableprobe.sources.reports import make_run_id, read_report, write_run
-from tableprobe.sources.scratch import scratch_directory
+from tableprobe.sources.scratch import has_shared_folder, scratch_directory
 from tableprobe.sources.staging import reads_in_one_pass, stage_dataset
 
 
@@ -57,14 +57,10 @@ def _way(spark: SparkSession, path: str | list[str], file_type: str, hold: bool,
         way = reading.HOLD
     else:
         scans = reading.scans_of(cells, not one_pass)
-        way = reading.choose(size, scans, reading.storage_memory(spark), _shared(spark))
+        way = reading.choose(size, scans, reading.storage_memory(spark), has_shared_folder(spark))
     return way, None if one_pass else cells
 
 
-def _shared(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
-
-
 def _write(df: DataFrame, file_type: str, report_base: str, run_id: str) -> None:
     scan = shared_scan(df, file_type)
     try:

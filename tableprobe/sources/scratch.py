@@ -10,9 +10,18 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def has_shared_folder(spark: SparkSession) -> bool:
+    """Whether the session names a folder for intermediate tables."""
+    return bool(_shared_folder(spark))
+
+
 def scratch_directory(spark: SparkSession) -> str:
     """A new path under the shared folder named by ``spark.checkpoint.dir``, or set on the session's context."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    shared = _shared_folder(spark)
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/{uuid4().hex}"
@@ -24,7 +33,7 @@ def own_folder(spark: SparkSession) -> None:
     For entry points, tests and the bench; the operators only ever use what the session names.
     """
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+    if has_shared_folder(spark):
         return
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")

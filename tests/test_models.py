@@ -151,3 +151,25 @@ def test_assign_clusters_grows_with_the_centers_only(spark):
 def test_accuracy(spark):
     df = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)], "label double, prediction double")
     assert df.agg(models.accuracy(F.col("label"), F.col("prediction")).alias("a")).first()["a"] == 0.666667
+
+
+def test_labels_of_a_named_column_stay_on_spark(spark, monkeypatch):
+    monkeypatch.setattr(fx, "label_indexer", lambda *a: 1 / 0)
+    monkeypatch.setattr(models, "LOGISTIC_ITERATIONS", 1)
+    df = spark.range(9000).select((F.col("id") % 2500).alias("x"), F.concat(F.lit("k"), F.col("id") % 2500).alias("k"))
+    fit = models.train_classifier(df, "k")
+    assert fit.classes == 2500 and fit.model.numClasses == 2500
+    rows = fit.train.unionAll(fit.test).select("features", "label").collect()
+    assert len(rows) == 9000
+    order = {r["label"]: r["label_index"] for r in fit.labels.collect()}
+    assert sorted(order.values()) == list(range(2500))
+    assert {(int(r["features"][0]), r["label"]) for r in rows} == {(i, order[f"k{i}"]) for i in range(2500)}
+
+
+def test_calibration_counts(spark):
+    df = spark.range(900).select((F.col("id") % 7).alias("x"), F.concat(F.lit("k"), F.least(F.col("id") % 5, F.lit(3))).alias("k"))
+    fit = models.train_classifier(df, "k", ["x"], None, "md5")
+    rows = {r["label"]: r for r in models.calibration(fit).collect()}
+    assert set(rows) == {"k0", "k1", "k2", "k3"} and sum(r["train_rows"] + r["test_rows"] for r in rows.values()) == 900
+    assert sum(r["share"] for r in rows.values()) == pytest.approx(1)
+    assert all(abs(r["share"] - r["mean_probability"]) < 1e-4 for r in rows.values())

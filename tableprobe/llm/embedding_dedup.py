@@ -2,9 +2,13 @@
 
 Unit vectors within distance t are, after any rotation, within t * sqrt(k / d) in at least one of their blocks of k
 dimensions: were every block over its share of the squared distance, the sum would be over the whole. So each block is
-range-joined under its own budget, on a grid of its first coordinates: a vector is posted to every cell within half the
-budget of it, and two vectors in budget share the cell of their midpoint. A pair is taken in the first block that finds
-it and in that cell, so it counts once, and its cosine is then computed exactly.
+range-joined under its own budget. Its coordinates, as whole numbers, are cut at zero in as many dimensions as the number
+of vectors calls for; a vector is posted to every cell that the ball of half the budget around it touches, and two
+vectors in budget share the cell of their midpoint.
+
+Cells first see only ids and the block's coordinates, and say who has a partner in budget there. These few vectors are
+then fetched, compared in the same cells, taken in the first block that finds them, and verified by their exact cosine.
+No pair leaves a task: a cell returns numbers of links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -19,18 +23,21 @@ from pyspark.sql import functions as F
 from tableprobe.functions.columns import quoted
 from tableprobe.llm.common import join_groups, map_rows, ship, staged
 from tableprobe.llm.graph import components, roots
-from tableprobe.llm.simhash import group_ends, split_hot
+from tableprobe.llm.simhash import group_ends
 
 COSINE = 0.98
-BLOCK_DIMENSIONS = 8
-GRID_DIMENSIONS = 3
-BLOCK = 1024  # vectors of one cell compared in one go; fuller cells are compared block by block
-PAIRS = 1 << 16  # candidate pairs verified at once
-SLACK = 1e-9  # relative, for rounding in rotation and distances; candidates are verified, so it costs nothing
+BLOCK_DIMENSIONS = 32 / 3
+CELL = 64  # vectors of one label a cell should hold, before those that are posted to it from its neighbours
+BLOCK = 4096  # vectors of one cell compared in one go; fuller cells are compared block by block
+POSTED = 4096  # vectors whose postings are put together, cell by cell
+PAIRS = 1 << 18  # pairs compared at once
+SMALL = 100_000  # cells over BLOCK, up to which their sizes are broadcast
+UNITS = 16000  # coordinates of unit vectors are rounded to 1 / UNITS
+SLACK = 1e-9  # relative, for rounding in rotations; candidates are verified, so it costs nothing
 
 
 class Subspaces:
-    """The rotation of a dimension, its blocks, and each block's budget for a least cosine."""
+    """The rotation of a dimension, its blocks, and each block's budget for a least cosine, in squared units."""
 
     _made: dict[tuple[int, float], "Subspaces"] = {}
 
@@ -40,7 +47,10 @@ class Subspaces:
         parts = max(1, round(dimension / BLOCK_DIMENSIONS))
         bounds = [dimension * i // parts for i in range(parts + 1)]
         self.blocks = list(zip(bounds, bounds[1:]))
-        self.squared = [(2 - 2 * cosine) * (b - a) / dimension * (1 + SLACK) + SLACK * 1e-3 for a, b in self.blocks]
+        squared = max(0.0, 2 - 2 * cosine) * (1 + SLACK) + SLACK
+        # rounding moves each coordinate of a difference by one at most
+        self.budgets = [int(((squared * (b - a) / dimension) ** 0.5 * UNITS + (b - a) ** 0.5) ** 2) + 1
+                        for a, b in self.blocks]
 
     @classmethod
     def of(cls, dimension: int, cosine: float) -> "Subspaces":
@@ -48,43 +58,70 @@ class Subspaces:
             cls._made[dimension, cosine] = cls(dimension, cosine)
         return cls._made[dimension, cosine]
 
-    def rotated(self, unit: np.ndarray) -> np.ndarray:
-        """Row by row the same, whatever other rows are there."""
-        return np.einsum("ij,jk->ik", unit, self.rotation)
+    def coordinates(self, raw: np.ndarray) -> np.ndarray:
+        """Rotated unit vectors in whole units; row by row the same, whatever other rows are there."""
+        unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        return np.rint(np.einsum("ij,jk->ik", unit, self.rotation) * UNITS).astype(np.int64)
 
-    def cells(self, x: np.ndarray, block: int, shift: float) -> np.ndarray:
-        """Grid cells of the first coordinates of a block, moved by ``shift`` half budgets."""
-        a, b = self.blocks[block]
-        r = self.squared[block] ** 0.5
-        return np.floor((x[:, a:min(b, a + GRID_DIMENSIONS)] + shift * r / 2) / (2 * r)).astype(np.int64)
-
-    def posts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, unit) of all postings; a unit's number is made of the block and the cell."""
-        rows, units = [], []
-        for block in range(len(self.blocks)):
-            low, high = self.cells(x, block, -(1 + SLACK)), self.cells(x, block, 1 + SLACK)
-            for corner in range(1 << low.shape[1]):
-                upper = np.array([corner >> k & 1 for k in range(low.shape[1])], bool)
-                new = ((high > low) | ~upper).all(axis=1)
-                at = np.flatnonzero(new)
-                rows.append(at)
-                units.append(self.unit(block, np.where(upper, high[at], low[at])))
-        return np.concatenate(rows), np.concatenate(units)
-
-    @staticmethod
-    def unit(block: int, cell: np.ndarray) -> np.ndarray:
-        number = np.full(len(cell), block, np.int64)
-        for k in range(cell.shape[1]):
-            number = number << 16 | (cell[:, k] + (1 << 15)) & 0xFFFF
-        return number
-
-    def distance(self, x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
-        """Squared distances within a block, of columns against rows or pair by pair."""
+    def cuts(self, block: int, n: int) -> int:
+        """How many dimensions of a block are cut for ``n`` vectors; one is left to sweep along."""
         a, b = self.blocks[block]
-        total = 0.0
-        for k in range(a, b):
-            total = total + (x[..., k] - y[..., k]) ** 2
-        return total
+        return min(b - a - 1, max(0, int(np.ceil(np.log2(max(1, n) / CELL)))))
+
+    def posts(self, q: np.ndarray, block: int, cuts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells of a block that the ball of half the budget around a row touches."""
+        x = q[:, self.blocks[block][0]:][:, :cuts]
+        rows, used = np.arange(len(x)), np.zeros(len(x), np.int64)
+        cells = (x > 0) @ (1 << np.arange(cuts))
+        for k in range(cuts):
+            more = used + 4 * x[rows, k] ** 2
+            near = more <= self.budgets[block]
+            rows, cells, used = (np.concatenate([old, new[near]]) for old, new in (
+                (rows, rows), (cells, cells ^ (1 << k)), (used, more)))
+        return rows, cells
+
+    def near(self, x: np.ndarray, block: int, cuts: int, cell: int,
+             apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Pairs (i, j) of a cell's vectors whose block is in budget and whose midpoint is in the cell, and how many
+        were compared. ``x`` has the block's coordinates. With ``apart``, only pairs of different values of it.
+
+        Vectors are sorted along a dimension that isn't cut, and compared with those within the budget there.
+        """
+        budget = self.budgets[block]
+        order = np.argsort(x[:, cuts], kind="stable")
+        x = x[order].astype(np.int64)
+        along = x[:, cuts]
+        ahead = np.searchsorted(along, along + int(budget ** 0.5) + 1, "right") - np.arange(1, len(x) + 1)
+        total = np.cumsum(ahead)
+        start = 0
+        while start < len(x):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
+            counts = ahead[start:stop]
+            i = np.repeat(np.arange(start, stop), counts)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+            compared = len(i)
+            gap = np.zeros(len(i), np.int64)
+            for k in range(x.shape[1]):
+                gap += (x[i, k] - x[j, k]) ** 2
+                if k % 3 == 2:
+                    keep = gap <= budget
+                    i, j, gap = i[keep], j[keep], gap[keep]
+            middle = (x[i, :cuts] + x[j, :cuts] > 0) @ (1 << np.arange(cuts))
+            keep = (gap <= budget) & (middle == cell)
+            i, j = order[i[keep]], order[j[keep]]
+            if apart is not None:
+                keep = apart[i] != apart[j]
+                i, j = i[keep], j[keep]
+            yield i, j, compared
+            start = stop
+
+    def found_before(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, block: int) -> np.ndarray:
+        """Whether an earlier block has the pair in budget."""
+        found = np.zeros(len(i), bool)
+        for earlier in range(block):
+            a, b = self.blocks[earlier]
+            found |= ((q[i, a:b] - q[j, a:b]) ** 2).sum(axis=1) <= self.budgets[earlier]
+        return found
 
 
 def _scaled(vectors: np.ndarray) -> np.ndarray:
@@ -98,34 +135,6 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return _scaled(values.reshape(len(column), -1))
 
 
-def links_in_cell(own: Subspaces, unit: int, raw: np.ndarray, apart: np.ndarray | None,
-                  cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of a cell's vectors that are linked and that this cell and block have to report.
-
-    With ``apart``, only pairs of different values of it: two blocks of a fuller cell.
-    """
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    x = own.rotated(raw / norm[:, None])
-    block = int(unit >> 16 * min(GRID_DIMENSIONS, own.blocks[0][1] - own.blocks[0][0]))
-    step = max(1, PAIRS * 16 // len(x))
-    for start in range(0, len(x), step):
-        part = np.arange(start, min(len(x), start + step))
-        near = own.distance(x[part][:, None, :], x[None, :, :], block) <= own.squared[block]
-        near &= part[:, None] < np.arange(len(x))[None, :]
-        if apart is not None:
-            near &= apart[part][:, None] != apart[None, :]
-        first, second = np.nonzero(near)
-        for at in range(0, len(first), PAIRS):
-            i, j = part[first[at:at + PAIRS]], second[at:at + PAIRS]
-            middle = own.unit(block, own.cells((x[i] + x[j]) / 2, block, 0.0))
-            keep = middle == unit
-            for earlier in range(block):
-                keep &= own.distance(x[i], x[j], earlier) > own.squared[earlier]
-            i, j = i[keep], j[keep]
-            linked = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= cosine
-            yield i[linked], j[linked]
-
-
 def usable_vector(embedding: str, label: str) -> Column:
     """Labelled, no null or non-finite component, and not zero."""
     vector = quoted(embedding)
@@ -133,6 +142,132 @@ def usable_vector(embedding: str, label: str) -> Column:
     return F.coalesce(quoted(label).isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+UNIT = ["group", "unit", "i", "j"]
+POSTING = "group bigint, unit bigint, dim int, cuts int, n int, ids binary, coordinates binary"
+PARTNER = "group bigint, unit bigint, i int, j int, dim int, cuts int, own int, id bigint"
+CELL_BITS = 40  # a unit's number is that of its block, then of its cell
+
+
+def _postings(members: DataFrame, cosine: float) -> DataFrame:
+    """For each task and cell the ids posted to it, with their coordinates in the cell's block."""
+    def post(batch: pa.RecordBatch) -> pa.Table:
+        ids, groups, counts = (batch.column(c).to_numpy() for c in ("id", "group", "members"))
+        dims, out = batch.column("dim").to_numpy(), []
+        for dim in np.unique(dims).tolist():
+            own = Subspaces.of(dim, cosine)
+            at = np.flatnonzero(dims == dim)
+            q = own.coordinates(_matrix(batch.column("vector").take(pa.array(at))))
+            for block, (a, b) in enumerate(own.blocks):
+                cuts = np.array([own.cuts(block, n) for n in counts[at].tolist()])
+                for cut in np.unique(cuts).tolist():
+                    rows = np.flatnonzero(cuts == cut)
+                    row, cell = own.posts(q[rows], block, cut)
+                    row = rows[row]
+                    order = np.lexsort((cell, groups[at[row]]))
+                    row, cell = row[order], cell[order]
+                    group = groups[at[row]]
+                    starts = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(cell) != 0)))
+                    sizes = np.diff(np.append(starts, len(row)))
+                    named = np.ascontiguousarray(ids[at[row]].astype(np.int64)).tobytes()
+                    placed = np.ascontiguousarray(q[row, a:b].astype(np.int16)).tobytes()
+                    n, wide = len(starts), 2 * (b - a)
+                    out.append(pa.RecordBatch.from_arrays(
+                        [pa.array(group[starts]), pa.array(cell[starts] | block << CELL_BITS),
+                         pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, cut, np.int32)),
+                         pa.array(sizes.astype(np.int32)),
+                         pa.array([named[8 * s:8 * (s + k)] for s, k in zip(starts, sizes)], pa.binary()),
+                         pa.array([placed[wide * s:wide * (s + k)] for s, k in zip(starts, sizes)], pa.binary())],
+                        ["group", "unit", "dim", "cuts", "n", "ids", "coordinates"]))
+        return pa.Table.from_batches(out)
+
+    return map_rows(members.select("id", "group", "members", "dim", "vector"), post, POSTING, rows=POSTED)
+
+
+def _split(postings: DataFrame) -> DataFrame:
+    """Add (own, i, j) and deal by unit: cells of over BLOCK members are cut into blocks, and every two meet."""
+    sizes = postings.groupBy("group", "unit").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK)
+    large = staged(sizes.select("group", "unit", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    few = large.count() <= SMALL
+    blocks = F.coalesce("blocks", F.lit(1))
+    return (postings.join(F.broadcast(large) if few else large.hint("merge"), ["group", "unit"], "left")
+            .withColumn("own", F.pmod(F.xxhash64("ids"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select(*postings.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+            .repartition(*UNIT).sortWithinPartitions(*UNIT))
+
+
+def _units(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit, from batches sorted by unit."""
+    held: list[pa.Table] = []
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        ends = group_ends(*(batch.column(c).to_numpy() for c in UNIT))
+        start = 0
+        while start < batch.num_rows:
+            end = int(ends[start])
+            part = pa.Table.from_batches([batch.slice(start, end - start)])
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in UNIT):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(part)
+            start = end
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _unit_of(rows: pa.Table, cosine: float) -> tuple[Subspaces, int, int, int, np.ndarray | None]:
+    """(subspaces, block, cuts, cell, what tells two blocks of a full cell apart)."""
+    unit, i, j, dim, cuts = (rows.column(c)[0].as_py() for c in ("unit", "i", "j", "dim", "cuts"))
+    apart = rows.column("own").to_numpy() if i != j else None
+    return Subspaces.of(dim, cosine), unit >> CELL_BITS, cuts, unit & (1 << CELL_BITS) - 1, apart
+
+
+def _partners(stream: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Per unit the ids that have a partner in budget there."""
+    names = [f.split()[0] for f in PARTNER.split(", ")]
+    for rows in _units(stream):
+        if sum(rows.column("n").to_pylist()) < 2:
+            continue
+        own, block, cuts, cell, apart = _unit_of(rows, cosine)
+        a, b = own.blocks[block]
+        ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.int64)
+        x = np.frombuffer(b"".join(rows.column("coordinates").to_pylist()), np.int16).reshape(-1, b - a)
+        blocks = np.repeat(rows.column("own").to_numpy(), rows.column("n").to_numpy())
+        has = np.zeros(len(ids), bool)
+        for i, j, _ in own.near(x, block, cuts, cell, blocks if apart is not None else None):
+            has[i] = has[j] = True
+        if has.any():
+            first = [rows.column(c)[0].as_py() for c in names[:6]]
+            n = int(has.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([v] * n, t) for v, t in zip(first, [pa.int64()] * 2 + [pa.int32()] * 4)),
+                 pa.array(blocks[has].astype(np.int32)), pa.array(ids[has])], names)
+
+
+def _links(stream: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Of each unit, for every vector with a link that is the unit's to report: (id, root in the unit, its links)."""
+    for rows in _units(stream):
+        own, block, cuts, cell, apart = _unit_of(rows, cosine)
+        raw = _matrix(rows.column("vector").combine_chunks())
+        ids, weight = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        q = own.coordinates(raw)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j, _ in own.near(q[:, slice(*own.blocks[block])], block, cuts, cell, apart):
+            new = ~own.found_before(q, i, j, block)
+            i, j = i[new], j[new]
+            linked = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= cosine
+            i, j = i[linked], j[linked]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            label = roots(len(label), np.concatenate([i, np.arange(len(label))]), np.concatenate([j, label]))
+        on = np.flatnonzero(links)
+        if len(on):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[on]), pa.array(ids[label[on]]), pa.array(links[on])], ["a", "b", "links"])
+
+
 def embedding_groups(df: DataFrame, embedding: str = "embedding", label: str = "label", key: str = "vec_id",
                      cosine: float = COSINE) -> DataFrame:
     """One row per row of ``df``: (key, n_links, component_id, kept).
@@ -148,66 +283,17 @@ def embedding_groups(df: DataFrame, embedding: str = "embedding", label: str = "
     usable = rows.where("usable").select("key", "label", "vector")
     classes = staged(usable.groupBy("label", "vector").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
                      .withColumn("id", F.monotonically_increasing_id()))
-
-    def post(batch: pa.RecordBatch) -> pa.Table:
-        names = ["id", "n", "label", "dim", "unit", "vector"]
-        found = []
-        sizes = np.diff(batch.column(3).offsets.to_numpy())
-        for dim in np.unique(sizes).tolist():
-            part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-            raw = _matrix(part.column(3))
-            own = Subspaces.of(dim, cosine)
-            at, unit = own.posts(own.rotated(raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]))
-            take = pa.array(at)
-            found.append(pa.RecordBatch.from_arrays(
-                [*(part.column(c).take(take) for c in range(3)), pa.array(np.full(len(at), dim, np.int32)),
-                 pa.array(unit), part.column(3).take(take)], names))
-        return pa.Table.from_batches(found)
-
-    def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in stream:
-            new = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, new]).combine_chunks() if held is not None else new
-            if held.num_rows >= 4 * BLOCK:
-                out, held = solve(held, False)
-                yield out
-        if held is not None and held.num_rows:
-            yield solve(held, True)[0]
-
-    def solve(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        labels = table.column("label").to_numpy()
-        dims, units, i, j = (table.column(c).to_numpy() for c in ("dim", "unit", "i", "j"))
-        ids, weight, blocks = (table.column(c).to_numpy() for c in ("id", "n", "own"))
-        ends = group_ends(labels, dims, units, i, j)
-        parts: list[tuple] = []
-        start, n = 0, table.num_rows
-        while start < n and (last or ends[start] < n):
-            end = int(ends[start])
-            if end - start > 1:
-                own = Subspaces.of(int(dims[start]), cosine)
-                raw = _matrix(table.column("vector").slice(start, end - start).combine_chunks())
-                apart = blocks[start:end] if i[start] != j[start] else None
-                links, label = np.zeros(end - start, np.int64), np.arange(end - start)
-                for a, b in links_in_cell(own, int(units[start]), raw, apart, cosine):
-                    np.add.at(links, a, weight[start + b])
-                    np.add.at(links, b, weight[start + a])
-                    label = roots(len(label), np.concatenate([a, np.arange(len(label))]),
-                                  np.concatenate([b, label]))
-                on = np.flatnonzero(links)
-                parts.append((ids[start + on], ids[start + label[on]], links[on]))
-            start = end
-        a, b, links = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], ["a", "b", "links"]), \
-            table.slice(start)
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    vector_type = classes.schema["vector"].dataType.simpleString()
-    posts = map_rows(classes.select("id", "n", "label", "vector"), post,
-                     f"id bigint, n bigint, label {label_type}, dim int, unit bigint, vector {vector_type}")
-    cell = ["label", "dim", "unit"]
-    units = split_hot(posts, cell, "id", BLOCK).repartition(*cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
-    found = staged(units.mapInArrow(compare, "a bigint, b bigint, links bigint"))
+    sized = classes.select("id", "n", "label", "vector", F.size("vector").alias("dim"))
+    of_label = staged(sized.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("members"))
+                      .withColumn("group", F.monotonically_increasing_id()))
+    members = staged(join_groups(sized, of_label, ["label", "dim"], "members", classes.count())
+                     .select("id", "n", "group", "members", "dim", "vector"))
+    cells = _split(_postings(members, cosine))
+    partners = staged(cells.mapInArrow(lambda stream: _partners(stream, cosine), PARTNER))
+    fetched = (partners.hint("merge").join(members.select("id", "n", "vector"), "id")
+               .repartition(*UNIT).sortWithinPartitions(*UNIT))
+    found = staged(fetched.select(*UNIT, "dim", "cuts", "own", "id", "n", "vector").mapInArrow(
+        lambda stream: _links(stream, cosine), "a bigint, b bigint, links bigint"))
 
     linked = found.groupBy("a").agg(F.sum("links").alias("links"))
     whole = components(found.select("a", "b"))

@@ -58,14 +58,62 @@ def test_no_rows(spark):
     assert embedding_groups(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_every_pair_in_budget_shares_the_cell_of_its_midpoint():
+@pytest.mark.parametrize("cuts", [0, 3, 9])
+def test_every_pair_in_budget_shares_the_cell_of_its_midpoint(cuts):
     own = embedding_dedup.Subspaces.of(64, 0.98)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 64))
     y = x + rng.normal(size=(300, 64)) * 0.02
-    x, y = (own.rotated(v / np.linalg.norm(v, axis=1)[:, None]) for v in (x, y))
-    posts = [set(zip(*(a.tolist() for a in own.posts(v)))) for v in (x, y)]
-    for block in range(len(own.blocks)):
-        near = np.flatnonzero(own.distance(x, y, block) <= own.squared[block])
-        middle = own.unit(block, own.cells((x + y) / 2, block, 0.0))
+    p, q = own.coordinates(x), own.coordinates(y)
+    for block, (a, b) in enumerate(own.blocks):
+        posts = [set(zip(*(v.tolist() for v in own.posts(c, block, cuts)))) for c in (p, q)]
+        near = np.flatnonzero(((p[:, a:b] - q[:, a:b]) ** 2).sum(axis=1) <= own.budgets[block])
+        middle = ((p + q)[:, a:a + cuts] > 0) @ (1 << np.arange(cuts))
         assert len(near) and all((int(i), int(middle[i])) in posts[0] & posts[1] for i in near)
+
+
+def test_a_linked_pair_is_in_budget_in_some_block():
+    own = embedding_dedup.Subspaces.of(64, 0.98)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    y = 0.98 * x + (1 - 0.98 ** 2) ** 0.5 * away  # at the very limit
+    p, q = own.coordinates(x), own.coordinates(y)
+    assert own.found_before(np.concatenate([p, q]), np.arange(4000), np.arange(4000, 8000), len(own.blocks)).all()
+
+
+def test_sweep_finds_all_pairs_of_a_cell(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 500)
+    own = embedding_dedup.Subspaces.of(64, 0.8)
+    q = own.coordinates(np.random.default_rng(3).normal(size=(400, 64)))
+    apart = np.arange(400) % 3
+    for block, (a, b) in enumerate(own.blocks[:2]):
+        x = q[:, a:b]
+        gap = ((x[:, None] - x[None]) ** 2).sum(-1)
+        middle = ((x[:, None, :2] + x[None, :, :2]) > 0) @ np.array([1, 2])
+        for cell in range(4):
+            expected = {(i, j) for i, j in zip(*np.nonzero((gap <= own.budgets[block]) & (middle == cell))) if i < j}
+            found = [tuple(sorted(p)) for i, j, _ in own.near(x, block, 2, cell) for p in zip(i.tolist(), j.tolist())]
+            assert len(found) == len(set(found)) and set(found) == expected and expected
+            found = {tuple(sorted(p)) for i, j, _ in own.near(x, block, 2, cell, apart) for p in zip(i.tolist(), j.tolist())}
+            assert found == {(i, j) for i, j in expected if apart[i] != apart[j]}
+
+
+def test_the_share_of_pairs_compared_falls():
+    """Random vectors of one label: the share of all pairs that any cell compares, by the size of the table."""
+    own, shares, bytes_posted = embedding_dedup.Subspaces.of(64, 0.98), [], 0
+    for n in (2000, 8000, 32000):
+        q = own.coordinates(np.random.default_rng(n).normal(size=(n, 64)))
+        compared = bytes_posted = 0
+        for block, (a, b) in enumerate(own.blocks):
+            cuts = own.cuts(block, n)
+            rows, cells = own.posts(q, block, cuts)
+            bytes_posted += len(rows) * (8 + 2 * (b - a))
+            for cell in np.unique(cells)[::7]:
+                compared += 7 * sum(c for *_, c in own.near(q[rows[cells == cell], a:b], block, cuts, int(cell)))
+        shares.append(compared / (n * (n - 1) / 2))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.2, shares
+    assert bytes_posted < 6 * n * 64 * 4, bytes_posted / (n * 64 * 4)

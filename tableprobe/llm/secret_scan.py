@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed patterns, and literals that assignments bring to sensitive names.
 
 Source and configuration syntax is lexed into assignments: a name, and a value made of literals and of other names.
-Constants are propagated: a literal counts for every name it reaches through plain references and concatenation. A
-literal is reported if the sensitivity of a name it reaches and its own looks score high enough together.
+Constants are propagated: a literal counts for every name it reaches through plain references and concatenation, and parts that
+are short by themselves are judged as the value they make. A literal is reported if the sensitivity of a name it reaches and its own looks score high enough together.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ HARMLESS = {
 }
 # Values that stand for no secret as a whole; words inside a value that count as no part of it, the first kind only
 # beside what marks a stand-in; and words of prose.
-PLACEHOLDER = re.compile(r"(?is)<[^<>]*>|\$\{[^{}]*\}|\{\{[^{}]*\}\}|x+|\*+|true|false|null|none|undefined|nil")
+PLACEHOLDER = re.compile(r"(?is)-{3,}[a-z0-9 ]+-{3,}|<[^<>]*>|\$\{[^{}]*\}|\{\{[^{}]*\}\}|x+|\*+|true|false|null|none|undefined|nil")
 STAND_IN = re.compile(r"(?i)change.?me|example|your[_-]|placeholder|dummy|sample|redacted|\$\{[^{}]*\}|\{\{[^{}]*\}\}|"
                       r"x{4,}+|\*{3,}+|(.)\1{5,}+")
 GENERIC = re.compile(r"(?i)password|passwd|passphrase|secret|token|api|key|here|test|value|user")
@@ -75,6 +75,20 @@ ITEM = re.compile(r"[\x20\t]*\r?\n[\x20\t]*-[\x20\t]+")
 NAMED = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z]+(?:[._/-][a-z0-9]+)*")  # arguments that name what is looked up
 REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*+$")
 INSIDE = re.compile(r"\$?\{\{?\s*([A-Za-z_$][\w$.]*)\s*\}?\}|\$([A-Za-z_]\w*)")
+# Forms that are no "name operator value": each has groups for the name and the value.
+TEXT = r"""(?:"(?P<v>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<w>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)')"""
+KEY = r"""(["'])(?P<name>[A-Za-z_][\w.\-]*+)\1"""
+FORMS = {
+    "(": [re.compile(rf"[(\[]\s*+{KEY}\s*+,\s*+{TEXT}")],  # a setter's arguments, or a pair
+    "define": [re.compile(rf"(?m)^[\x20\t]*+#[\x20\t]*+define[\x20\t]++(?P<name>[A-Za-z_]\w*+)[\x20\t]++(?:{TEXT}|(?P<x>[^\s\"']++))")],
+    "</": [re.compile(r"<(?P<name>[A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>(?P<v>[^<>]++)</(?P=name)\s*+>"),
+           re.compile(rf"<[A-Za-z_][\w.:\-]*+\s[^<>]*?\b(?:key|name|id)\s*+=\s*+{KEY}[^<>]*+(?<!/)>(?P<v>[^<>]++)</")],
+    "value": [re.compile(rf"(?i)\b(?:key|name)\s*+=\s*+{KEY}\s++value\s*+=\s*+{TEXT}")],
+    "uthorization": [re.compile(r"""(?P<name>[Aa]uthorization)["']?\s*+[:=]\s*+["']?(?i:bearer|basic|token|apikey)\s++(?P<v>[\w+/.=~\-]++)""")],
+}
+URL = re.compile(r"""(?<=[A-Za-z0-9])://[^\s/:@"'<>]*+:([^\s/@"'<>]++)@""")  # the value is a password
+TUPLE = re.compile(r"(?m)^[\x20\t]*+((?:[A-Za-z_]\w*+[\x20\t]*+,[\x20\t]*+)++[A-Za-z_]\w*+)[\x20\t]*+=(?!=)")
+ELEMENT = re.compile(rf"""[\x20\t]*+(?:{TEXT}|(?P<x>[^,\s"'()\[\]{{}}]++))[\x20\t]*+(,|(?=[;#\r\n])|$)""")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -89,6 +103,7 @@ class Assignment(NamedTuple):
     name: str
     literals: list[tuple[int, int]]
     references: list[str]
+    joins: list[int]  # where parts are joined to one value
 
 
 def base_spans(text: str) -> list[Span]:
@@ -110,6 +125,8 @@ def name_before(text: str, back: str, at: int, typed: bool = True) -> str | None
     """
     size = len(text)
     start = BLANK.match(back, size - at).end()
+    if back[start:start + 1] == "]" and back[start + 1:start + 2] in ("'", '"'):  # a subscript
+        start += 1
     if (quote := back[start:start + 1]) in ("'", '"', "`"):
         end = size - start - 1
         opening = text.rfind(quote, 0, end)
@@ -151,7 +168,7 @@ class Lexer:
         return name_before(self.text, self.back, at, typed)
 
     def begin(self, at: int, name: str) -> Assignment:
-        self.found.append(Assignment(at, name, [], []))
+        self.found.append(Assignment(at, name, [], [], []))
         return self.found[-1]
 
     def string(self, at: int, high: int) -> tuple[int, int, int] | None:
@@ -302,6 +319,8 @@ class Lexer:
             if not fresh:
                 join = JOIN.match(text, before, high)
                 if join and (join[0].strip() or not bare):
+                    if not opened:
+                        own.joins.append(at)
                     at, fresh = join.end(), True
                     continue
                 if listed and not inside and (item := ITEM.match(text, before, high)):
@@ -354,12 +373,38 @@ class Lexer:
         return at
 
 
+def other_forms(text: str) -> list[Assignment]:
+    """Assignments without an operator of their own: pairs of arguments, definitions, elements and attributes, headers,
+    passwords in addresses, and tuples. Each form is searched in time linear in the text."""
+    found = []
+    for hint, patterns in FORMS.items():
+        for pattern in patterns if hint in text else ():
+            for m in pattern.finditer(text):
+                span = next(m.span(g) for g in ("v", "w", "x") if g in pattern.groupindex and m[g] is not None)
+                found.append(Assignment(m.start(), m["name"], [span], [], []))
+    if "://" in text:
+        found += [Assignment(m.start(), "password", [m.span(1)], [], []) for m in URL.finditer(text)]
+    for m in TUPLE.finditer(text) if "," in text and "=" in text else ():
+        at = m.end()
+        for name in m[1].split(","):
+            value = ELEMENT.match(text, at)
+            if not value:
+                break
+            span = next(value.span(g) for g in ("v", "w", "x") if value[g] is not None)
+            found.append(Assignment(m.start(), name.strip(), [span], [value["x"]] if value["x"] else [], []))
+            at = value.end()
+            if text[at - 1:at] != ",":
+                break
+    return found
+
+
 def assignments(text: str) -> list[Assignment]:
     """Name and value pairs in order of appearance; values are literals, names, or joins of both."""
     lexer = Lexer(text)
     while lexer.regions:
         lexer.scan(*lexer.regions.pop())
-    return sorted((a for a in lexer.found if a.literals or a.references), key=lambda a: a.at)
+    found = lexer.found + other_forms(text)
+    return sorted((a for a in found if a.literals or a.references), key=lambda a: a.at)
 
 
 def name_score(name: str) -> int:
@@ -427,7 +472,7 @@ class _Tally:
 
 def assigned_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name. A name refers to its last assignment before, else to the first after."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<([#"):
         return []
     found = assignments(text)
     places: dict[str, list[int]] = {}
@@ -460,6 +505,52 @@ def assigned_spans(text: str) -> list[Span]:
             if best[s, end] + score >= FLAG_AT and (best[s, end] >= PHRASE_AT or not spaced):
                 spans.append(Span("literal", s, end))
                 break  # what begins later lies inside
+    outer, reach = [], -1
+    for span in sorted(spans, key=lambda s: (s.start, -s.end)):  # what lies inside another is reported with it
+        if span.end > reach:
+            outer.append(span)
+            reach = span.end
+    return outer + folded_spans(text, found, places, reached, outer)
+
+
+def folded_spans(text: str, found: list[Assignment], places: dict[str, list[int]], reached: list[int],
+                 known: list[Span]) -> list[Span]:
+    """Parts that are a secret only together: what is joined for a sensitive name, references replaced by constants."""
+    ends: dict[int, int] = {}
+
+    def constant(j: int) -> int:
+        """The assignment at the end of plain references from one to the next."""
+        way = []
+        while j not in ends:
+            way.append(j)
+            ends[j] = j  # a circle ends here
+            a = found[j]
+            own = [s for s in a.literals if text[slice(*s)] not in a.references]
+            if own or len(a.references) != 1 or not (at := places.get(a.references[0])):
+                break
+            j = at[max(0, bisect_left(at, j) - 1)]
+        for i in way:
+            ends[i] = ends[j]
+        return ends[j]
+
+    have, spans = {(s.start, s.end) for s in known}, []
+    for j, a in enumerate(found):
+        if not a.joins or reached[j] < SENSITIVE_AT:
+            continue
+        parts = [s for s in a.literals if text[slice(*s)] not in places]
+        for reference in a.references:
+            if at := places.get(reference):
+                k = constant(at[max(0, bisect_left(at, j) - 1)])
+                if not found[k].joins:
+                    parts += [s for s in found[k].literals if text[slice(*s)] not in found[k].references]
+        parts = list(dict.fromkeys(s for s in parts if s[0] < s[1]))
+        if len(parts) < 2 or have.intersection(parts):
+            continue
+        value = "".join(text[slice(*s)] for s in parts)
+        score, spaced = literal_scores(value, [0], len(value))[0]
+        if reached[j] + score >= FLAG_AT and (reached[j] >= PHRASE_AT or not spaced):
+            spans += [Span("literal", *s) for s in parts]
+            have.update(parts)
     return spans
 
 
@@ -475,7 +566,7 @@ def scan_secrets(df: DataFrame, text: str = "text", output: str = "secrets") ->
     """Add ``output``, the spans (kind, start, end) of the secrets in each text; none for null and empty texts.
 
     Kinds are ``assign``, ``access`` and ``hex`` for the fixed patterns and ``literal`` for the lexer's. A column already
-    called ``output`` is replaced.
+    called ``output`` is replaced. No rows give no rows.
     """
     rest = df.drop(output)
     schema = rest.withColumn(output, F.array().cast(SPANS)).schema
@@ -495,7 +586,10 @@ def span_text(spans: Column) -> Column:
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The rows with every secret in the text replaced by ``mark``; overlapping ones by a single mark."""
+    """The rows with every secret in the text replaced by ``mark``; overlapping ones by a single mark.
+
+    Null texts stay null and empty ones empty; no rows give no rows.
+    """
     columns = df.columns
     at = columns.index(text)
     plain = df.withColumn(text, quoted(text).cast("string"))

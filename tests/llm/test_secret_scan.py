@@ -70,6 +70,37 @@ def test_values_in_brackets_calls_and_on_further_lines(text, secrets):
     assert [text[s.start:s.end] for s in find_secrets(text) if s.kind == "literal"] == secrets
 
 
+@pytest.mark.parametrize("text, secrets", [
+    (f'cfg["db_password"] = "{A}"', [A]), (f"os.environ['DB_PASSWORD'] = '{A}'", [A]), (f'["password"] = "{A}",', [A]),
+    (f'password, user = "{A}", "bob"', [A]), (f"user, api_key = name, '{A}'\n", [A]),
+    (f"config.set('password', '{A}')", [A]), (f'os.environ.setdefault("DB_PASSWORD", "{A}")', [A]),
+    (f'pairs = [("api_token", "{A}"), ("user", "{B}")]', [A]), (f"<password>{A}</password>", [A]),
+    (f'<db_password type="x">{A}</db_password>', [A]), (f'<add key="ApiKey" value="{A}"/>', [A]),
+    (f'<property name="secret.token">{A}</property>', [A]), (f'<add key="Colour" value="{A}"/>', []),
+    (f'#define DB_PASSWORD "{A}"', [A]), (f"  # define API_TOKEN {A}\n", [A]), (f'#define COLOUR "{A}"', []),
+    (f"Authorization: Bearer {A}", [A]), (f'"Authorization": "Basic {A}=="', [A + "=="]),
+    (f"DATABASE_URL=postgres://user:{A}@host/db", [A]), (f"see https://bob:{A}@example.org.", [A]),
+    ('a = "Zk3v9Qw"; b = "8Lm2xT7"; password = a + b', ["Zk3v9Qw", "8Lm2xT7"]),
+    ("c = 'Zk3v9Qw'\nd = c\npassword = d + '8Lm2xT7'\n", ["Zk3v9Qw", "8Lm2xT7"]),
+    ("a = 'abc'; b = 'def'; password = a + b", []), ("tokens = ['id-1', 'id-2', 'id-3']", []),
+    (f"private_key: |\n  -----BEGIN RSA PRIVATE KEY-----\n  {A}{B}\n  -----END RSA PRIVATE KEY-----\n", [A + B]),
+])
+def test_other_forms_and_folded_constants(spark, text, secrets):
+    found = find_secrets(text)
+    assert sorted({text[s.start:s.end] for s in found if s.kind == "literal"} - {f"postgres://user:{A}@host/db"}) == sorted(secrets)
+    row = redact_secrets(spark.createDataFrame([(text,)], "text string").coalesce(1)).first()["text"]
+    assert all(secret not in row for secret in secrets) and (not secrets or "[secret]" in row)
+
+
+@pytest.mark.parametrize("text", [
+    "<a " * 150_000, "<a>b</" * 80_000, "('a'," * 100_000, "('a', 'b" * 60_000, "://a:" * 100_000, "#define a " * 50_000, "a," * 250_000 + "b=",
+    "a, b = c, d\n" * 40_000, "password = a + b\na = b\nb = a\n" * 10_000, "key='a' value " * 40_000, "authorization: bearer " * 25_000,
+    "x1 = x0\n" + "".join(f"x{i} = x{i - 1}\npassword = x{i} + x{i}\n" for i in range(2, 15_000)), "<a name='b' " * 40_000, "a['b']=" * 60_000,
+])
+def test_time_grows_with_other_forms(text):
+    test_time_grows_with_the_text(text)
+
+
 @pytest.mark.parametrize("text", [
     f'"{"n" * 90}_password": "{A}"', f"{'n' * 200}_const = '{A}'\ndb_password = {'n' * 200}_const\n",
     f"password{' ' * 300}= '{A}'", f"pass{'.n' * 60}: str = '{A}'",

@@ -58,17 +58,26 @@ def map_rows(df: DataFrame, function: Callable[[pa.Table], pa.Table | pa.RecordB
     return df.mapInArrow(batches, schema)
 
 
-SIEVE_BITS = 1 << 23  # 131,072 words of 64 bits are broadcast, whatever the data
+BITS_PER_KEY = 16
+SIEVE_BITS = 1 << 26  # a million words of 64 bits are broadcast at most, whatever the data
+
+
+def sieve_size(keys: int) -> int:
+    """Bits of a sieve for so many listed keys, a power of two: at 16 bits a key it passes 6 % of the others."""
+    return min(SIEVE_BITS, max(1 << 16, 1 << (BITS_PER_KEY * max(1, keys) - 1).bit_length()))
 
 
 def sieved(df: DataFrame, key: Column, listed: DataFrame, listed_key: Column) -> DataFrame:
     """Add ``_hit``: false only where the bigint ``key`` is surely not among ``listed_key`` of ``listed``.
 
     Rows that aren't listed are told apart without a shuffle, by one bit per remainder of the key; those that are hit
-    need an exact join. The sieve has a fixed size: with very many listed keys it lets more pass, and stays right.
+    need an exact join. The listed rows are counted, and the sieve grows with them up to a fixed size: it passes 6 % of
+    foreign rows up to 4 million keys, 12 % at 8 million and 63 % at 67 million, and stays right.
     """
+    bits = sieve_size(listed.count())
+
     def place(c: Column) -> tuple[Column, Column]:
-        slot = c.bitwiseAND(F.lit(SIEVE_BITS - 1))
+        slot = c.bitwiseAND(F.lit(bits - 1))
         return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"),
                                                       slot.bitwiseAND(F.lit(63)).cast("int"))
 

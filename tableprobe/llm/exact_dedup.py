@@ -4,8 +4,8 @@ Each partition sorts short fingerprints of its texts and sends every owner of a
 message, in which a fingerprint stands once however many rows share it. Owners decode the messages, mark fingerprints
 that came in two of them, and send back a bitmap per message. Only texts that are marked, or repeated within their
 partition, are shuffled: they are grouped by their bytes, which undoes chance agreement of fingerprints. Partitions
-tell suspects by a sieve of fixed size, one bit per remainder of the fingerprint; texts that pass by chance form
-groups of one, which nothing refers to.
+tell suspects by a sieve of bounded size, one bit per remainder of the fingerprint; texts that pass by chance form
+groups of one, which nothing refers to. The places of a text that very many rows share are told by a broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import quoted
-from tableprobe.llm.common import ship, staged, text_of
+from tableprobe.llm.common import join_groups, ship, sieved, staged, text_of
 
 FINGERPRINT_BITS = 48  # sent per distinct text before coding; 3e10 texts then give one false suspect in 10,000
-FILTER_BITS = 1 << 23  # of the sieve that keeps texts no suspect has out of the shuffle: 131,072 words are broadcast
 MESSAGE_ROWS = 400_000  # rows a partition sorts at once; a longer one sends several messages to an owner
 
 
@@ -130,16 +129,15 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id",
         judge, f"message string, sha binary, fp bigint, keys array<{key_type}>, suspect boolean"))
 
     suspects = judged.where("suspect")
-    slot = F.col("fp").bitwiseAND(F.lit(FILTER_BITS - 1))
-    word, bit = F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, int(fp & 63L))")
-    sieve = suspects.groupBy(word).agg(F.bit_or(bit).alias("bits"))  # FILTER_BITS / 64 rows at most
     classes = (
-        texts.withColumn("word", word).join(F.broadcast(sieve), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+        sieved(texts, F.col("fp"), suspects, F.col("fp")).where("_hit")
         .groupBy("text").agg(F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"))
     keepers = suspects.groupBy("sha").agg(
         F.max(F.struct(F.array_max("keys").alias("top"), "message"))["message"].alias("keeper"))
-    found = suspects.join(classes.join(keepers, "sha"), "sha").select(
+    repeated = staged(classes.join(keepers, "sha"))
+    rows = suspects.agg(F.sum(F.size("keys"))).first()[0] or 0
+    found = join_groups(suspects.select("sha", "keys", "message"), repeated, ["sha"], "group_size", rows).select(
         "sha", "keys", "keep_id", "group_size",
         F.when(F.col("message") == F.col("keeper"),
                F.coalesce(F.array_position("keys", F.array_max("keys")), F.lit(1)) - 1).alias("at"))

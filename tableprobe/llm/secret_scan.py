@@ -1,8 +1,9 @@
 """Secrets in texts: three fixed patterns, and literals that assignments bring to sensitive names.
 
 Source and configuration syntax is lexed into assignments: a name, and a value made of literals and of other names.
-Constants are propagated: a literal counts for every name it reaches through plain references and concatenation, and parts that
-are short by themselves are judged as the value they make. A literal is reported if the sensitivity of a name it reaches and its own looks score high enough together.
+Constants are propagated: a literal counts for every name it reaches through plain references and concatenation, and
+parts that are short by themselves are judged as the value they make. A literal is reported if the sensitivity of a name
+it reaches and its own looks score high enough together.
 """
 
 from __future__ import annotations

@@ -1,0 +1,30 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tableprobe.llm import common
+from tableprobe.llm.common import join_groups, sieve_size, sieved
+
+
+def test_size_follows_the_keys():
+    assert sieve_size(0) == sieve_size(4096) == 1 << 16 and sieve_size(4097) == 1 << 17
+    assert sieve_size(100_000) == 1 << 21 and sieve_size(10 ** 12) == 1 << 26
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 10])
+def test_foreign_rows_pass_by_chance_only(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE_BITS", most)
+    listed = spark.range(100_000).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(400_000).select("id", F.xxhash64("id").alias("key"))
+    found = sieved(rows, F.col("key"), listed, F.col("k")).groupBy((F.col("id") < 100_000).alias("own")).agg(
+        F.sum(F.col("_hit").cast("int")).alias("hits"), F.count(F.lit(1)).alias("rows")).collect()
+    hits = {r["own"]: r["hits"] / r["rows"] for r in found}
+    assert hits[True] == 1.0
+    assert hits[False] < 0.07 if most > 1 << 20 else hits[False] == 1.0
+    assert sieved(rows, F.col("key"), listed.limit(0), F.col("k")).where("_hit").count() == 0
+
+
+def test_hot_groups_are_broadcast(spark, capsys):
+    rows = spark.range(3000).select((F.greatest(F.col("id") - 1000, F.lit(0))).alias("g"), "id")
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    joined = join_groups(rows, groups, ["g"], "n", 3000)
+    assert joined.count() == 3000 and joined.where("g = 0").agg(F.max("least")).first()[0] == 0

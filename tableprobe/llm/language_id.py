@@ -21,6 +21,7 @@ PROFILE = 400  # n-grams of a language's profile and of a text's
 FLUSH = 1_000_000  # n-grams a task counts before it hands its counts on
 CODE_BITS = 21  # of a code point; three fit in a key
 UNKNOWN = "und"
+LANGUAGES = 10_000  # profiles that are broadcast at most, 3 KB each
 
 _letters: list[np.ndarray] = []
 
@@ -96,9 +97,13 @@ def learn_profiles(df: DataFrame, usable: Column, text: str = "text", lang: str
                    size: int = PROFILE) -> dict[str, list[int]]:
     """The ``size`` most frequent n-grams of every language, of all rows for which ``usable`` holds.
 
-    Rows of a null language teach nothing. What comes to the driver is one list of bounded length per language.
+    Rows of a null language teach nothing. What comes to the driver is one list of bounded length per language; more than
+    `LANGUAGES` of them, as when the column holds something else, are refused by a ValueError before anything is counted.
     """
-    counts = count_ngrams(df.where(usable & quoted(lang).isNotNull()), text, lang)
+    taught = df.where(usable & quoted(lang).isNotNull())
+    if taught.select(quoted(lang)).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"{lang!r} has more than {LANGUAGES} different values")
+    counts = count_ngrams(taught, text, lang)
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}

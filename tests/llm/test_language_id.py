@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tableprobe.llm import language_id
 from tableprobe.llm.language_id import CODE_BITS, Ranker, learn_profiles, ngrams, predict_language
 from tableprobe.llm.queries import QUERIES
 from tests.llm import cases
@@ -51,6 +52,51 @@ def test_rows(spark):
     assert learn_profiles(cases.frame(spark, []), F.lit(True)) == {}
 
 
+def plain_prediction(text, profiles, size=400):
+    """Language and score by the out-of-place distance, n-gram by n-gram; ties go to the first name."""
+    found = plain_ngrams(text or "")
+    if not found or not profiles:
+        return "und", 0.0
+    own = sorted(found, key=lambda g: (-found[g], g))[:size]
+    distances = {}
+    for name, profile in profiles.items():
+        place = {g: i for i, g in enumerate(profile)}
+        distances[name] = sum(abs(place[g] - i) if g in place else size for i, g in enumerate(own))
+    best = min(sorted(distances), key=distances.get)
+    return best, 1 - distances[best] / (size * len(own))
+
+
+def test_predictions_against_plain_distances(spark):
+    rows = spark.read.parquet(f"{cases.SF_DIR}/documents.parquet").collect()
+    counts = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            counts.setdefault(r["lang"], Counter()).update(plain_ngrams(r["text"] or ""))
+    profiles = {n: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][:400] for n, c in counts.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op6_language"](spark, cases.SF_DIR).collect()}
+    for r in rows:
+        name, score = plain_prediction(r["text"], profiles)
+        assert got[r["doc_id"]]["lang_pred"] == name and abs(got[r["doc_id"]]["score"] - score) < 1e-12
+
+
+def test_ties_go_to_the_first_name(spark):
+    grams = [g for g, _ in plain_ngrams("abba").most_common()]
+    profiles = {"zz": grams, "aa": list(grams), "mm": grams[::-1]}
+    rows = predict_language(cases.frame(spark), profiles).collect()
+    for r in rows:
+        assert (r["lang_pred"], round(r["score"], 12)) == tuple(
+            round(v, 12) if isinstance(v, float) else v for v in plain_prediction(r["text"], profiles))
+    assert {r["lang_pred"] for r in rows} == {"aa", "und"} or {r["lang_pred"] for r in rows} == {"aa", "mm", "und"}
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    df = spark.range(8).selectExpr("id AS doc_id", "'text here' AS text", "string(id % 4) AS lang")
+    with pytest.raises(ValueError):
+        learn_profiles(df, F.lit(True))
+    assert set(learn_profiles(df, F.col("lang") != "3")) == {"0", "1", "2"}
+
+
 def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{cases.SF_DIR}/documents.parquet").collect()}
     rows = QUERIES["op6_language"](spark, cases.SF_DIR).collect()

@@ -1,9 +1,9 @@
 """Time the headline queries: one warm-up run each, then the median of several.
 
 Reads ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one line of JSON. Query names given as arguments
-replace the headline set. With the headline set come, for comparison, the lineitem profile and its label candidates
-next to plans that take one action per column, a profile of 200 columns, and the four jobs next to the same fits run in
-turn with a count before each.
+replace the headline set. With the headline set come, for comparison, the lineitem profile, its label candidates and
+a profile of 200 columns next to plans that take one action per column, the four jobs next to the same fits run in
+turn with a count before each, and the bytes that distinct counts of keys shuffle as words next to values.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe import describe, label_candidates, numeric_columns, run_jobs
+from tableprobe.operators.profile import bitmaps, stacked
 from tableprobe.plans.catalog import QUERIES
 from tableprobe.sources.scratch import own_folder
 
@@ -31,6 +32,7 @@ HEADLINE = [
     "label_candidates", "ts_daily_events", "ts_daily_lineitem", "ts_mixed_formats", "ts_first10",
     "regression_one", "regression_two", "regression_auto", "classification_report", "kmeans_report",
     "kmeans_assign", "label_index", "split_counts", "job_report", "src_csv", "src_json", "scaling_report",
+    "analyze_csv", "src_csv_staged", "profile_increment", "profile_distinct_keys",
 ]
 
 
@@ -63,6 +65,24 @@ def median(action, repeats: int) -> float:
     return round(statistics.median(timed() for _ in range(repeats)), 3)
 
 
+def shuffled_bytes(df: DataFrame) -> int:
+    """Bytes that all exchanges of a plan wrote, from the metrics of the plan that ran."""
+    df.collect()
+
+    def of(node) -> int:
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(node.plan())
+        written = node.metrics().get("shuffleBytesWritten")
+        children = node.children()
+        return (written.get().value() if written.isDefined() else 0) + sum(
+            of(children.apply(i)) for i in range(children.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
 def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[str, float]]:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     numeric = numeric_columns(df)
@@ -82,10 +102,22 @@ def compare(spark: SparkSession, sf_dir: str, repeats: int) -> dict[str, dict[st
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     few = wide.limit(1000).cache()
     few.count()
+
+    def wide_by_column():
+        for c in few.columns:
+            few.where(F.col(c).isNull()).count()
+            few.select(c).distinct().count()
+        few.agg(*[f(c) for c in few.columns for f in (F.min, F.max, F.avg)]).collect()
+
+    keys = [f for f in df.schema.fields if f.name in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    (_, values), = stacked(df, keys)
     return {
+        "distinct_keys_shuffled_bytes": {"tableprobe": shuffled_bytes(bitmaps(values).groupBy("pos").count()),
+                                         "values": shuffled_bytes(values.distinct().groupBy("pos").count())},
         "jobs": {"tableprobe": median(lambda: run_jobs(orders).collect(), repeats),
                  "in_turn": median(lambda: jobs_in_turn(orders), repeats)},
-        "wide_profile_1000_rows": {"tableprobe": median(lambda: describe(few).collect(), repeats)},
+        "wide_profile_1000_rows": {"tableprobe": median(lambda: describe(few).collect(), repeats),
+                                   "by_column": median(wide_by_column, 1)},
         "profile": {"tableprobe": median(lambda: describe(df).collect(), repeats),
                     "by_column": median(profile_by_column, repeats)},
         "label_candidates": {"tableprobe": median(lambda: label_candidates(df).collect(), repeats),

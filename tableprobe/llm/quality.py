@@ -23,7 +23,7 @@ PASSAGE_WORDS = 64
 FIT_DOCUMENTS = 6000  # labelled documents the model is fitted on, at most; those of least hash are taken
 STATISTICS, HASHED, HIDDEN, GATES = 19, 32, 16, 8
 STEPS, HISTORY, DECAY = 60, 10, 1e-4
-PASSAGES = 1 << 15  # passages of whole bags whose gradient is taken at once
+PASSAGES = 1 << 12  # passages of whole bags whose gradient is taken at once
 
 # Byte classes: 0 space, 1 line end, 2 lower, 3 upper, 4 digit, 5 punctuation of prose, 6 other symbol, 7 beyond ASCII.
 CLASSES = np.full(256, 6, np.uint8)
@@ -200,7 +200,7 @@ def fit(features: np.ndarray, passages: np.ndarray, label: np.ndarray) -> dict:
 
 
 def _bags(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, passages, label) of whole bags, some ten thousand passages at once."""
+    """(features, passages, label) of whole bags, some thousand passages at once."""
     for batch in stream:
         label, counts = batch.column("y").to_numpy(), batch.column("n").to_numpy()
         raw = batch.column("bag")

@@ -255,7 +255,7 @@ def test_reading_is_chosen_by_size_scans_and_memory():
 
 @pytest.mark.parametrize("memory, name, text, way", [
     (10 ** 9, "a.csv", "a,b\n1,x\n2,y\n", "hold"), (10, "a.csv", "a,b\n1,x\n2,y\n", "stage"),
-    (10, "a.json", '{"s": "x"}\n', "reread"), (10, "a.txt", "x\n", "reread")])
+    (10, "a.json", '{"s": "x"}\n', "reread"), (1, "a.txt", "x\n", "reread")])
 def test_analyze_chooses(spark, tmp_path, monkeypatch, memory, name, text, way):
     taken = []
     choose = reading.choose

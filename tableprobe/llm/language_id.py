@@ -18,6 +18,7 @@ from tableprobe.functions.columns import quoted
 from tableprobe.llm.common import map_rows, ship, text_of
 
 PROFILE = 400  # n-grams of a language's profile and of a text's
+BLOCK = 1 << 19  # characters of a text whose n-grams are listed at once
 FLUSH = 1_000_000  # n-grams a task counts before it hands its counts on
 CODE_BITS = 21  # of a code point; three fit in a key
 UNKNOWN = "und"
@@ -32,31 +33,53 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return _letters[0][codes]
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Keys of all letter n-grams of 1 to 3 characters, repeats included.
+def ngram_blocks(text: str) -> Iterator[np.ndarray]:
+    """Keys of all letter n-grams of 1 to 3 characters, repeats included, by blocks of the text.
 
     The text is put in lower case; whatever is no letter separates words, and a word's n-grams take in one blank before
-    and after it. The code points of an n-gram lie side by side in its key.
+    and after it. The code points of an n-gram lie side by side in its key. A block starts with the last two characters
+    of the one before it, so none is lost where blocks meet.
     """
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    codes = np.where(_is_letter(codes), codes, 32)
-    codes = np.concatenate([[32], codes, [32]])
-    codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]
-    if len(codes) < 3:
-        return np.empty(0, np.int64)
-    pairs = codes[:-1] << CODE_BITS | codes[1:]
-    triples = (pairs[:-1] << CODE_BITS | codes[2:])[codes[1:-1] != 32]
-    return np.concatenate([codes[codes != 32], pairs, triples])
+    text = text.lower()
+    before, blank = np.array([32]), np.array([32])
+    for at in range(0, len(text) + 1, BLOCK):
+        codes = np.frombuffer(text[at:at + BLOCK].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        codes = np.where(_is_letter(codes), codes, 32)
+        codes = np.concatenate([before[-1:], codes, blank[at + BLOCK <= len(text):]])  # a blank after the last block
+        codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]
+        pairs = codes[:-1] << CODE_BITS | codes[1:]
+        whole = np.concatenate([before[:-1], codes])
+        triples = (whole[:-2] << 2 * CODE_BITS | whole[1:-1] << CODE_BITS | whole[2:])[whole[1:-1] != 32]
+        yield np.concatenate([codes[1:][codes[1:] != 32], pairs, triples])
+        before = whole[-2:]
+
+
+def ngrams(text: str) -> np.ndarray:
+    return np.concatenate(list(ngram_blocks(text)))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One (keys, counts) of several, keys in order."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text in order, and how often each occurs; blocks are counted one by one."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for grams in ngram_blocks(text):
+        parts.append(np.unique(grams, return_counts=True))
+        if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > len(parts[0][0]):
+            parts = [merged(parts)]
+    return merged(parts)
 
 
 def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all rows; tasks count first and send a row per language and n-gram."""
     ship(df.sparkSession)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
     def emit(counts: dict) -> Iterator[pa.RecordBatch]:
         for name, (keys, n) in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys), pa.array(n)],
@@ -77,14 +100,14 @@ def count_ngrams(df: DataFrame, text: str, lang: str) -> DataFrame:
 
         for batch in stream:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = ngrams(value)
-                waiting.setdefault(name, []).append(grams)
-                held += len(grams)
-                if held > 4 * FLUSH:
-                    settle()
-                    if sum(len(k) for k, _ in counts.values()) > FLUSH:
-                        yield from emit(counts)
-                        counts.clear()
+                for grams in ngram_blocks(value):
+                    waiting.setdefault(name, []).append(grams)
+                    held += len(grams)
+                    if held > 4 * FLUSH:
+                        settle()
+                        if sum(len(k) for k, _ in counts.values()) > FLUSH:
+                            yield from emit(counts)
+                            counts.clear()
         settle()
         yield from emit(counts)
 
@@ -124,7 +147,7 @@ class Ranker:
             self.ranks[np.searchsorted(self.grams, profiles[name]), i] = np.arange(len(profiles[name]))
 
     def predict(self, text: str) -> tuple[str, float]:
-        grams, counts = np.unique(ngrams(text), return_counts=True)
+        grams, counts = counted(text)
         if not len(grams) or not self.names:
             return UNKNOWN, 0.0
         grams = grams[np.argsort(-counts, kind="stable")[:self.size]]  # ties by key

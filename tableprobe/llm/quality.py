@@ -23,6 +23,7 @@ PASSAGE_WORDS = 64
 FIT_DOCUMENTS = 6000  # labelled documents the model is fitted on, at most; those of least hash are taken
 STATISTICS, HASHED, HIDDEN, GATES = 19, 32, 16, 8
 STEPS, HISTORY, DECAY = 60, 10, 1e-4
+PIECE_BYTES = 1 << 19  # bytes of a text that are read at once
 PASSAGES = 1 << 12  # passages of whole bags whose gradient is taken at once
 
 # Byte classes: 0 space, 1 line end, 2 lower, 3 upper, 4 digit, 5 punctuation of prose, 6 other symbol, 7 beyond ASCII.
@@ -35,16 +36,39 @@ BYTE_KEYS = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
 PLACE_KEYS = _RANDOM.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
+def whole_passages(body: bytes) -> Iterator[bytes]:
+    """A long text by pieces of whole passages, of one to two `PIECE_BYTES` but for huge words; white space ends each."""
+    words, cut, gap = 0, 0, True
+    for at in range(0, len(body), PIECE_BYTES):
+        white = CLASSES[np.frombuffer(body[at:at + PIECE_BYTES], np.uint8)] < 2
+        starts = at + np.flatnonzero(~white & np.append(gap, white[:-1]))
+        gap = bool(white[-1])
+        edges = starts[-words % PASSAGE_WORDS::PASSAGE_WORDS]
+        words += len(starts)
+        if len(edges) and words > len(starts):
+            yield body[cut:edges[-1]]
+            cut = int(edges[-1])
+    yield body[cut:]
+
+
 def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of some texts, and how many passages each text has: one at least, of zeros if empty."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    bodies = [t.encode("utf-8", "replace") + b" " for t in texts]
+    owners, pieces = zip(*[(i, p) for i, b in enumerate(bodies) for p in whole_passages(b)])
+    found = [_piece_features(part) for part in slices(pieces, 2 * PIECE_BYTES)]
+    passages = np.bincount(owners, np.concatenate([n for _, n in found])).astype(np.int64)
+    return np.concatenate([f for f, _ in found]), passages
+
+
+def _piece_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pieces that end with white space."""
+    data = np.frombuffer(b"".join(raw), np.uint8)
     kind = CLASSES[data]
     gap = kind < 2
     begins = ~gap
     begins[1:] &= gap[:-1]
     starts = np.flatnonzero(begins)
-    doc_starts = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+    doc_starts = np.cumsum([0] + [len(r) for r in raw[:-1]])
     doc = np.searchsorted(doc_starts, starts, "right") - 1
     words = np.bincount(doc, minlength=len(raw))
     passages = np.maximum(1, -(-words // PASSAGE_WORDS))

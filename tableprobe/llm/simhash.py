@@ -8,7 +8,8 @@ fingerprints. A fingerprint is compared with 64 others by XOR of its bits with t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,29 +25,43 @@ from tableprobe.llm.graph import components, roots
 SEED = 42
 BLOCK = 4096  # fingerprints of one bucket compared in one go; larger buckets are compared block by block
 CHUNK = 16_384  # rows a task gathers before it compares them
+PIECE = 1 << 18  # bytes of a text, and those up to the next white space, whose shingles are listed at once
+WHITE = re.compile(rb"[\x20\t-\r]")
 UNITS = 1 << 19  # comparisons with 64 fingerprints each, held at once
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    parts = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = max(1, len(parts) - words + 1)
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, by pieces of the text that end at white space; a piece takes over the last words."""
+    raw = text.encode("utf-8", "replace")
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in
-                     zip(starts[:last].tolist(), ends[min(words, len(parts)) - 1:].tolist())], np.uint64)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
+    at, parts, some = 0, [], False
+    while at < len(raw):
+        gap = WHITE.search(raw, at + PIECE)
+        end = gap.end() if gap else len(raw)
+        parts += raw[at:end].lower().split()  # bytes: A-Z and ASCII white space only
+        at = end
+        if len(parts) < words and (at < len(raw) or some or not parts):
+            continue
+        some = True
+        joined = b" ".join(parts)
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        last = max(1, len(parts) - words + 1)
+        yield np.array([digest(joined[a:b], SEED) for a, b in
+                        zip(starts[:last].tolist(), ends[min(words, len(parts)) - 1:].tolist())], np.uint64)
+        parts = parts[last:]
+
+
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
     """Bit i is 1 if over half of the hashes have it; 0 without hashes. Long texts are counted in parts."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at:at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    ones, total = np.zeros(64, np.int64), 0
+    for piece in hashes:
+        total += len(piece)
+        for at in range(0, len(piece), 8192):
+            part = piece[at:at + 8192]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
+                axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, text: str, key: str, words: int) -> DataFrame:

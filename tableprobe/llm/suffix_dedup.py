@@ -31,6 +31,7 @@ LENGTH = 200
 ANCHOR = 32  # bytes whose hashes are compared to find a window's anchor
 SYMBOL = 40  # bytes by which a round of refinement moves; divides LENGTH
 LONGEST_RUN = 400  # windows of a run; longer stretches of one anchor are cut
+PIECE_WINDOWS = 1 << 19  # windows of one text whose anchors are found at once; longer texts are read piece by piece
 SHARD_BYTES = 1 << 17
 CHUNK_BYTES = 1 << 20  # bytes of runs merged in one go, whole anchors only
 WIDE = 4096  # different runs under one anchor; wider anchors are settled window by window
@@ -101,12 +102,33 @@ def runs_of(texts: list[bytes]) -> tuple[list[int], tuple]:
     return counts, (at[begin] - offsets[doc[begin]], span, value[begin].view(np.int64), twice, digest)
 
 
+def runs_by_piece(texts: list[bytes]) -> tuple[list[int], tuple]:
+    """`runs_of` texts of any length, in memory that does not grow with the longest.
+
+    A piece holds all bytes of its windows and every window is in one piece, so pieces overlap by a window less one.
+    """
+    pieces = [(i, at, t[at:at + PIECE_WINDOWS + LENGTH - 1]) for i, t in enumerate(texts)
+              for at in range(0, max(1, len(t) - LENGTH + 1), PIECE_WINDOWS)]
+    counts, columns = [0] * len(texts), []
+    for part in slices([body for _, _, body in pieces], PIECE_WINDOWS):
+        done, pieces = pieces[:len(part)], pieces[len(part):]
+        each, (at, *others, digest) = runs_of(part)
+        for (i, _, _), n in zip(done, each):
+            counts[i] += n
+        if digest:
+            columns.append((at + np.repeat([shift for _, shift, _ in done], each), *others, digest))
+    if not columns:
+        return counts, ([], [], [], [], [])
+    *arrays, digests = zip(*columns)
+    return counts, (*map(np.concatenate, arrays), [d for part in digests for d in part])
+
+
 def find_runs(docs: DataFrame) -> DataFrame:
     """(sha, runs) of texts (sha, text); texts shorter than a window have none and are left out."""
     def rows(batch: pa.RecordBatch) -> pa.Table:
         found, at = [], 0
         for part in slices(batch.column(1).to_pylist(), 1_000_000):
-            counts, (begin, span, anchor, twice, digest) = runs_of([t.encode("utf-8", "replace") for t in part])
+            counts, (begin, span, anchor, twice, digest) = runs_by_piece([t.encode("utf-8", "replace") for t in part])
             cells = pa.StructArray.from_arrays(
                 [pa.array(begin, pa.int32()), pa.array(span, pa.int32()), pa.array(anchor, pa.int64()),
                  pa.array(twice, pa.bool_()), pa.array(digest, pa.binary())], ["at", "span", "anchor", "twice", "digest"])

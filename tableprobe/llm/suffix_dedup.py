@@ -286,14 +286,14 @@ def settle_wide(runs: DataFrame) -> DataFrame:
 
 
 def cut_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(anchor, digest, n, kinds, body) of every run wanted of some texts (text binary, wanted)."""
+    """(anchor, digest, n, kinds, span, body) of every run wanted of some texts (text binary, wanted)."""
     texts, wanted = batch.column(0).to_pylist(), batch.column(1)
     runs = wanted.flatten()
     cells = dict(zip((f.name for f in runs.type), runs.flatten()))
     owner = np.repeat(np.arange(len(texts)), wanted.value_lengths().to_numpy(zero_copy_only=False))
     bodies = [texts[o][a:a + n + LENGTH - 1]
               for o, a, n in zip(owner.tolist(), cells["at"].to_pylist(), cells["span"].to_pylist())]
-    names = ["anchor", "digest", "n", "kinds"]
+    names = ["anchor", "digest", "n", "kinds", "span"]
     return pa.RecordBatch.from_arrays([*[cells[c] for c in names], pa.array(bodies, pa.binary())], [*names, "body"])
 
 
@@ -325,7 +325,7 @@ def repeated_ranges(df: DataFrame, text: str = "text") -> DataFrame:
     hits = sieved(docs, first_bytes(), by_sha, first_bytes()).where("_hit").select("sha", "text").distinct()
     runs = staged(map_rows(
         hits.join(by_sha.hint("merge"), "sha").select(F.col("text").cast("binary").alias("text"), "wanted"), cut_runs,
-        "anchor bigint, digest binary, n bigint, kinds bigint, body binary"))
+        "anchor bigint, digest binary, n bigint, kinds bigint, span int, body binary"))
     narrow = runs.where(F.col("kinds") <= WIDE).select("anchor", "digest", "n", "body").repartition(
         "anchor").sortWithinPartitions("anchor").mapInArrow(settle, f"anchor bigint, digest binary, starts {STARTS}")
     wide = settle_wide(runs.where(F.col("kinds") > WIDE))
